@@ -13,6 +13,7 @@ def signature(bars: Column, fields: list[str]) -> Column:
 
 def deduplicate(rows: DataFrame, identity: list[str], sign: str, quality: list[Column], seq: str) -> DataFrame:
     """One row per identity and signature, the first of greatest quality; with `removed` (rows it stands for beyond itself) and `duplicate_conflict` (its identity has other signatures)."""
+    rows = rows.drop("removed", "duplicate_conflict")  # what an earlier run said of them
     w = Window.partitionBy(*identity, sign)
     x = rows.withColumn("_n", F.row_number().over(w.orderBy(*[q.desc_nulls_last() for q in quality], seq))).withColumn("removed", F.count("*").over(w) - 1).filter("_n = 1").drop("_n")
     many = x.groupBy(*identity).agg(F.count("*").alias("_v"))
