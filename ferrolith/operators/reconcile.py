@@ -26,6 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrolith.session import checkpoint
+from ferrolith.sources.tables import once
+
 P = (1 << 61) - 1
 _M31, _M30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 BUCKET = 256  # rows to a bucket
@@ -206,7 +209,7 @@ def _product(sign: DataFrame, n: int) -> DataFrame:
                 out["n_a"].append(count[0])
                 out["n_b"].append(count[1])
                 out["ratio"].append([x * pow(y, -1, P) % P for x, y in zip(*acc)])
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
     g = sign.groupBy("bucket").agg(F.collect_list(F.struct("side", "rows", "vals")).alias("g"))
     return g.mapInPandas(run, "bucket long, n_a long, n_b long, ratio array<long>")
@@ -227,7 +230,7 @@ def _polynomials(bound: int):
                 out["num"].append(found[0] if found else None)
                 out["den"].append(found[1] if found else None)
                 out["solved"].append(found is not None)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
     return run
 
@@ -250,19 +253,19 @@ def differing(a: DataFrame, b: DataFrame, buckets: int) -> DataFrame:
     buckets only; beyond LAST all its rows are taken, which is exact too, as fields are compared afterwards.
     """
     rows = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    rows = checkpoint(rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))))  # hashed once
     out, todo, bound = None, rows, FIRST
     while True:
         n = bound + 1 + CHECKS
         sign = todo.select("bucket", "side", "element").mapInPandas(_signature(n), "bucket long, side int, rows long, vals array<long>")
         open_ = _product(sign, n)
-        poly = open_.mapInPandas(_polynomials(bound), "bucket long, num array<long>, den array<long>, solved boolean")
+        poly = checkpoint(open_.mapInPandas(_polynomials(bound), "bucket long, num array<long>, den array<long>, solved boolean"))
         last = bound * 8 > LAST
         done = poly if last else poly.filter("solved")
         x = todo.join(done, "bucket").withColumn("poly", F.when(F.col("side") == 0, F.col("num")).otherwise(F.col("den")))
         x = x.select("bucket", "side", "key", "element", "poly").mapInPandas(_roots, "side int, key string, element long")
         out = x if out is None else out.unionByName(x)
-        if last:
+        if last or poly.filter("not solved").isEmpty():
             return out
         todo = todo.join(poly.filter("not solved").select("bucket"), "bucket", "left_semi")
         bound *= 8
@@ -328,9 +331,6 @@ def compare(records: DataFrame, mirror: DataFrame, buckets: int | None = None) -
 
     An id delivered again counts once. buckets: about the rows of the larger side / BUCKET; taken from the tables if not given.
     """
-    from ferrolith.session import checkpoint
-    from ferrolith.sources.tables import once
-
     one = normal_form(once(records, "id"))
     two = normal_form(once(mirror, "id"))
     a, b = _hashed(one), _hashed(two)

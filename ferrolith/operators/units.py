@@ -211,7 +211,7 @@ def histories(rows: DataFrame, source: str, order: list[str], field: str, key: s
                         vals.append(None if v != v else v)
                         units.append(u)
                         mms.append(q)
-            yield pd.DataFrame({key: pd.Series(ids, dtype=object), "value": pd.Series(vals, dtype=float), "unit": units, "mm": pd.Series(mms, dtype=float)})
+            yield pd.DataFrame({key: pd.Series(ids, dtype=object), "value": pd.Series(vals, dtype=float), "unit": pd.Series(units, dtype=object), "mm": pd.Series(mms, dtype=float)})
 
     h = x.groupBy(source, "part").agg(F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "value", "raw", "piece"))).alias("h"))
     return h.select("part", "h").mapInPandas(run, f"`{key}` {kind}, value double, unit string, mm double")
