@@ -5,9 +5,9 @@ suffix automaton. Each document is streamed through it word by word: the automat
 that ends here and occurs in some item, and every run that can't be made longer gives, by the end positions of its state,
 the items and places it matches. Runs are chained per item in order of item and document, with any other text between
 them; the gaps between neighbouring runs of a chain are compared word by word. A stretch of the item that begins and ends
-on matched words is a leak if it has at least `least` words, at least `share` of them matched, and at least `own_share` of its
-own words matched: those whose pairs with the word before and the word after are in few items. What is altered in a leak
-are any words; in sentences made after the same pattern it is just the own words, names and numbers.
+on matched words is a leak if it has at least `least` words, at least `share` of them matched, these stand together but for a
+few insertions, and at least `own_share` of its own words are matched: those whose pairs with the word before and the word after are in no other item. What is altered in
+a leak are any words; in sentences made after the same pattern it is just the own words, names and numbers.
 
 The automaton is built by each task from the items, which are sent as one broadcast of checked size (ITEMS_BYTES); beyond
 that the items are handled in blocks, one pass over the documents for each block.
@@ -18,6 +18,7 @@ Defined results: null and empty documents and items match nothing; the longest t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -32,8 +33,10 @@ from ferrolith.functions.text import unscramble
 
 LEAST = 15  # words of a stretch
 SHARE = 0.76  # of its words matched
-OWN_SHARE = 0.6  # of the item's own words in it matched, and three at least
-OWN = 0.02  # a pair of words in more of the items than this share (or than three) belongs to a pattern
+OWN_SHARE, OWN_SHORT, OWN_LEAST = 0.6, 0.7, 3  # of the item's own words in it matched: in long ones, below LONG words, and how many at least
+LONG = 30
+LOOSE = 0.5  # other text stands in one place, and in one more for each LONG words; all else between the matched words is at most this share of their number
+OWN = 0.0  # a pair of words in more of the items than this share (or than one) belongs to a pattern
 ANCHOR = 2.5  # a run of less weight is no anchor of its own; it counts where it lies between anchors
 HEAVY = 9.0  # a stretch of 15 words with a fifth altered has anchors of at least this weight
 ITEMS_BYTES = 32_000_000
@@ -48,10 +51,26 @@ def _key(word: str) -> str:
     return word.translate(_READ).replace("rn", "m").replace("cl", "d").replace("el", "d")
 
 
+_KEYS: dict[str, str] = {}
+
+
 def folded(text: str) -> list[str]:
-    t = _BROKEN.sub(r"\1", unscramble(text).replace("­", ""))
-    t = "".join(ch for ch in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(ch))
-    return [_key(x) for x in _WORD.findall(t)]
+    """Folded words of a text; each different word is folded once (the memory of words is emptied when it gets large)."""
+    t = unscramble(text)
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t).replace("­", "")
+    if "-" in t or "‐" in t:
+        t = _BROKEN.sub(r"\1", t)
+    if len(_KEYS) > 500_000:
+        _KEYS.clear()
+    out = []
+    for w in _WORD.findall(t.lower()):
+        k = _KEYS.get(w)
+        if k is None:
+            plain = w if w.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", w) if not unicodedata.combining(ch))
+            k = _KEYS[w] = _key(plain)
+        out.append(k)
+    return out
 
 
 class Automaton:
@@ -158,18 +177,23 @@ class Matcher:
         pairs: Counter = Counter()
         for x in self.items:
             pairs.update(set(zip(x, x[1:])))
-        common = max(3, own * len(self.items))
+        common = max(1, own * len(self.items))
         usual = [[pairs[p] > common for p in zip(x, x[1:])] for x in self.items]
         self.own = [[not any(u[max(0, i - 1) : i + 1]) for i in range(len(x))] for x, u in zip(self.items, usual)]
 
     def stretches(self, text: list[str]) -> dict[int, tuple[int, int, int]]:
         """item index -> (words, from, to) of its longest leaking stretch in the text."""
         get = self.weight.get
+        w_at = [get(x, 0.0) for x in text]
+        # a stretch has at least three own words; without as much weight of rare words in the whole text there is none
+        if sum(x for x in w_at if x >= 2.0) < HEAVY / 2:
+            return {}
+        upto = [0.0, *itertools.accumulate(w_at)]
         anchors: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         total: dict[int, float] = defaultdict(float)
         for state, length, end in self.sam.runs(text):
             start = end - length + 1
-            w = sum(get(x, 0.0) for x in text[start : end + 1])
+            w = upto[end + 1] - upto[start]
             if w < ANCHOR:
                 continue
             for k, e in self.sam.ends[state]:
@@ -183,6 +207,9 @@ class Matcher:
 
     def _best(self, k: int, anchors: list[tuple[int, int, int]], text: list[str]) -> tuple[int, int, int] | None:
         item, weights, own = self.items[k], self.weights[k], self.own[k]
+        # a leak has three own words: two at least are unaltered, weigh enough to be anchors themselves
+        if len({x for i, _, n in anchors for x in range(i, i + n) if own[x]}) < 2:
+            return None
         anchors = sorted(set(anchors), key=lambda a: (a[1], a[0]))
         value = [sum(weights[a[0] : a[0] + a[2]]) for a in anchors]
         best, back = list(value), [-1] * len(anchors)
@@ -202,6 +229,8 @@ class Matcher:
             chain.append(anchors[x])
             x = back[x]
         chain.reverse()
+        if sum(own[x] for i, _, n in chain for x in range(i, i + n)) < 2:
+            return None
         hit = [False] * len(item)
         where: dict[int, int] = {}
         pi = pj = None
@@ -227,11 +256,19 @@ class Matcher:
                 n = b - a + 1
                 if n < self.least or (top and n <= top[0]):
                     break
-                if sums[b + 1] - sums[a] >= self.share * n and own_hits[b + 1] - own_hits[a] >= max(3, self.own_share * (owns[b + 1] - owns[a])):
+                need = max(self.own_share, OWN_SHORT if n < LONG else 0.0) * (owns[b + 1] - owns[a])
+                if sums[b + 1] - sums[a] >= self.share * n and own_hits[b + 1] - own_hits[a] >= max(OWN_LEAST, need) and self._close([where[i] for i in range(a, b + 1) if hit[i]]):
                     top = (n, where[a], where[b])
                     break
         return top
 
+    @staticmethod
+    def _close(at: list[int]) -> bool:
+        """Whether matched words stand together but for a few insertions."""
+        at = sorted(at)
+        between = sorted(b - a - 1 for a, b in zip(at, at[1:]))
+        return sum(between[: -1 - len(at) // LONG]) <= LOOSE * len(at)
+
     @staticmethod
     def _fill(item: list[str], text: list[str], i0: int, i1: int, j0: int, j1: int, hit: list[bool], where: dict[int, int]) -> None:
         """Words of the item between two matched runs that the text has in the gap, altered at most a little."""
