@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.text import SPACES, unscramble
+from ferrolith.functions.text import unscramble
 
 DENSITY = 3.0  # slots per hundred words from which a text about templates counts as a template
 NEAR = 80  # characters on either side in which a tutorial's words count
@@ -72,30 +72,60 @@ _NOTICE = re.compile(
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+# Literals of which every match of a pattern holds one; a text without any needn't be searched.
+_LITERALS = {
+    "error": ["too many requests", "database connection", "access denied", "session has expired", "gateway", "timed out", "internal server error", "unavailable", "are not authori", "right now", "found", "does not exist",
+              "error ", "http ", " gone", " forbidden", "trop de requ", "connexion ", "base de donn", "accès refus", "acces refus", "session a expir", "passerelle", "d'attente d", "erreur ", "service est indisponible",
+              "tes pas autoris", "impossible d'afficher", "zu viele anfragen", "datenbankverbindung", "zugriff verweigert", "sitzung ist abgelaufen", "berschreitung der anfrage", "serverfehler", "nicht verf", "nicht erreichbar",
+              "nicht berechtigt", "nicht befugt", "nicht anzeigen", "nicht darstellen", "nicht angezeigt", "nicht dargestellt", "fehler ", "moved or no longer", "failed to load", "could not be", "problem persists", "request id", "line ",
+              "existe plus ou", "chec du chargement", "pour l'instant", "introuvable", "me persiste", "ligne ", "existiert nicht mehr", "nicht geladen werden", "gefunden", "anhaltenden problemen", "zeile ", "kennung:"],
+    "script": ["javascript", "java-script", "java script", "js", "scripts", "scripting", "script ", "skript"],
+    "filler": ["lorem", "dummy ", "sample ", "filler", "placeholder", "body copy", "text to follow", "faux texte", "venir", "contenu ici", "d'exemple", "blindtext", "musterabsatz", "inhalt", "text folgt", "xxx"],
+}
+_SIGNS = re.compile(r"[{$#<\[%@&]|__|XX|xxxxx")
+
+
+def _finder():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for kind, literals in _LITERALS.items():
+        for x in literals:
+            a.add_word(x, kind)
+    a.make_automaton()
+    return a
+
+
+_FINDER = _finder()
+
+
 def kinds(text: str | None) -> list[str]:
     """What residue a text holds: 'placeholder', 'filler', 'error', 'script', in this order."""
     if not text:
         return []
     t = unscramble(text)
     out = []
-    plain = _CODE.sub(" ", t)
-    slots = list(_SLOT.finditer(plain))
-    if slots:
-        words = max(1, plain.count(" ") + 1)
-        dense = 100 * len(slots) / words >= DENSITY and len(slots) > 2
-        if dense or any(not _TUTORIAL.search(plain[max(0, m.start() - NEAR) : m.start()] + " " + plain[m.end() : m.end() + NEAR]) for m in slots):
-            out.append("placeholder")
-    parts = [re.sub(SPACES, " ", x).strip() for x in _BREAK.split(t)]
-    flat = re.sub(SPACES, " ", t)
-    if _FILLER.search(flat) or any(a and a == b == c and not _FORMULA.search(a) for a, b, c in zip(parts, parts[1:], parts[2:])):
+    if _SIGNS.search(t):
+        plain = _CODE.sub(" ", t) if "`" in t or "~~~" in t or "<" in t else t
+        slots = list(_SLOT.finditer(plain))
+        if slots:
+            words = max(1, plain.count(" ") + 1)
+            dense = 100 * len(slots) / words >= DENSITY and len(slots) > 2
+            if dense or any(not _TUTORIAL.search(plain[max(0, m.start() - NEAR) : m.start()] + " " + plain[m.end() : m.end() + NEAR]) for m in slots):
+                out.append("placeholder")
+    flat = " ".join((t if t.isascii() else t.translate(_NOTHING)).split())
+    hits = {kind for _, kind in _FINDER.iter(flat.lower())}
+    parts = [x.strip() for x in _BREAK.split(t)]
+    if ("filler" in hits and _FILLER.search(flat)) or any(a and a == b == c and not _FORMULA.search(a) for a, b, c in zip(parts, parts[1:], parts[2:])):
         out.append("filler")
-    if _ERROR.search(flat) or any(len(x) < 90 and _MISSING.match(x) for x in parts):
+    if "error" in hits and (_ERROR.search(flat) or any(len(x) < 90 and _MISSING.match(" ".join(x.split())) for x in parts)):
         out.append("error")
-    if _NOTICE.search(flat):
+    if "script" in hits and _NOTICE.search(flat):
         out.append("script")
     return out
 
 
+_NOTHING = {0x200B: " ", 0xFEFF: " "}
 # Formulas of the chair, which may be repeated.
 _FORMULA = re.compile(r"\b(?:sitting|minutes|amendment|article|séance|procès-verbal|amendement|sitzung|protokoll|antrag|artikel|applause|laughter|applaudissements|beifall|heiterkeit|rires|sourires)\b", re.I)
 
@@ -107,7 +137,7 @@ def residue(documents: DataFrame) -> DataFrame:
         for p in parts:
             k = [kinds(t) for t in p["text"]]
             hit = [bool(x) for x in k]
-            yield pd.DataFrame({"doc_id": p["doc_id"][hit], "kinds": [x for x in k if x]})
+            yield pd.DataFrame({"doc_id": p["doc_id"][hit], "kinds": pd.Series([x for x in k if x], index=p.index[hit], dtype=object)})
 
     return documents.select("doc_id", "text").filter("text is not null and doc_id is not null").mapInPandas(run, "doc_id long, kinds array<string>")
 
