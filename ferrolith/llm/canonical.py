@@ -54,7 +54,7 @@ def _token_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             letters, n = value_parts(field, value)
             number.append(n)
             tokens.append(sorted(grams(letters) if letters else set()) + ([f"#{n}"] if n else []))
-        yield p.assign(number=number, tokens=tokens)
+        yield p.assign(number=pd.Series(number, index=p.index, dtype=object), tokens=pd.Series(tokens, index=p.index, dtype=object))
 
 
 def tokenised(df: DataFrame) -> DataFrame:
