@@ -98,8 +98,7 @@ def section_dimensions(s, d):
     st = lambda c: c.cast("string")
     k = F.col("p_partkey") % 4
     text = F.when(k == 0, F.concat(st(F.col("p_size") % 30 + 1), F.lit('"x'), st(F.col("p_size") % 20 + 1), F.lit(' 1/2"'))).when(k == 1, F.concat(st(300 + F.col("p_size")), F.lit("x"), st(500 + F.col("p_size")))).when(k == 2, F.concat(st(400 + F.col("p_size")), F.lit("mmØ"))).otherwise(F.lit("voir plan"))
-    x = G.dimensions(text)
-    return p.select("p_partkey", F.round(x["w"], 2).alias("w"), F.round(x["h"], 2).alias("h"))
+    return p.select("p_partkey", G.dimensions(text).alias("x")).select("p_partkey", F.round("x.w", 2).alias("w"), F.round("x.h", 2).alias("h"))
 
 
 @query(f"""select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then 'VERT' end as label, cast(l_quantity as int) as quantite, {SIZES}[1 + l_partkey % 8] as diametre, case l_suppkey % 3 when 1 then 'A' || (l_partkey % 90 + 10) end as repere, case when l_suppkey % 3 = 2 then round((4 + l_orderkey % 9) * 25.4::double, 1) end as espacement_mm, case when l_suppkey % 3 = 0 then round(((5 + l_partkey % 20) * 12 + 6) * 25.4::double, 1) end as longueur_mm from lineitem""")
@@ -111,8 +110,8 @@ def bar_grammar(s, d):
     k = F.col("l_suppkey") % 3
     tail = F.when(k == 1, F.concat(F.lit(" A"), st(F.col("l_partkey") % 90 + 10))).when(k == 2, F.concat(F.lit(" @"), st(4 + F.col("l_orderkey") % 9), F.lit('"'))).otherwise(F.concat(F.lit(" "), st(5 + F.col("l_partkey") % 20), F.lit("-06")))
     text = F.concat(F.when(F.col("l_linenumber") % 2 == 0, F.lit("VERT: :")).otherwise(F.lit("-")), st(F.col("l_quantity").cast("int")), F.lit(" "), size, tail)
-    b = G.bar_line(text, F.lit(True))
-    return li.select("l_orderkey", "l_linenumber", *[b[c].alias(c) for c in ("label", "quantite", "diametre", "repere", "espacement_mm", "longueur_mm")])
+    # the struct is a column of its own first, else each of its fields would parse the text again
+    return li.select("l_orderkey", "l_linenumber", G.bar_line(text, F.lit(True)).alias("b")).select("l_orderkey", "l_linenumber", *[f"b.{c}" for c in ("label", "quantite", "diametre", "repere", "espacement_mm", "longueur_mm")])
 
 
 @query(f"""select l_orderkey, l_linenumber, 'slab' as kind, null as role, cast(l_quantity as int) as quantite, case when l_linenumber % 2 = 0 then {SIZES}[1 + l_partkey % 8] else '15M' end as diametre, null::double as spacing from lineitem
@@ -127,6 +126,8 @@ def plan_callouts(s, d):
     slab = G.slab_callout(F.concat(st(q), F.lit("("), st(ln), F.lit(")"), F.when(ln % 2 == 0, F.concat(F.lit("-"), size)).otherwise("")), F.lit("15M"))
     beam = G.beam_callout(F.when(ln % 3 == 0, F.concat(st(q), F.lit("-"), size)).when(ln % 3 == 1, F.concat(F.lit("PEAU "), size, F.lit("@"), st(100 + F.col("l_orderkey") % 9))).otherwise(F.concat(size, F.lit("@ "), st(100 + F.col("l_orderkey") % 9), F.lit("mm"))), F.lit(False))
     mat = G.mat_callout(F.concat(F.lit("RANG "), st(1 + ln % 4), F.lit(": "), size, F.lit(" @"), st(200 + F.col("l_orderkey") % 9), F.lit(" mm")), F.lit(True))
+    li = li.select("l_orderkey", "l_linenumber", slab.alias("slab"), beam.alias("beam"), mat.alias("mat"))
+    slab, beam, mat = F.col("slab"), F.col("beam"), F.col("mat")
     none = F.lit(None)
     row = lambda k, r, n, z, sp: F.struct(F.lit(k).alias("kind"), r.cast("string").alias("role"), n.cast("int").alias("quantite"), z.alias("diametre"), sp.cast("double").alias("spacing"))
     x = F.explode(F.array(row("slab", none, slab["quantite"], slab["diametre"], none), row("beam", beam["role"], beam["quantite"], beam["diametre"], beam["espacement_mm"]), row("mat", mat["rang"], mat["quantite"], mat["diametre"], mat["espacement_mm"])))
