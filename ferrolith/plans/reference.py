@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ferrolith.functions import grammar as G
 from ferrolith.functions.text import fold
 from ferrolith.operators import compare as C
-from ferrolith.operators import dedup, islands, matching, normalize, pages, report, search, spatial
+from ferrolith.operators import dedup, drawing, islands, matching, normalize, pages, report, search, spatial
 from ferrolith.sources import records as R
 from ferrolith.sources.tables import once
 from ferrolith.sources.tables import table as t
@@ -598,6 +598,58 @@ def grid_locate(s, d):
     return spatial.locate(points(s, d), axes, ["page"]).select("pid", "place", F.round("cost", 6).alias("cost"))
 
 
+_LINES = "(select i as lid, 'letter' as kind, chr(65 + i::int) as label, 'v' as orient, (30 + i * 66 + i * i)::double as c, (100 * (i % 3))::double as lo, (500 + 50 * (i % 4))::double as hi from range(15) r(i) union all select 100 + i, 'number', (i + 1)::varchar, 'h', (20 + i * 35)::double, (200 * (i % 2))::double, (700 + 60 * (i % 5))::double from range(20) r(i))"
+
+
+@query(f"""with g as (select a.*, coalesce((select min(abs(o.c - a.c)) from {_LINES} o where o.kind = a.kind and o.lid <> a.lid and abs(o.c - a.c) > 1 and least(o.hi, a.hi) - greatest(o.lo, a.lo) > 0), 300.0::double) as gap from {_LINES} a),
+n as (select pid, lid, kind, label, c, lo, hi, gap, abs(case orient when 'h' then y else x end - c) as perp from {_PTS}, g where case orient when 'h' then x else y end between lo - 120 and hi + 120), k as (select *, row_number() over (partition by pid, kind order by perp, lid) as r from n),
+p as (select a.pid, a.label || '-' || b.label as place, a.perp / a.gap + b.perp / b.gap as cost, row_number() over (partition by a.pid order by a.perp / a.gap + b.perp / b.gap, a.lid, b.lid) as r from k a join k b on a.pid = b.pid and a.kind = 'letter' and b.kind = 'number' and a.r <= 6 and b.r <= 6 and b.c between a.lo - 40 and a.hi + 40 and a.c between b.lo - 40 and b.hi + 40)
+select q.pid, p.place, round(coalesce(least(1.0::double, p.cost / 2), 1.0::double), 6) as cost from {_PTS} q left join p on p.pid = q.pid and p.r = 1""")
+def grid_lines(s, d):
+    """Places of points by the nearest pair of crossing grid lines."""
+    i = F.col("id")
+    one = s.range(15).select(i.alias("lid"), F.lit("letter").alias("kind"), F.char(65 + i).alias("label"), F.lit("v").alias("orient"), (30 + i * 66 + i * i).cast("double").alias("c"), (100 * (i % 3)).cast("double").alias("lo"), (500 + 50 * (i % 4)).cast("double").alias("hi"))
+    two = s.range(20).select((100 + i).alias("lid"), F.lit("number").alias("kind"), (i + 1).cast("string").alias("label"), F.lit("h").alias("orient"), (20 + i * 35).cast("double").alias("c"), (200 * (i % 2)).cast("double").alias("lo"), (700 + 60 * (i % 5)).cast("double").alias("hi"))
+    lines = one.unionByName(two).withColumn("page", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])))
+    return drawing.locate_lines(points(s, d), lines, ["page"]).select("pid", "place", F.round("cost", 6).alias("cost"))
+
+
+@query(None)
+def concentric_marks(s, d):
+    """The greatest of the marks close together, greedily."""
+    return drawing.suppress(points(s, d).withColumn("size", F.col("pid") * 7 % 50), ["page"], 12.0, "size").select("page", "pid", "size")
+
+
+@query(None)
+def text_runs(s, d):
+    """Fragments of text joined to runs."""
+    x = points(s, d)
+    return drawing.text_runs(x.select("page", "pid", F.col("x").alias("x0"), (F.col("x") + 12).alias("x1"), "y"), ["page"])
+
+
+@query(f"""with m as (select page, case when pid % 3 = 0 then 'letter' else 'number' end as kind, case when (pid // 5) % 7 < 3 then 'h' else 'v' end as orient, pid as seq from {_PTS}), c as (select page, orient, count(*) as c, min(seq) as f from m where kind = 'letter' group by 1, 2), o as (select page, orient as best from (select *, row_number() over (partition by page order by c desc, f) as k from c) where k = 1)
+select page, kind, orient, count(*) as n from m join o using (page) where (kind = 'letter') = (orient = best) group by all""")
+def majority_orientation(s, d):
+    """letters in the orientation most of them have, numbers in the other."""
+    m = points(s, d).select("page", F.when(F.col("pid") % 3 == 0, "letter").otherwise("number").alias("kind"), F.when(F.floor(F.col("pid") / 5) % 7 < 3, "h").otherwise("v").alias("orient"), F.col("pid").alias("seq"))
+    return drawing.majority_orientation(m, ["page"]).groupBy("page", "kind", "orient").agg(F.count("*").alias("n"))
+
+
+@query("""select p_partkey as k, 2 as fragments, 'R' || (p_size % 9) as label, 1 + p_size % 3 as sets, p_size as quantite, 'A' || (p_partkey % 50) as repere, (100 + p_size)::double as spacing, 'E.F.' as face, 'I-' || p_size as place, 'NIVEAU ' || p_size as level, p_size || ' @ ' || (p_size + 1) as span, '20M' as size, case when p_partkey % 40 between 12 and 39 then 'inches above 11' end as issue, p_size || '-25M · 10M@' || (100 + p_size) || 'mm' as summary from part""")
+def shop_readings(s, d):
+    """Grammars and repairs of read shop drawings, written and read back."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    st = lambda c: c.cast("string")
+    spec = F.concat(F.lit("R"), st(z % 9), F.lit(": "), st(1 + z % 3), F.lit("x"), st(z), F.lit("-25M A"), st(k % 50), F.lit(" @"), st(100 + z), F.lit(" E.F."))
+    kind = "struct<quantite:int,diametre:string,espacement_mm:double>"
+    bars = F.array(F.struct(z.alias("quantite"), F.lit("25M").alias("diametre"), F.lit(None).cast("double").alias("espacement_mm")).cast(kind), F.struct(F.lit(None).cast("int").alias("quantite"), F.lit("10M").alias("diametre"), (100 + z).cast("double").alias("espacement_mm")).cast(kind))
+    x = t(s, d, "part").select(
+        k.alias("k"), F.size(G.fragments(F.concat(st(z), F.lit("-25M A.S. "), st(z), F.lit("-15M")))).alias("fragments"), G.mat_spec(spec, F.lit(False)).alias("m"), G.place_repair(F.concat(F.lit("1-"), st(z))).alias("place"),
+        G.last_level(F.concat(F.lit("Rez-de-chaussée au niveau "), st(z), F.lit(" - toit"))).alias("level"), G.span_of_name(F.concat(F.lit("COL_NIV-"), st(z), F.lit("@"), st(z + 1), F.lit(".pdf"))).alias("span"), G.size_repair(F.element_at(F.array(F.lit("2OM"), F.lit("20H"), F.lit("2OW")), (k % 3 + 1).cast("int"))).alias("size"),
+        G.length_issues(F.concat(st(z), F.lit("-"), F.lpad(st(k % 40), 2, "0"))).alias("issue"), G.column_summary(bars).alias("summary"))
+    return x.select("k", "fragments", "m.label", "m.sets", "m.quantite", "m.repere", F.col("m.espacement_mm").alias("spacing"), "m.face", "place", "level", "span", "size", "issue", "summary")
+
+
 @query("""with m as (select l_suppkey as g, median(l_quantity - 25) as mx, median(l_tax * 100) as my from lineitem group by 1) select g, mx as dx, my as dy, count(*) as n from lineitem join m on g = l_suppkey group by 1, 2, 3 having count(*) >= 10 and avg(case when abs(l_quantity - 25 - mx) <= 18 and abs(l_tax * 100 - my) <= 18 then 1 else 0 end) >= 0.7""")
 def typical_offset(s, d):
     """The offset that most marks share."""
@@ -640,7 +692,7 @@ def view_offsets(s, d):
     return dedup.offsets(v, "main")
 
 
-@query("""select x, y from (select unnest(range(0, 5000 - 193 + 1, 1088)) as x) a, (select unnest(range(0, 3000 - 193 + 1, 1088)) as y) b""")
+@query("""select x::int as x, y::int as y from (select unnest(range(0, 5000 - 193 + 1, 1088)) as x) a, (select unnest(range(0, 3000 - 193 + 1, 1088)) as y) b""")
 def tile_grid(s, d):
     """Overlapping tiles of a page image."""
     return s.range(1).select(F.explode(pages.tiles(5000, 3000)).alias("t")).select("t.x", "t.y")

@@ -85,3 +85,52 @@ def test_within_is_brute_force(spark):
     want = {(a[1], b[1]) for a in p for b in o if ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 <= 9}
     rows = x.collect()
     assert {(v["pid"], v["oid"]) for v in rows} == want and len(rows) == len(want)
+
+
+def test_suppression_is_sequential(spark):
+    from ferrolith.operators import drawing
+
+    r = random.Random(7)
+    m = [(0, i, r.random() * 60, r.random() * 60, r.randrange(4)) for i in range(90)]
+    kept: list = []
+    for p in sorted(m, key=lambda v: (-v[4], v[1])):
+        if all(((p[2] - k[2]) ** 2 + (p[3] - k[3]) ** 2) ** 0.5 > 9 for k in kept):
+            kept.append(p)
+    df = spark.createDataFrame(m, "page int, pid int, x double, y double, size int")
+    assert {v["pid"] for v in drawing.suppress(df, ["page"], 9.0, "size").collect()} == {k[1] for k in kept}
+    assert drawing.suppress(df.limit(0), ["page"], 9.0, "size").count() == 0
+
+
+def test_components(spark):
+    from ferrolith.operators import drawing
+
+    r = random.Random(9)
+    e = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
+    parent: dict = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in e:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {v["id"]: v["component"] for v in drawing.components(spark.createDataFrame(e, "a long, b long")).collect()}
+    assert got == {v: find(v) for v in parent}
+
+
+def test_top_k(spark):
+    from ferrolith.operators import search
+
+    g = np.random.default_rng(3)
+    v = g.random((80, 6)).round(3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [0.0] * 6), (502, v[3].tolist())], "vec_id long, embedding array<double>")
+    q = rows.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in search.top_k(q, rows, 4).collect()}
+    every = {i: x for i, x in enumerate(v)} | {502: v[3]}
+    for i in range(0, 80, 20):
+        cos = lambda j: round(float(every[i] @ every[j] / np.linalg.norm(every[i]) / np.linalg.norm(every[j])), 7)  # noqa: E731, B023
+        want = sorted((j for j in every if j != i), key=lambda j: (-cos(j), j))[:4]
+        assert [got[i, k] for k in range(1, 5)] == want
+    assert search.top_k(q.limit(0), rows, 4).count() == 0
