@@ -34,6 +34,7 @@ from ferrolith.functions.text import unscramble
 LEAST = 15  # words of a stretch
 SHARE = 0.76  # of its words matched
 OWN_SHARE, OWN_SHORT, OWN_LEAST = 0.6, 0.7, 3  # of the item's own words in it matched: in long ones, below LONG words, and how many at least
+NEARLY = 0.93  # with as many words matched two own words do, and one where nothing is altered
 LONG = 30
 LOOSE = 0.5  # other text stands in one place, and in one more for each LONG words; all else between the matched words is at most this share of their number
 OWN = 0.0  # a pair of words in more of the items than this share (or than one) belongs to a pattern
@@ -207,8 +208,9 @@ class Matcher:
 
     def _best(self, k: int, anchors: list[tuple[int, int, int]], text: list[str]) -> tuple[int, int, int] | None:
         item, weights, own = self.items[k], self.weights[k], self.own[k]
-        # a leak has three own words: two at least are unaltered, weigh enough to be anchors themselves
-        if len({x for i, _, n in anchors for x in range(i, i + n) if own[x]}) < 2:
+        # a leak has own words that are unaltered and weigh enough to be anchors themselves: two, or one in a long run
+        seen = len({x for i, _, n in anchors for x in range(i, i + n) if own[x]})
+        if seen < 1 or (seen < 2 and max(a[2] for a in anchors) < 7):
             return None
         anchors = sorted(set(anchors), key=lambda a: (a[1], a[0]))
         value = [sum(weights[a[0] : a[0] + a[2]]) for a in anchors]
@@ -229,7 +231,7 @@ class Matcher:
             chain.append(anchors[x])
             x = back[x]
         chain.reverse()
-        if sum(own[x] for i, _, n in chain for x in range(i, i + n)) < 2:
+        if not any(own[x] for i, _, n in chain for x in range(i, i + n)):
             return None
         hit = [False] * len(item)
         where: dict[int, int] = {}
@@ -257,7 +259,9 @@ class Matcher:
                 if n < self.least or (top and n <= top[0]):
                     break
                 need = max(self.own_share, OWN_SHORT if n < LONG else 0.0) * (owns[b + 1] - owns[a])
-                if sums[b + 1] - sums[a] >= self.share * n and own_hits[b + 1] - own_hits[a] >= max(OWN_LEAST, need) and self._close([where[i] for i in range(a, b + 1) if hit[i]]):
+                got = sums[b + 1] - sums[a]
+                least = 1 if got == n == where[b] - where[a] + 1 else 2 if got >= NEARLY * n else OWN_LEAST
+                if got >= self.share * n and own_hits[b + 1] - own_hits[a] >= max(least, need) and self._close([where[i] for i in range(a, b + 1) if hit[i]]):
                     top = (n, where[a], where[b])
                     break
         return top
