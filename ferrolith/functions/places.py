@@ -126,7 +126,7 @@ def place(text: str | None) -> str | None:
     if text is None:
         return None
     s = re.sub(r"^(AXES?|AX\.?)\b", " ", re.sub(r"[()\[\]]", " ", py_fold(text))).strip()
-    s = re.sub(r"(?<=[A-Z0-9'][-/_])[0-9OIL|]{1,2}$", lambda x: x[0].translate(LOOKALIKE), s)
+    s = re.sub(r"^([A-Z](?:\.\d+)?'?[-/_])([0-9OIL|]{1,2})$", lambda x: x[1] + x[2].translate(LOOKALIKE), s)
     m = re.fullmatch(r"([A-Z](?:\.\d+)?'?)[ ]*[-/_ .]?[ ]*(\d{1,3}(?:[.,]\d+)?)", s)
     if m is None and (r := re.fullmatch(r"(\d{1,3}(?:[.,]\d+)?)[ ]*[-/_ .]?[ ]*([A-Z](?:\.\d+)?'?)", s)):
         m = re.fullmatch(r"(.*)\n(.*)", f"{r[2]}\n{r[1]}")

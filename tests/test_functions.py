@@ -61,7 +61,7 @@ def test_storey(text, name):
     assert P.storey(text) == name
 
 
-@pytest.mark.parametrize(("text", "name"), [("(E-13)", "E-13"), ("8-J", "J-8"), ("AXES 9/H", "H-9"), ("Q - 6", "Q-6"), ("J14", "J-14"), ("a.5–15", "A.5-15"), ("E-l0", "E-10"), ("UNKNOWN", None), (None, None)])
+@pytest.mark.parametrize(("text", "name"), [("(E-13)", "E-13"), ("8-J", "J-8"), ("AXES 9/H", "H-9"), ("Q - 6", "Q-6"), ("J14", "J-14"), ("a.5–15", "A.5-15"), ("E-l0", "E-10"), ("17-L", "L-17"), ("AXES 2/L", "L-2"), ("L-1", "L-1"), ("UNKNOWN", None), (None, None)])
 def test_place(text, name):
     assert P.place(text) == name
 
