@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 ACCENTED = "ÀÂÄÁÃÅÇÉÈÊËÎÏÍÌÔÖÓÒÕÛÜÙÚÑÝŸàâäáãåçéèêëîïíìôöóòõûüùúñýÿ"
 BASE = "AAAAAACEEEEIIIIOOOOOUUUUNYYaaaaaaceeeeiiiiooooouuuunyy"
 DASHES = "‐‑‒–—―−"
-SPACES = r"[\s   -​    　﻿]+"
+SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
 def fold(c: Column) -> Column:
     """Upper case without diacritics, dashes made '-', white space runs made one blank; null stays null."""
     x = F.translate(c, ACCENTED + DASHES, BASE + "-" * len(DASHES))
     # a decomposed letter keeps its base letter: the combining mark is removed
-    x = F.regexp_replace(x, r"[̀-ͯ]", "")
+    x = F.regexp_replace(x, r"[\u0300-\u036f]", "")
     return F.trim(F.regexp_replace(F.upper(x), SPACES, " "))
 
 

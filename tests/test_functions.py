@@ -50,6 +50,9 @@ def test_roles_and_cells(spark):
 def test_fold_is_the_same_in_both_worlds(spark):
     for t in ("Rez-de-chaussée", "  NIV  3 ", "étage", "a–b"):
         assert one(spark, fold(F.lit(t))) == py_fold(t)
+    for sp in "\u00a0\u2003\u200b\u3000\ufeff\u202f\u0085\t\n":
+        assert one(spark, strip_space(F.lit(f"{sp}x y{sp}{sp}"))) == "x y"
+    assert one(spark, fold(F.lit("e\u0301tage"))) == "ETAGE"
     assert one(spark, strip_space(F.lit("  x y\t"))) == "x y"
     assert unscramble("ZurÃ¼ck, fÃ»ts") == "Zurück, fûts"
 
