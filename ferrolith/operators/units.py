@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.session import checkpoint
 from ferrolith.sources.tables import once
 
 # Millimetres per unit.
@@ -188,10 +189,15 @@ def snapped(field: str, mm: float, value: float, unit: str, system: str) -> floa
 
 def histories(rows: DataFrame, source: str, order: list[str], field: str, key: str, text: str) -> DataFrame:
     """rows of several sources with a quantity `field` and callouts `text`: key, value, unit of the column, mm."""
-    w = Window.partitionBy(source).orderBy(*order, key)
-    n = F.row_number().over(w) - 1
     x = rows.select(source, key, *order, F.col(field).cast("double").alias("value"), F.col(text).alias("raw")).filter("value is not null or raw is not null")
-    x = x.withColumn("n", n).withColumn("piece", F.floor(F.col("n") / PIECE).cast("long"))
+    # numbers along each source, without one task for a source: ranges of the whole order are numbered by themselves, and begin
+    # where the ranges before them end
+    x = checkpoint(x.repartitionByRange(source, *order, key).withColumn("range", F.spark_partition_id()))
+    before = F.sum("c").over(Window.partitionBy(source).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = x.groupBy(source, "range").agg(F.count("*").alias("c")).select(source, "range", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy(source, "range").orderBy(*order, key))
+    x = x.withColumn("own", own).join(starts, [source, "range"]).withColumn("n", F.col("start") + F.col("own") - 1).drop("own", "start", "range")
+    x = x.withColumn("piece", F.floor(F.col("n") / PIECE).cast("long"))
     # the laps: the last values of a piece are the next one's too, and the other way round
     at = F.col("n") % PIECE
     parts = F.array(F.col("piece"), F.when(at >= PIECE - LAP, F.col("piece") + 1), F.when((at < LAP) & (F.col("piece") > 0), F.col("piece") - 1))
