@@ -106,3 +106,30 @@ def tiles(width: int, height: int, size: int = 1280, lap: int = 192) -> Column:
     xs = F.sequence(F.lit(0), F.lit(max(0, width - lap - 1)), F.lit(step))
     ys = F.sequence(F.lit(0), F.lit(max(0, height - lap - 1)), F.lit(step))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def right_of(tokens: DataFrame, labels: DataFrame, page: list[str], dx: float = 60.0, dy: float = 3.0) -> DataFrame:
+    """labels (page, pid, x, y) and tokens (page, oid, ox, oy, text): pid, value: texts on the label's row, at most dx to its right, in order."""
+    from ferrolith.operators.spatial import within
+
+    x = within(labels, tokens, page, dx + dy).filter((F.col("ox") > F.col("x")) & (F.col("ox") - F.col("x") <= dx) & (F.abs(F.col("oy") - F.col("y")) <= dy))
+    v = x.groupBy(*page, "pid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ox", "oid", "text"))), lambda s: s["text"]), " ").alias("value"))
+    return labels.select(*page, "pid").join(v, [*page, "pid"], "left")
+
+
+def sheet_identity(lines: DataFrame, files: DataFrame, page: list[str]) -> DataFrame:
+    """lines (page, seq, x, y, text) and files (page, stem, number): the drawing number in the box under its label, else '<stem> p<n>'."""
+    label = lines.filter(F.upper(F.trim("text")).isin("DESSIN NO.", "DESSIN NO", "DWG NO."))
+    from ferrolith.operators.spatial import within
+
+    below = within(label.select(*page, F.col("seq").alias("pid"), "x", "y"), lines.select(*page, F.col("seq").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), "text"), page, 50.0)
+    ok = (F.col("oid") != F.col("pid")) & (F.col("oy") - F.col("y")).between(0, 29.999) & (F.abs(F.col("ox") - F.col("x")) < 40) & F.trim("text").rlike(r"^[A-Z0-9][A-Z0-9\-_.]{1,15}$") & ~F.trim("text").endswith(".")
+    best = below.filter(ok).groupBy(*page).agg(F.min_by(F.trim("text"), F.struct("oy", "oid")).alias("stated"))
+    return files.join(best, page, "left").select(*page, F.coalesce("stated", F.concat(F.col("stem"), F.lit(" p"), F.col("number").cast("string"))).alias("feuillet"))
+
+
+def page_layer(lines: DataFrame, page: list[str]) -> DataFrame:
+    """page, layer: of the first line that names one."""
+    from ferrolith.functions.places import layer
+
+    return lines.withColumn("_l", layer(F.col("text"))).filter("_l is not null").groupBy(*page).agg(F.min_by("_l", "seq").alias("layer"))

@@ -535,6 +535,40 @@ def median_height(s, d):
     return pages.median_height(tokens(s, d), 0.8, 1.2).groupBy("page").agg(F.count("*").alias("n"))
 
 
+@query(f"""with t as (select page, seq, x0 as x, y0 as y, text from {_TOKENS}), l as (select * from t where starts_with(text, 'S1')) select l.page, l.seq, v.value from l left join (select l.page, l.seq, l.x as lx, l.y as ly, string_agg(t.text, ' ' order by t.x, t.seq) as value from l join t on t.page = l.page and t.x > l.x and t.x - l.x <= 60 and abs(t.y - l.y) <= 3 group by 1, 2, 3, 4) v on v.page = l.page and v.seq = l.seq and v.lx = l.x and v.ly = l.y""")
+def values_right_of(s, d):
+    """What stands to the right of a label, on its row."""
+    k = tokens(s, d).select("page", "seq", "x0", "y0", "text")
+    # seq isn't a key of line items: the label is known by its place too
+    lab = k.filter("text like 'S1%'").select("page", F.struct("seq", "x0", "y0").alias("pid"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
+    tok = k.select("page", F.col("seq").alias("oid"), F.col("x0").cast("double").alias("ox"), F.col("y0").cast("double").alias("oy"), "text")
+    return pages.right_of(tok, lab, ["page"]).select("page", F.col("pid.seq").alias("seq"), "value")
+
+
+@query("""select s_suppkey as page, case when s_suppkey % 3 = 0 then 'D-' || s_suppkey else 'plan p' || s_suppkey end as feuillet, case s_suppkey % 4 when 0 then 'HAUT' when 1 then 'BAS' when 2 then 'INTEGRITE' end as layer from supplier""")
+def sheet_identities(s, d):
+    """Drawing numbers under their labels, layers by the first line that names one."""
+    k = F.col("s_suppkey")
+    line = lambda n, x, y, text: F.struct(F.lit(n).alias("seq"), F.lit(x).alias("x"), F.lit(y).alias("y"), text.alias("text"))
+    drawn = F.element_at(F.array(F.lit("Lit haut"), F.lit("ARM. BAS"), F.lit("Intégrité"), F.lit("Notes")), (k % 4 + 1).cast("int"))
+    lines = [
+        line(1, 100.0, 50.0, F.lit("DESSIN NO.")), line(2, 110.0, 70.0, F.when(k % 3 == 0, F.concat(F.lit("D-"), k.cast("string"))).otherwise("voir liste")),
+        line(3, 400.0, 70.0, drawn), line(4, 400.0, 90.0, F.when(k % 4 == 3, "notes").otherwise("lit bas"))]
+    x = t(s, d, "supplier").select(k.alias("page"), F.explode(F.array(*lines)).alias("v")).select("page", "v.*")
+    ids = pages.sheet_identity(x, t(s, d, "supplier").select(k.alias("page"), F.lit("plan").alias("stem"), k.alias("number")), ["page"])
+    return ids.join(pages.page_layer(x, ["page"]), "page", "left")
+
+
+@query("""with r as (select p_partkey // 12 as g, p_partkey as seq, case when p_partkey % 3 <> 1 then chr(65 + (p_partkey % 12)::int) end as label, p_partkey % 5 <> 0 as seen from part), w as (select *, ascii(lag(label) over (partition by g order by seq)) as a, ascii(lead(label) over (partition by g order by seq)) as b from r)
+select seq, coalesce(label, case when b - a = 2 and seen then chr(a + 1) end) as label from w""")
+def middle_letters(s, d):
+    """An unread letter between two that are two apart, if it was seen."""
+    k = F.col("p_partkey")
+    here = F.char(65 + k % 12)
+    r = t(s, d, "part").select(F.floor(k / 12).alias("g"), k.alias("seq"), F.when(k % 3 != 1, here).alias("label"), F.when(k % 5 != 0, F.array(here)).otherwise(F.array(F.lit("?"))).alias("options"))
+    return islands.middle_letters(r, ["g"], "seq").select("seq", "label")
+
+
 _PTS = "(select c_custkey % 5 as page, c_custkey as pid, (c_custkey * 37 % 1000)::double as x, (c_custkey * 91 % 700)::double as y from customer)"
 _SYM = "(select p_partkey % 5 as page, p_partkey as oid, (p_partkey * 53 % 1000)::double as ox, (p_partkey * 17 % 700)::double as oy from part)"
 
