@@ -6,8 +6,9 @@
    and storey, all bars together, single bars with their figures, and, from the second round on, the cell of the drawing.
    An edge weighs the logarithm of the inverse block size of what it shares.
 3. Meta-blocking: an edge stays if its weight reaches half of the heaviest edge of either end. Blocks of more than RARE
-   comparisons aren't rare and yield no edge, but for the place, whose blocks are cut finer by the bars then; what such a
-   block would find is found through the cell of the drawing.
+   comparisons have no weight; of these every pair is taken that reaches ACCEPT by place and bars alone: those of one place,
+   and those that share enough of their bars, by a prefix-filtered join (`common`). What only positions bring up to ACCEPT
+   is found through the cell of the drawing.
 4. Collective refinement: an edge's similarity has a part from the pairs accepted around it: the pairs of one shop file fix
    how its axes lie in those of the plan (scale, turn and shift, by least squares over sums), and a pair is the more similar
    the nearer its two positions come. Pairs are accepted one to one, best mutual pairs first, until none is left; axes and
@@ -31,9 +32,13 @@ from ferrolith.sources.tables import once
 
 ROUNDS = 5
 RARE = 64  # comparisons in a block up to which what its records share is rare
+SALT = 50_000  # comparisons of a block that one join key holds
 ACCEPT = 2.0  # similarity from which a pair is accepted
 NEAR, FAR = 9.0, 18.0  # plan units within which positions agree, and from which on they disagree; grid lines are 30 and more apart
 CELL = 24.0
+# Of two records that don't share a place, the share of bar figures in common from which on they can reach ACCEPT without
+# positions: 1.5 * (1 + share) - 0.6 + 0.3 >= 2.
+ALIKE = 8 / 15
 # How file names begin the kinds of elements.
 KINDS = {"col": "colonne", "pou": "poutre", "sem": "semelle", "dal": "dalle", "mur": "mur_refend", "rad": "radier"}
 
@@ -87,15 +92,49 @@ def _keys(r: DataFrame) -> DataFrame:
     return r.select("id", F.explode(all_).alias("k")).select("id", "k.*")
 
 
+def _sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, c: comparisons of each block that both sides have."""
+    return a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key").select("key", (F.col("na") * F.col("nb")).alias("c"))
+
+
+def _prefixes(r: DataFrame, size: DataFrame) -> DataFrame:
+    """id, key: of each record's bar figures the rarest, so many that records with a share of ALIKE in common have one of them in common."""
+    k = r.select("id", "scope", F.size("marks").alias("_m"), F.explode("marks").alias("mark")).select("id", "_m", F.concat_ws("\n", "scope", F.lit("mark"), "mark").alias("key"))
+    k = k.join(size, "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(0)), "key")))
+    return k.filter(F.col("_r") <= F.col("_m") - F.ceil(F.col("_m") * F.lit(ALIKE) - 1e-9) + 1).select("id", "key")
+
+
+def common(plan: DataFrame, shop: DataFrame) -> DataFrame:
+    """plan_id, shop_id of the pairs in blocks of more than RARE comparisons whose similarity reaches ACCEPT without positions.
+
+    Exact: such a pair has its place in common or a share of ALIKE of its bar figures, and then one of the prefix of both.
+    Blocks are spread over as many keys as they hold SALT comparisons.
+    """
+    place = lambda r: r.filter("place is not null").select("id", F.concat_ws("\n", "scope", F.lit("place"), "place").alias("key"))
+    every = lambda r: r.select("id", "scope", F.explode("marks").alias("mark")).select("id", F.concat_ws("\n", "scope", F.lit("mark"), "mark").alias("key"))
+    marks = _sizes(every(plan), every(shop))
+    places = _sizes(place(plan), place(shop))
+    # sizes (the 'd' figures) stand in no block of `candidates`
+    hot = places.filter(F.col("c") > RARE).unionByName(marks.filter((F.col("c") > RARE) | F.col("key").rlike(r"\nd[^\n]*$")))
+    hot = hot.select("key", F.ceil(F.col("c") / SALT).cast("int").alias("salts"))
+    a = place(plan).unionByName(_prefixes(plan, marks)).join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    b = place(shop).unionByName(_prefixes(shop, marks)).join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    said = lambda r, to: r.select("id", *[F.col(c).alias(c + to) for c in ("place", "part", "marks")])
+    a = a.join(said(plan, ""), "id").withColumnRenamed("id", "plan_id").drop("salts")
+    b = b.join(said(shop, "2"), "id").withColumnRenamed("id", "shop_id").drop("salts")
+    e = a.join(b, ["key", "salt"]).withColumn("n", F.lit(0))
+    return e.filter(F.round(_similarity(F.lit(None).cast("double")), 6) >= ACCEPT).select("plan_id", "shop_id").distinct()
+
+
 def candidates(plan: DataFrame, shop: DataFrame) -> DataFrame:
-    """plan_id, shop_id, weight of the edges that meta-blocking leaves."""
+    """plan_id, shop_id, weight of the edges that meta-blocking leaves, and, of weight 0, the pairs of `common`."""
     a, b = _keys(plan), _keys(shop)
-    size = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key")
-    size = size.filter((F.col("na") * F.col("nb") <= RARE)).select("key", F.log2(1 + 64.0 / (F.col("na") * F.col("nb"))).alias("w"))
+    size = _sizes(a, b).filter(F.col("c") <= RARE).select("key", F.log2(1 + 64.0 / F.col("c")).alias("w"))
     e = a.join(size, "key").join(b.withColumnRenamed("id", "shop_id").drop("what"), "key")
     e = e.groupBy(F.col("id").alias("plan_id"), "shop_id").agg(F.sum("w").alias("weight"))
     top = lambda c: F.max("weight").over(Window.partitionBy(c))
-    return e.withColumn("_p", top("plan_id")).withColumn("_s", top("shop_id")).filter("weight * 2 >= least(_p, _s)").drop("_p", "_s")
+    e = e.withColumn("_p", top("plan_id")).withColumn("_s", top("shop_id")).filter("weight * 2 >= least(_p, _s)").drop("_p", "_s")
+    return e.unionByName(common(plan, shop).withColumn("weight", F.lit(0.0))).groupBy("plan_id", "shop_id").agg(F.max("weight").alias("weight"))
 
 
 def _axes(matched: DataFrame) -> DataFrame:

@@ -99,6 +99,37 @@ def test_linkage_by_place_bars_and_axes(spark):
     assert got == want
 
 
+def test_linkage_of_crowded_places_without_positions(spark):
+    # 10 records of each side at one place, 100 comparisons: bars and positions of no help but for the figures
+    plan = [record(i, True, "A-1", 3, [("25M", 4 + i, None), ("10M", None, 300.0)], None, None) for i in range(10)]
+    shop = [record(100 + i, False, "A-1", 3, [("25M", 4 + i, None), ("10M", None, 300.0)], None, None) for i in range(10)]
+    # 9 of each side with the same bars, without a place on one side
+    plan += [record(200 + i, True, f"B-{i + 1}", 4, [("20M", 6, None)], None, None) for i in range(9)]
+    shop += [record(300 + i, False, "UNKNOWN", 4, [("20M", 6, None)], None, None) for i in range(9)]
+    # hot in place and in all bars
+    plan += [record(400 + i, True, "C-1", 5, [("15M", 8, None)], None, None) for i in range(9)]
+    shop += [record(500 + i, False, "C-1", 5, [("15M", 8, None)], None, None) for i in range(9)]
+    got = {(x["atelier_id"], x["plan_id"]) for x in linkage.found(spark.createDataFrame(plan, RECORD), spark.createDataFrame(shop, RECORD)).collect()}
+    assert got >= {(f"DA{100 + i:04d}", f"PL{i:04d}") for i in range(10)}
+    assert len(got) == 28 and len({a for a, _ in got}) == len({p for _, p in got}) == 28
+
+
+def test_common_pairs_are_all_pairs_that_reach_the_threshold(spark):
+    r = random.Random(11)
+    bars = lambda: [(r.choice(["15M", "25M"]), r.choice([2, 3, None]), r.choice([None, 200.0])) for _ in range(r.randrange(0, 4))]
+    name = lambda: r.choice(["A-1", "A-2", "B-7", "UNKNOWN"])
+    plan = linkage.attributes(spark.createDataFrame([record(i, True, name(), 3, bars(), None, None) for i in range(40)], RECORD), True).cache()
+    shop = linkage.attributes(spark.createDataFrame([record(100 + i, False, name(), 3, bars(), None, None) for i in range(40)], RECORD), False).cache()
+    full = plan.select("scope", F.col("id").alias("plan_id"), "place", "part", "marks").join(shop.select("scope", F.col("id").alias("shop_id"), *[F.col(c).alias(c + "2") for c in ("place", "part", "marks")]), "scope").withColumn("n", F.lit(0))
+    pairs = lambda df: {(x["plan_id"], x["shop_id"]) for x in df.select("plan_id", "shop_id").collect()}
+    want = pairs(full.filter(F.round(linkage._similarity(F.lit(None).cast("double")), 6) >= linkage.ACCEPT))
+    old, linkage.RARE, linkage.SALT = (linkage.RARE, linkage.SALT), 0, 7
+    try:
+        assert want and pairs(linkage.common(plan, shop)) == want
+    finally:
+        linkage.RARE, linkage.SALT = old
+
+
 def test_linkage_of_nothing(spark):
     e = spark.createDataFrame([], RECORD)
     assert linkage.found(e, e).count() == 0
