@@ -7,13 +7,15 @@ the items and places it matches. Runs are chained per item in order of item and
 them; the gaps between neighbouring runs of a chain are compared word by word. A stretch of the item that begins and ends
 on matched words is a leak if it has at least `least` words, at least `share` of them matched, these stand together but for a
 few insertions, and at least `own_share` of its own words are matched: those whose pairs with the word before and the word after are in no other item. What is altered in
-a leak are any words; in sentences made after the same pattern it is just the own words, names and numbers.
+a leak are any words; in sentences made after the same pattern it is just the own words, names and numbers. `least` words
+verbatim are a leak whatever the item's own words, and of every item that has them; so are LONG words nearly verbatim where
+the item has no own word.
 
 The automaton is built by each task from the items, which are sent as one broadcast of checked size (ITEMS_BYTES); beyond
 that the items are handled in blocks, one pass over the documents for each block.
 
 Defined results: null and empty documents and items match nothing; the longest texts are streamed whole; repeated items
-(the same text under two ids) are both reported; removal keeps the order of what is left.
+(the same text under two ids) count as one text and are all reported; removal keeps the order of what is left.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -124,8 +126,11 @@ class Automaton:
             self.link[cur] = q if self.len[p] + 1 == self.len[q] else self._clone(p, q, w, ends)
         return cur
 
-    def runs(self, text: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(state, length, end) of each run of the text that occurs in some item and can't be made longer at its end."""
+    def runs(self, text: list[str], least: float = math.inf, long: dict[int, tuple[int, int]] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(state, length, end) of each run of the text that occurs in some item and can't be made longer at its end.
+
+        long gets, for each state reached with `least` words or more, the greatest length and its end.
+        """
         state = length = 0
         nxt, link, size = self.next, self.link, self.len
         for j, w in enumerate(text):
@@ -143,6 +148,8 @@ class Automaton:
             else:
                 length += 1
             state = to
+            if length >= least and (state not in long or long[state][0] < length):
+                long[state] = length, j
         if length:
             yield state, length, len(text) - 1
 
@@ -164,8 +171,20 @@ def _same(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+def distinct(items: Iterable[tuple[int, str]]) -> list[tuple[list[int], str]]:
+    """Each text once, as folded, with the ids that have it."""
+    by: dict[tuple[str, ...], tuple[list[int], str]] = {}
+    for i, t in items:
+        ids = by.setdefault(tuple(folded(t)), ([], t))[0]
+        if i not in ids[-1:]:
+            ids.append(i)
+    return list(by.values())
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], least: int = LEAST, share: float = SHARE, own_share: float = OWN_SHARE, own: float = OWN):
+    """Of texts that are `distinct`."""
+
+    def __init__(self, items: list[tuple[list[int], str]], least: int = LEAST, share: float = SHARE, own_share: float = OWN_SHARE, own: float = OWN):
         self.ids = [i for i, _ in items]
         self.items = [folded(t) for _, t in items]
         self.least, self.share, self.own_share = least, share, own_share
@@ -181,18 +200,21 @@ class Matcher:
         common = max(1, own * len(self.items))
         usual = [[pairs[p] > common for p in zip(x, x[1:])] for x in self.items]
         self.own = [[not any(u[max(0, i - 1) : i + 1]) for i in range(len(x))] for x, u in zip(self.items, usual)]
+        self.bare = ["0" * LONG in "".join("1" if o else "0" for o in x) for x in self.own]
 
     def stretches(self, text: list[str]) -> dict[int, tuple[int, int, int]]:
         """item index -> (words, from, to) of its longest leaking stretch in the text."""
         get = self.weight.get
         w_at = [get(x, 0.0) for x in text]
-        # a stretch has at least three own words; without as much weight of rare words in the whole text there is none
-        if sum(x for x in w_at if x >= 2.0) < HEAVY / 2:
+        # a stretch has at least three own words; without as much weight of rare words in the whole text there is none, but for
+        # what is verbatim: `least` words of items in a row
+        if sum(x for x in w_at if x >= 2.0) < HEAVY / 2 and "1" * self.least not in "".join(["1" if x in self.weight else "0" for x in text]):
             return {}
         upto = [0.0, *itertools.accumulate(w_at)]
         anchors: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         total: dict[int, float] = defaultdict(float)
-        for state, length, end in self.sam.runs(text):
+        long: dict[int, tuple[int, int]] = {}
+        for state, length, end in self.sam.runs(text, self.least, long):
             start = end - length + 1
             w = upto[end + 1] - upto[start]
             if w < ANCHOR:
@@ -204,13 +226,31 @@ class Matcher:
         for k, w in total.items():
             if w >= HEAVY and (best := self._best(k, anchors[k], text)):
                 out[k] = best
+        for k, best in self._verbatim(long).items():
+            if k not in out or out[k][0] < best[0]:
+                out[k] = best
+        return out
+
+    def _verbatim(self, long: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int, int]]:
+        """item index -> its longest stretch of `least` words or more that the text has verbatim; also inside longer ones of other items."""
+        link, size = self.sam.link, self.sam.len
+        runs = dict(long)
+        for s, (_, end) in long.items():
+            while (s := link[s]) > 0 and size[s] >= self.least and (s not in runs or runs[s][0] < size[s]):
+                runs[s] = size[s], end
+        out: dict[int, tuple[int, int, int]] = {}
+        for s, (n, end) in runs.items():
+            for k in {k for k, _ in self.sam.ends[s]}:
+                if k not in out or out[k][0] < n:
+                    out[k] = n, end - n + 1, end
         return out
 
     def _best(self, k: int, anchors: list[tuple[int, int, int]], text: list[str]) -> tuple[int, int, int] | None:
         item, weights, own = self.items[k], self.weights[k], self.own[k]
         # a leak has own words that are unaltered and weigh enough to be anchors themselves: two, or one in a long run
+        # none where the item has none to a length of LONG
         seen = len({x for i, _, n in anchors for x in range(i, i + n) if own[x]})
-        if seen < 1 or (seen < 2 and max(a[2] for a in anchors) < 7):
+        if not self.bare[k] and (seen < 1 or (seen < 2 and max(a[2] for a in anchors) < 7)):
             return None
         anchors = sorted(set(anchors), key=lambda a: (a[1], a[0]))
         value = [sum(weights[a[0] : a[0] + a[2]]) for a in anchors]
@@ -231,7 +271,7 @@ class Matcher:
             chain.append(anchors[x])
             x = back[x]
         chain.reverse()
-        if not any(own[x] for i, _, n in chain for x in range(i, i + n)):
+        if not self.bare[k] and not any(own[x] for i, _, n in chain for x in range(i, i + n)):
             return None
         hit = [False] * len(item)
         where: dict[int, int] = {}
@@ -261,6 +301,8 @@ class Matcher:
                 need = max(self.own_share, OWN_SHORT if n < LONG else 0.0) * (owns[b + 1] - owns[a])
                 got = sums[b + 1] - sums[a]
                 least = 1 if got == n == where[b] - where[a] + 1 else 2 if got >= NEARLY * n else OWN_LEAST
+                if got >= NEARLY * n and n >= LONG and owns[b + 1] == owns[a]:
+                    least = 0
                 if got >= self.share * n and own_hits[b + 1] - own_hits[a] >= max(least, need) and self._close([where[i] for i in range(a, b + 1) if hit[i]]):
                     top = (n, where[a], where[b])
                     break
@@ -313,16 +355,17 @@ class Matcher:
                 y += 1
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, a stated set of evaluation texts, in blocks of at most ITEMS_BYTES."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+def _blocks(items: DataFrame) -> list[list[tuple[list[int], str]]]:
+    """The distinct texts of the items, a stated set of evaluation texts, in blocks of at most ITEMS_BYTES."""
+    blocks: list[list[tuple[list[int], str]]] = [[]]
     held = 0
-    for r in items.select("item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].encode())
+    rows = items.select("item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
+    for ids, text in distinct((r["item_id"], r["text"]) for r in rows):
+        n = len(text.encode()) + 8 * len(ids)
         if held + n > ITEMS_BYTES and blocks[-1]:
             blocks.append([])
             held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+        blocks[-1].append((ids, text))
         held += n
     return blocks
 
@@ -342,7 +385,7 @@ def leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
                 rows = []
                 for d, t in zip(p["doc_id"], p["text"]):
                     for k, (n, a, b) in m.stretches(folded(t)).items():
-                        rows.append((m.ids[k], d, n, a, b))
+                        rows.extend((i, d, n, a, b) for i in m.ids[k])
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "words", "first_word", "last_word"])
 
         x = docs.mapInPandas(run, "item_id long, doc_id long, words int, first_word int, last_word int")

@@ -243,6 +243,23 @@ def test_leaks(spark):
     assert got == {(0, 1), (1, 2), (0, 6), (2, 7), (3, 8), (4, 11)}
 
 
+def leaked(spark, docs, items):
+    return {(r["item_id"], r["doc_id"]) for r in leakage.found(spark.createDataFrame([(*d, "en") for d in docs], DOC), spark.createDataFrame([(*i, "q") for i in items], ITEM)).collect()}
+
+
+def test_leaks_of_repeated_items_and_shared_passages(spark):
+    it = items_of()
+    w = it[0].split()
+    items = [*enumerate(it), (0, it[0]), (70, it[0].upper())]  # delivered twice, and under another id
+    altered = " ".join(x if i % 6 != 3 else "indeed" for i, x in enumerate(w))
+    assert leaked(spark, [(1, f"so {it[0]} so"), (2, altered), (3, " ".join(w[:9]))], items) == {(0, 1), (70, 1), (0, 2), (70, 2)}
+    # a passage that two items share, alone and inside more of one of them
+    shared = " ".join(f"passage{chr(97 + i)}" for i in range(18))
+    items = [*enumerate(it), (80, f"{it[1]} {shared} {it[2]}"), (81, f"{it[3]} {shared} {it[4]}")]
+    got = leaked(spark, [(1, f"so {shared} so"), (2, f"Autumn passed quietly. {' '.join(it[1].split()[-4:])} {shared} {' '.join(it[2].split()[:4])}")], items)
+    assert {x for x in got if x[0] >= 80} == {(80, 1), (81, 1), (80, 2), (81, 2)}
+
+
 def test_automaton_matches_brute_force():
     r = random.Random(8)
     texts = [[r.choice("abc") for _ in range(r.randrange(1, 14))] for _ in range(6)]
