@@ -12,7 +12,9 @@ verbatim are a leak whatever the item's own words, and of every item that has th
 the item has no own word.
 
 The automaton is built by each task from the items, which are sent as one broadcast of checked size (ITEMS_BYTES); beyond
-that the items are handled in blocks, one pass over the documents for each block.
+that the items are handled in blocks, one pass over the documents for each block. What is rare and what is an item's own is
+counted over all items, so that it doesn't depend on where the blocks are cut. With few items no word can weigh much: the
+least weights of anchors and stretches are lowered with the greatest weight there is (below FULL).
 
 Defined results: null and empty documents and items match nothing; the longest texts are streamed whole; repeated items
 (the same text under two ids) count as one text and are all reported; removal keeps the order of what is left.
@@ -42,6 +44,7 @@ LOOSE = 0.5  # other text stands in one place, and in one more for each LONG wor
 OWN = 0.0  # a pair of words in more of the items than this share (or than one) belongs to a pattern
 ANCHOR = 2.5  # a run of less weight is no anchor of its own; it counts where it lies between anchors
 HEAVY = 9.0  # a stretch of 15 words with a fifth altered has anchors of at least this weight
+FULL = 2.0  # greatest weight of a word from which the least weights hold as they are
 ITEMS_BYTES = 32_000_000
 
 # Letters that are read for each other, each written as the first of its set.
@@ -181,23 +184,40 @@ def distinct(items: Iterable[tuple[int, str]]) -> list[tuple[list[int], str]]:
     return list(by.values())
 
 
+Counts = tuple[int, dict[str, int], dict[tuple[str, str], int]]
+
+
+def counted(texts: Iterable[list[str]]) -> Counts:
+    """Number of folded texts, and in how many of them each word and each pair of neighbouring words is."""
+    n, words, pairs = 0, Counter(), Counter()
+    for x in texts:
+        n += 1
+        words.update(set(x))
+        pairs.update(set(zip(x, x[1:])))
+    return n, words, pairs
+
+
+def _of(counts: Counts, texts: Iterable[list[str]]) -> Counts:
+    """What of the counts concerns these texts."""
+    n, words, pairs = counts
+    held = list(texts)
+    return n, {w: words[w] for x in held for w in x}, {p: pairs[p] for x in held for p in zip(x, x[1:])}
+
+
 class Matcher:
-    """Of texts that are `distinct`."""
+    """Of texts that are `distinct`; counts: those of all items, where these are but a block of them."""
 
-    def __init__(self, items: list[tuple[list[int], str]], least: int = LEAST, share: float = SHARE, own_share: float = OWN_SHARE, own: float = OWN):
+    def __init__(self, items: list[tuple[list[int], str]], least: int = LEAST, share: float = SHARE, own_share: float = OWN_SHARE, own: float = OWN, counts: Counts | None = None):
         self.ids = [i for i, _ in items]
         self.items = [folded(t) for _, t in items]
         self.least, self.share, self.own_share = least, share, own_share
-        df: Counter = Counter()
-        for x in self.items:
-            df.update(set(x))
-        self.weight = {w: math.log((len(self.items) + 1) / n) for w, n in df.items()}
+        total, df, pairs = counts or counted(self.items)
+        self.weight = {w: math.log((total + 1) / n) for w, n in df.items()}
+        unit = min(1.0, math.log(total + 1) / FULL)
+        self.anchor, self.heavy = ANCHOR * unit, HEAVY * unit
         self.sam = Automaton(self.items)
         self.weights = [[self.weight[w] for w in x] for x in self.items]
-        pairs: Counter = Counter()
-        for x in self.items:
-            pairs.update(set(zip(x, x[1:])))
-        common = max(1, own * len(self.items))
+        common = max(1, own * total)
         usual = [[pairs[p] > common for p in zip(x, x[1:])] for x in self.items]
         self.own = [[not any(u[max(0, i - 1) : i + 1]) for i in range(len(x))] for x, u in zip(self.items, usual)]
         self.bare = ["0" * LONG in "".join("1" if o else "0" for o in x) for x in self.own]
@@ -206,9 +226,9 @@ class Matcher:
         """item index -> (words, from, to) of its longest leaking stretch in the text."""
         get = self.weight.get
         w_at = [get(x, 0.0) for x in text]
-        # a stretch has at least three own words; without as much weight of rare words in the whole text there is none, but for
-        # what is verbatim: `least` words of items in a row
-        if sum(x for x in w_at if x >= 2.0) < HEAVY / 2 and "1" * self.least not in "".join(["1" if x in self.weight else "0" for x in text]):
+        # the anchors of a stretch weigh `heavy`, overlaps cut in proportion; without half as much in the whole text there is none,
+        # but for what is verbatim: `least` words of items in a row
+        if sum(w_at) < self.heavy / 2 and "1" * self.least not in "".join(["1" if x in self.weight else "0" for x in text]):
             return {}
         upto = [0.0, *itertools.accumulate(w_at)]
         anchors: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -217,14 +237,14 @@ class Matcher:
         for state, length, end in self.sam.runs(text, self.least, long):
             start = end - length + 1
             w = upto[end + 1] - upto[start]
-            if w < ANCHOR:
+            if w < self.anchor:
                 continue
             for k, e in self.sam.ends[state]:
                 anchors[k].append((e - length + 1, start, length))
                 total[k] += w
         out = {}
         for k, w in total.items():
-            if w >= HEAVY and (best := self._best(k, anchors[k], text)):
+            if w >= self.heavy and (best := self._best(k, anchors[k], text)):
                 out[k] = best
         for k, best in self._verbatim(long).items():
             if k not in out or out[k][0] < best[0]:
@@ -264,7 +284,7 @@ class Matcher:
                     if v > best[x]:
                         best[x], back[x] = v, y
         x = max(range(len(anchors)), key=best.__getitem__)
-        if best[x] < HEAVY:
+        if best[x] < self.heavy:
             return None
         chain = []
         while x >= 0:
@@ -375,8 +395,10 @@ def leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
     out = None
-    for block in _blocks(items):
-        held = spark.sparkContext.broadcast((block, limits))
+    blocks = _blocks(items)
+    counts = counted(folded(t) for b in blocks for _, t in b)
+    for block in blocks:
+        held = spark.sparkContext.broadcast((block, limits | {"counts": _of(counts, (folded(t) for _, t in block))}))
 
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             block, limits = held.value

@@ -260,6 +260,23 @@ def test_leaks_of_repeated_items_and_shared_passages(spark):
     assert {x for x in got if x[0] >= 80} == {(80, 1), (81, 1), (80, 2), (81, 2)}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7])
+def test_leaks_of_few_items(spark, n):
+    it = items_of(n)
+    docs = [(k, f"so {' '.join(x if i % 6 != 3 else 'indeed' for i, x in enumerate(t.split()))} so") for k, t in enumerate(it)]
+    assert leaked(spark, [*docs, (90, items_of(seed=9)[0])], [*enumerate(it)]) == {(k, k) for k in range(n)}
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    it = items_of(16)
+    docs = [(k, f"so {' '.join(x if i % 6 != 3 else 'indeed' for i, x in enumerate(t.split()))} so") for k, t in enumerate(it)]
+    docs += [(100 + k, x) for k, x in enumerate(items_of(30, seed=9))]
+    whole = leaked(spark, docs, [*enumerate(it)])
+    assert whole == {(k, k) for k in range(16)}
+    monkeypatch.setattr(leakage, "ITEMS_BYTES", 900)
+    assert leaked(spark, docs, [*enumerate(it)]) == whole
+
+
 def test_automaton_matches_brute_force():
     r = random.Random(8)
     texts = [[r.choice("abc") for _ in range(r.randrange(1, 14))] for _ in range(6)]
