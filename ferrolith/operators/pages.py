@@ -88,15 +88,18 @@ def collinear(marks: DataFrame, page: list[str], at: str, tolerance: float = 14.
 def calibrate(symbols: DataFrame, stated: DataFrame, page: list[str]) -> DataFrame:
     """page, scale, n: median ratio of symbol to stated size over pairs whose aspects agree within 6 %; three pairs at least.
 
-    Symbols and sizes are grouped by a bucket of the logarithm of their aspect, with the neighbouring buckets, before they meet.
+    Symbols and sizes are grouped by a bucket of the logarithm of their aspect, with the neighbouring buckets, before they meet;
+    equal ones meet once, with their numbers.
     """
     aspect = lambda a, b: F.greatest(a, b) / F.least(a, b)
-    s = symbols.filter("w > 0 and h > 0").withColumn("a", aspect(F.col("w"), F.col("h"))).withColumn("size", F.greatest("w", "h"))
-    d = stated.filter("w_mm > 0 and h_mm > 0").withColumn("want", aspect(F.col("w_mm"), F.col("h_mm"))).withColumn("mm", F.greatest("w_mm", "h_mm"))
+    equal = lambda df, w, h, n: df.filter(f"{w} > 0 and {h} > 0").groupBy(*page, w, h).agg(F.count("*").alias(n))
+    s = equal(symbols, "w", "h", "_ns").withColumn("a", aspect(F.col("w"), F.col("h"))).withColumn("size", F.greatest("w", "h"))
+    d = equal(stated, "w_mm", "h_mm", "_nd").withColumn("want", aspect(F.col("w_mm"), F.col("h_mm"))).withColumn("mm", F.greatest("w_mm", "h_mm"))
     bucket = lambda c: F.floor(F.log(c) / 0.0625).cast("int")
     d = d.withColumn("k", F.explode(F.array(*[bucket(F.col("want")) + i for i in (-1, 0, 1)])))
     x = s.withColumn("k", bucket(F.col("a"))).join(d, [*page, "k"]).filter(F.abs(F.col("a") - F.col("want")) < 0.06 * F.col("want"))
-    g = x.groupBy(*page).agg(F.median(F.col("size") / F.col("mm")).alias("m"), F.count("*").alias("n"))
+    times = F.col("_ns") * F.col("_nd")
+    g = x.groupBy(*page).agg(F.percentile(F.col("size") / F.col("mm"), 0.5, times).alias("m"), F.sum(times).alias("n"))
     return g.filter("n >= 3").select(*page, F.round("m", 6).alias("scale"), "n")
 
 

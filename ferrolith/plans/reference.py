@@ -359,8 +359,19 @@ select k.row, count(r.id) as candidates, coalesce(bool_or(k.row % 2 = 0 and len(
 def answer_key(s, d):
     """Values of an answer key among the records of their sheet and place."""
     p = plan(s, d)
+    return _answers(p.filter(F.col("seq") % 7 == 0), p)
+
+
+@query(None)
+def answer_key_whole(s, d):
+    """answer_key with a row of every record; its SQL states a sample."""
+    p = plan(s, d)
+    return _answers(p, p)
+
+
+def _answers(asked: DataFrame, p: DataFrame) -> DataFrame:
     b = F.try_element_at("armature", F.lit(1))
-    k = p.filter(F.col("seq") % 7 == 0).filter(b["quantite"].isNotNull() & b["diametre"].isNotNull())
+    k = asked.filter(b["quantite"].isNotNull() & b["diametre"].isNotNull())
     v = F.when(F.col("seq") % 2 == 0, F.concat_ws("-", b["quantite"].cast("string"), b["diametre"])).otherwise("999-10M")
     return report.check_key(k.select(F.col("seq").alias("row"), "feuillet", F.col("element").alias("localisation"), v.alias("value")), p, False).select("row", "candidates", "found")
 
@@ -701,12 +712,22 @@ def collinear_axis(s, d):
 select page, round(median(greatest(w, h) / greatest(w_mm, h_mm)), 6) as scale, count(*) as n from s join d using (page) where abs(greatest(w, h) / least(w, h) - greatest(w_mm, h_mm) / least(w_mm, h_mm)) < 0.06 * greatest(w_mm, h_mm) / least(w_mm, h_mm) group by 1 having count(*) >= 3""")
 def scale_calibration(s, d):
     """Scale of a sheet from drawn and stated sizes."""
+    return _calibration(t(s, d, "part").filter("p_partkey % 4 = 0"), t(s, d, "customer").filter("c_custkey % 9 = 0"))
+
+
+def _calibration(part: DataFrame, customer: DataFrame) -> DataFrame:
     p, c = F.col("p_partkey"), F.col("c_custkey")
-    sy = t(s, d, "part").filter("p_partkey % 4 = 0").select((p % 5).alias("page"), (p * 7 % 50 + 1).cast("double").alias("w"), (p * 11 % 40 + 1).cast("double").alias("h"))
-    st = t(s, d, "customer").filter("c_custkey % 9 = 0").select((c % 5).alias("page"), (c * 13 % 500 + 100).cast("double").alias("w_mm"), (c * 29 % 400 + 100).cast("double").alias("h_mm"))
+    sy = part.select((p % 5).alias("page"), (p * 7 % 50 + 1).cast("double").alias("w"), (p * 11 % 40 + 1).cast("double").alias("h"))
+    st = customer.select((c % 5).alias("page"), (c * 13 % 500 + 100).cast("double").alias("w_mm"), (c * 29 % 400 + 100).cast("double").alias("h_mm"))
     return pages.calibrate(sy, st, ["page"])
 
 
+@query(None)
+def scale_calibration_whole(s, d):
+    """scale_calibration over all parts and customers; its SQL states a sample."""
+    return _calibration(t(s, d, "part"), t(s, d, "customer"))
+
+
 @query("""select l_suppkey as page, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, count(*) as n from lineitem group by 1""")
 def axis_fit(s, d):
     """Affine fit of shared axis labels."""
@@ -719,10 +740,20 @@ _VIEWS = "(select case p_partkey % 3 when 0 then 'main' else 'V' || (p_partkey %
 @query(f"""with v as {_VIEWS}, s as (select a.view, a.kind, m.at - a.at as shift from v a join v m on m.view = 'main' and a.view <> 'main' and a.kind = m.kind and a.label = m.label) select view, kind, list_sort(list(shift))[(count(*) // 2 + 1)::int] as offset from s group by 1, 2 having count(*) >= 3 and max(shift) - min(shift) <= 3""")
 def view_offsets(s, d):
     """Views that are the main view shifted."""
+    return _shifted(t(s, d, "part").filter("p_partkey < 120"))
+
+
+@query(None)
+def view_offsets_whole(s, d):
+    """view_offsets over all parts; its SQL states the first 119."""
+    return _shifted(t(s, d, "part"))
+
+
+def _shifted(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     i = F.floor(k / 3) % 40
     at = i * 50 + F.when(k % 3 == 0, 0).when(k % 3 == 1, 500).otherwise(i * 3)
-    v = t(s, d, "part").filter("p_partkey < 120").groupBy(F.when(k % 3 == 0, "main").otherwise(F.concat(F.lit("V"), (k % 3).cast("string"))).alias("view"), F.lit("number").alias("kind"), i.cast("string").alias("label")).agg(F.min(at).cast("double").alias("at"))
+    v = part.groupBy(F.when(k % 3 == 0, "main").otherwise(F.concat(F.lit("V"), (k % 3).cast("string"))).alias("view"), F.lit("number").alias("kind"), i.cast("string").alias("label")).agg(F.min(at).cast("double").alias("at"))
     return dedup.offsets(v, "main")
 
 
