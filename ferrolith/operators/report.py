@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.grammar import group, spacing
+from ferrolith.functions.grammar import group, spacing, tenth
 
 # ---- answer key ----
 
@@ -71,7 +71,7 @@ CONTRACT = ["id", "source", "fichier", "feuillet", "page", "x", "y", "type_eleme
 
 def contract(records: DataFrame) -> DataFrame:
     """The ten fields of the record contract in their order of writing; places to a tenth, nulls kept."""
-    r = records.select("id", "source", "fichier", "feuillet", "page", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), "type_element", "element", "armature", "seq")
+    r = records.select("id", "source", "fichier", "feuillet", "page", tenth("x").alias("x"), tenth("y").alias("y"), "type_element", "element", "armature", "seq")
     return r.orderBy("feuillet", "page", "y", "x", "element", "seq")
 
 

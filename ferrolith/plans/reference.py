@@ -183,6 +183,15 @@ def formatting(s, d):
     return b.select("bar_id", G.bar_text(F.col("quantite"), F.col("diametre"), F.col("espacement_mm"), F.lit(None).cast("double")).alias("text"), G.escaped(F.col("raw")).alias("html"))
 
 
+@query(None)
+def formatting_whole(s, d):
+    """Every bar as text, spacings as '%g' writes them; the SQL of formatting states those on a tenth, rounded to it."""
+    b, sp = bars(s, d), F.col("espacement_mm")
+    head = F.concat(F.when(F.col("quantite").isNotNull(), F.concat(F.col("quantite").cast("string"), F.lit("-"))).otherwise(""), F.coalesce("diametre", F.lit("?")))
+    text = F.concat_ws(" ", head, F.when(sp.isNotNull(), F.concat(F.lit("@"), G.general(sp), F.lit(" mm"))))
+    return b.select("bar_id", text.alias("text"), G.escaped(F.col("raw")).alias("html"))
+
+
 @query("""select doc_id, sha256(text) as digest from documents where text is not null""")
 def content_digest(s, d):
     """Digest of contents."""
@@ -269,6 +278,12 @@ def record_contract(s, d):
     return report.contract(plan(s, d).filter(f"{half('x')} and {half('y')}")).drop("armature", "seq")
 
 
+@query(None)
+def record_contract_whole(s, d):
+    """K1, O1: record_contract of every record; its SQL states those that aren't on a half tenth."""
+    return report.contract(plan(s, d)).drop("armature", "seq")
+
+
 # ---- comparison ----
 
 

@@ -38,3 +38,14 @@ def test_every_record_is_an_answer(spark, tables):
 def test_offsets_of_all_parts(spark, tables):
     seen = reference.queries()["view_offsets_whole"](spark, tables).collect()
     assert [(r["view"], r["kind"], r["offset"]) for r in seen] == [("V1", "number", -500.0)]
+
+
+def test_every_bar_and_record_rounded_as_the_reference_does(spark, tmp_path):
+    d, values = str(tmp_path), [114.25, 114.35, 0.15, 0.25, 150.0, 1234567.5, 0.04, -7.75, None]
+    spark.createDataFrame([(i, 4, "25M", v, None) for i, v in enumerate(values)], "bar_id long, quantite int, diametre string, espacement_mm double, raw string").selectExpr("*", "timestamp'2030-01-01' as loaded_at").write.parquet(f"{d}/bars.parquet")
+    got = {r["bar_id"]: r["text"] for r in reference.queries()["formatting_whole"](spark, d).collect()}
+    assert got == {i: "4-25M" + ("" if v is None else f" @{v:g} mm") for i, v in enumerate(values)}
+    cols = "id string, seq long, source string, fichier string, feuillet string, page int, x double, y double, type_element string, element string, armature array<string>"
+    spark.createDataFrame([(f"r{i}", i, "plan", "f", "S", 1, v, v, "dalle", "A-1", []) for i, v in enumerate(values)], cols).selectExpr("*", "timestamp'2030-01-01' as loaded_at").write.parquet(f"{d}/records_plan.parquet")
+    got = {r["id"]: (r["x"], r["y"]) for r in reference.queries()["record_contract_whole"](spark, d).collect()}
+    assert got == {f"r{i}": (None, None) if v is None else (round(v, 1), round(v, 1)) for i, v in enumerate(values)}
