@@ -4,8 +4,10 @@ Each delimiter style has its own grammar of what an unfilled slot looks like ({{
 <%= name %>, [[NAME]], %(name)s, %NAME%, __NAME__, @@name@@, <name>, {3}, [insert name here], XX.XX.20XX ...). Code blocks
 are taken out beforehand. A slot that stands in a passage on templates (words such as "placeholder", "syntax", "variable"
 close by, with few slots in the text) is a tutorial's and discounted; from DENSITY slots per hundred words on, the text
-is a template whatever it says. Filler is known by its words or by the same short sentence three times running. Messages
-and notices are known by whole phrases, so that members who merely name an error or JavaScript are no cases.
+is a template whatever it says. Filler is known by repetition (a cycle of up to CYCLE words going round for REPEATED words, the
+same short sentence three times running), by the density of pseudo-Latin words, and by what it says of itself. Messages and
+notices are known by whole phrases and by a small grammar of requests (switch on, accept, reload, wait) aimed at the reader's
+browser or the page, so that members who merely name an error or JavaScript are no cases.
 
 Defined results: null and empty texts are no cases; case, accents, kinds of white space and text read in a wrong code page don't
 matter; any length of text is examined whole, in one pass over the rows (no shuffle).
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ SLOTS = {
     "dollar": rf"\$\{{\s*{_ID}\s*\}}|#\{{\s*{_ID}\s*\}}",
     "server": rf"<%=?\s*{_ID}\s*%>|&lt;%?=?\s*{_ID}\s*%?&gt;",
     "angle": rf"<<?\s*(?!/?(?:p|b|i|u|br|hr|li|ul|ol|td|tr|th|em|h\d|div|span|body|html|head|table|strong|sub|sup|pre|code|a)\s*/?>){_ID}\s*>>?",
-    "square": rf"\[\[\s*{_ID}\s*\]\]",
+    "square": rf"\[\[\s*{_ID}\s*\]\]|\[[A-ZÀ-Ý][A-ZÀ-Ý0-9]*(?:_[A-ZÀ-Ý0-9]+)+\]|\[(?i:your|votre|vos|ihre?|tu|su) {_NAME}\]",
     "percent": rf"%\({_ID}\)[sd]|%[A-ZÀ-Ý][A-ZÀ-Ý0-9]*(?:_[A-ZÀ-Ý0-9]+)*%",
     "marks": rf"__[A-ZÀ-Ý][A-ZÀ-Ý0-9]*(?:_[A-ZÀ-Ý0-9]+)*__|@@?[A-Za-zÀ-ÿ]+(?:_[A-Za-zÀ-ÿ]+)*@@?(?!\w)",
     "brace": r"\{\d{1,2}\}|(?<![{$#])\{[A-Za-zÀ-ÿ]+(?:[_. ][A-Za-zÀ-ÿ]+)*\}(?!\})",
@@ -48,6 +51,12 @@ _FILLER = re.compile(
     r"\blorem\s+ipsum\b|\b(?:dummy|sample|filler|placeholder) (?:text|paragraph|copy)\b.{0,40}\b(?:layout|publication|here|replace)|\bbody copy here\b|\btext to follow\b(?=[.\s]*(?:text to follow|$))"
     r"|\bfaux texte\b|\btexte? [àa] venir\b(?=[.\s]*(?:texte? [àa] venir|$))|\bcontenu ici\b|\bparagraphe d'exemple\b|\bblindtext\b|\bmusterabsatz\b|\bhier steht sp[äa]ter inhalt\b|\btext folgt\b(?=[.\s]*(?:text folgt|$))"
     r"|(?:\bx{3,}\b\s*){3,}", re.I)
+# Words of the usual pseudo-Latin filler; PSEUDO different ones within WINDOW words are no speech.
+_PSEUDO = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
+    "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum vestibulum curabitur pellentesque habitant morbi tristique senectus netus".split())
+PSEUDO, WINDOW = 6, 12
+CYCLE, REPEATED = 3, 8  # words of a cycle, and of a run of it, that no member says
 # Error messages of sites and servers, as whole phrases.
 _ERROR = re.compile(
     r"\btoo many requests,? (?:please )?try again\b|\bdatabase connection (?:lost|failed)|\baccess denied,? your session\b|\byour session has expired\b|\bbad gateway\b|\bgateway time-?out\b|\bthe request timed out\b|\binternal server error\b"
@@ -61,11 +70,20 @@ _ERROR = re.compile(
     r"|\bn'existe plus ou a [ée]t[ée] d[ée]plac[ée]|\b[ée]chec du chargement\b|\bne peut [êe]tre affich[ée]e? pour l'instant\b|\b(?:ce|cette|le|la) [\w\- ]{2,24}est introuvable\b(?!,)|\bsi le probl[èe]me persiste,? contactez\b|\bligne \d+ de \w+\.\w+"
     r"|\bexistiert nicht mehr\b(?!,)|\bkonnte nicht geladen werden\b|\bwurde nicht gefunden\b(?!,)|\bbei anhaltenden problemen wenden\b|\bzeile \d+ in \w+\.\w+|\bkennung: [0-9a-f]{6,}", re.I)
 # A sentence of its own that says a thing can't be found.
-_MISSING = re.compile(r"^(?:[\w'! ]{0,14}\s*[:|–—-]\s*)?(?:(?:the|this) (?:\w+ ?){1,3} (?:was|could|can)(?: ?not)? (?:be )?(?:not )?found|(?:ce|cette|le|la|l') ?[\w\- ]{1,30} est introuvable|(?:das|der|die|dieser|dieses|diese) [\w\- ]{1,30} (?:wurde )?nicht gefunden)\s*[.!]?$", re.I)
+_MISSING = re.compile(r"^(?:[\w'!¡ ]{0,14}\s*[:|–—-]\s*)?(?:(?:the|this) (?:\w+ ?){1,3} (?:was|could|can)(?: ?not)? (?:be )?(?:not )?found|(?:ce|cette|le|la|l') ?[\w\- ]{1,30} est introuvable|(?:das|der|die|dieser|dieses|diese) [\w\- ]{1,30} (?:wurde )?nicht gefunden|(?:el|la|esta|este) [\w\- ]{1,30} no (?:se ha encontrado|encontrad[ao]|existe)|(?:p[áa]gina|archivo|recurso) no encontrad[ao])\s*[.!]?$", re.I)
+# Requests that only a site makes of its reader: what is to be done, and with what.
+_REQUEST = re.compile(
+    r"\b(?:please )?(?:enable|allow|accept|turn on|switch on|unblock) (?:\w+ ){0,2}cookies\b|\bcookies (?:must|have to|need to) be (?:enabled|allowed|accepted|turned on)|\bchecking (?:your|the) browser\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b"
+    r"|\b(?:please )?(?:reload|refresh) (?:this|the|your) (?:page|browser|window)\b(?! of)|\bsomething went wrong\b[.!:,]|\btry (?:again|reloading) (?:later|in a few (?:moments|minutes))[.!]?\s*(?:$|error|request|if the problem)"
+    r"|\b(?:veuillez |merci de )?(?:activer|activez|autoriser|autorisez|accepter|acceptez) (?:les |vos )?(?:t[ée]moins|cookies)\b|\bv[ée]rification de votre navigateur\b|\b(?:veuillez |merci de )(?:recharger|actualiser) (?:la|cette) page\b|\bune erreur (?:est survenue|s'est produite)[.!:]"
+    r"|\b(?:bitte )?(?:aktivieren|erlauben|akzeptieren) sie (?:bitte )?(?:die )?cookies\b|\bihr browser wird [üu]berpr[üu]ft\b|\b(?:bitte )?laden sie (?:bitte )?(?:die|diese) seite neu\b|\bein fehler ist aufgetreten[.!:]|\betwas ist schiefgelaufen[.!:]"
+    r"|\b(?:active|habilite|acepte|permita) (?:las )?cookies\b|\bcomprobando (?:su|tu) navegador\b|\b(?:recargue|actualice) (?:la|esta) p[áa]gina\b|\bp[áa]gina no encontrada\b|\bse ha producido un error[.!:]", re.I)
 _SCRIPT = r"(?:java-?\s?script|\bjs\b|\bscripts?\b|\bscripting\b|\bskripte?n?\b)"
+_NAMED = re.compile(r"\bscript|java-?\s?script|noscript|\bjs\b|skript")  # of the literals only those at the beginning of a word
 # Notices that scripts are required.
 _NOTICE = re.compile(
-    rf"\b(?:enable|activate|turn on|switch on|allow|unblock)\s+{_SCRIPT}|{_SCRIPT} (?:must|has to|needs to|should) be (?:turned|switched) on|{_SCRIPT} (?:must|has to|needs to) be (?:enabled|activated)|{_SCRIPT} (?:is|are) (?:disabled|required|turned off|switched off|off\b)"
+    rf"\bnoscript (?:fallback|content|notice)\b|\b(?:habilite|active|active usted) {_SCRIPT}|{_SCRIPT} (?:est[áa] desactivad|es necesari)"
+    rf"|\b(?:enable|activate|turn on|switch on|allow|unblock)\s+{_SCRIPT}|{_SCRIPT} (?:must|has to|needs to|should) be (?:turned|switched) on|{_SCRIPT} (?:must|has to|needs to) be (?:enabled|activated)|{_SCRIPT} (?:is|are) (?:disabled|required|turned off|switched off|off\b)"
     rf"|\b(?:viewer|page|site|view|application|app) (?:requires|needs) {_SCRIPT}|\bbrowser (?:does not|doesn't|cannot) (?:run|support|execute)\b.{{0,20}}{_SCRIPT}|\bbrowser blocks\b.{{0,20}}{_SCRIPT}"
     rf"|\b(?:activer|activez|autoriser|autorisez|r[ée]activez|d[ée]bloquez)\s+(?:les? )?{_SCRIPT}|(?:les? )?{_SCRIPT} (?:doit|doivent) [êe]tre (?:activ|autoris)[ée]|{_SCRIPT} (?:est|sont) (?:d[ée]sactiv|requis|n[ée]cessaire|bloqu)|\b(?:visionneuse|page|vue|application|site) (?:requiert|exige|n[ée]cessite) (?:les? )?{_SCRIPT}|\bnavigateur (?:bloque|n'ex[ée]cute pas)\b.{{0,20}}{_SCRIPT}"
     rf"|\b(?:aktivieren|erlauben|schalten) sie (?:bitte )?{_SCRIPT}|\bsie m[üu]ssen {_SCRIPT} (?:zulassen|aktivieren|einschalten|erlauben)|{_SCRIPT} (?:muss|m[üu]ssen) (?:eingeschaltet|aktiviert|zugelassen)|{_SCRIPT} (?:ist|sind) (?:abgeschaltet|deaktiviert|ausgeschaltet|erforderlich)|\b(?:ansicht|seite|anzeige|anwendung) (?:ben[öo]tigt|braucht|erfordert) {_SCRIPT}|\bbrowser f[üu]hrt .{{0,30}}{_SCRIPT}.{{0,12}} nicht aus|\bbrowser blockiert\b.{{0,20}}{_SCRIPT}", re.I)
@@ -78,20 +96,35 @@ _LITERALS = {
               "error ", "http ", " gone", " forbidden", "trop de requ", "connexion ", "base de donn", "accès refus", "acces refus", "session a expir", "passerelle", "d'attente d", "erreur ", "service est indisponible",
               "tes pas autoris", "impossible d'afficher", "zu viele anfragen", "datenbankverbindung", "zugriff verweigert", "sitzung ist abgelaufen", "berschreitung der anfrage", "serverfehler", "nicht verf", "nicht erreichbar",
               "nicht berechtigt", "nicht befugt", "nicht anzeigen", "nicht darstellen", "nicht angezeigt", "nicht dargestellt", "fehler ", "moved or no longer", "failed to load", "could not be", "problem persists", "request id", "line ",
-              "existe plus ou", "chec du chargement", "pour l'instant", "introuvable", "me persiste", "ligne ", "existiert nicht mehr", "nicht geladen werden", "gefunden", "anhaltenden problemen", "zeile ", "kennung:"],
-    "script": ["javascript", "java-script", "java script", "js", "scripts", "scripting", "script ", "skript"],
+              "existe plus ou", "chec du chargement", "no encontrad", "no existe", "no se ha encontrado", "pour l'instant", "introuvable", "me persiste", "ligne ", "existiert nicht mehr", "nicht geladen werden", "gefunden", "anhaltenden problemen", "zeile ", "kennung:"],
+    "script": ["script", "js", "skript"],
+    "request": ["cookies", "témoins", "temoins", "browser", "human", "reload", "refresh", "went wrong", "try again", "try reloading", "navigateur", "recharge", "actualise", "une erreur", "seite neu", "fehler ist aufgetreten", "schiefgelaufen", "navegador", "recargue", "actualice", "no encontrada", "un error"],
     "filler": ["lorem", "dummy ", "sample ", "filler", "placeholder", "body copy", "text to follow", "faux texte", "venir", "contenu ici", "d'exemple", "blindtext", "musterabsatz", "inhalt", "text folgt", "xxx"],
 }
-_SIGNS = re.compile(r"[{$#<\[%@&]|__|XX|xxxxx")
+_SIGNS = re.compile(r"[{$#<\[%@&]|__|XX|xxxxx|(?:Mrs|Mme|Frau)\s+X")
+
+
+def _hollow(words: list[str]) -> bool:
+    """Whether words go round in a cycle of up to CYCLE words for REPEATED words and more, or PSEUDO different ones of WINDOW words are pseudo-Latin."""
+    if len(words) < REPEATED - CYCLE:
+        return False
+    at = np.fromiter(map(hash, words), np.int64, len(words))
+    for c in range(1, CYCLE + 1):
+        least = max(REPEATED, 4 * c) - c  # words in a row that are each the one c words before
+        same = at[c:] == at[:-c]
+        if same.sum() >= least and (np.diff(np.flatnonzero(np.r_[True, ~same, True])) > least).any():
+            return True
+    if len(_PSEUDO.intersection(words)) < PSEUDO:
+        return False
+    return any(len(_PSEUDO.intersection(words[i : i + WINDOW])) >= PSEUDO for i in range(max(1, len(words) - WINDOW + 1)))
 
 
 def _finder():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, literals in _LITERALS.items():
-        for x in literals:
-            a.add_word(x, kind)
+    for x in {x for literals in _LITERALS.values() for x in literals}:
+        a.add_word(x, tuple(kind for kind, literals in _LITERALS.items() if x in literals))
     a.make_automaton()
     return a
 
@@ -114,20 +147,21 @@ def kinds(text: str | None) -> list[str]:
             if dense or any(not _TUTORIAL.search(plain[max(0, m.start() - NEAR) : m.start()] + " " + plain[m.end() : m.end() + NEAR]) for m in slots):
                 out.append("placeholder")
     flat = " ".join((t if t.isascii() else t.translate(_NOTHING)).split())
-    hits = {kind for _, kind in _FINDER.iter(flat.lower())}
+    low = flat.lower()
+    hits = {kind for _, kinds_ in _FINDER.iter(low) for kind in kinds_}
     parts = [x.strip() for x in _BREAK.split(t)]
-    if ("filler" in hits and _FILLER.search(flat)) or any(a and a == b == c and not _FORMULA.search(a) for a, b, c in zip(parts, parts[1:], parts[2:])):
+    if ("filler" in hits and _FILLER.search(flat)) or _hollow(low.split()) or any(a and a == b == c and not _FORMULA.search(a) for a, b, c in zip(parts, parts[1:], parts[2:])):
         out.append("filler")
-    if "error" in hits and (_ERROR.search(flat) or any(len(x) < 90 and _MISSING.match(" ".join(x.split())) for x in parts)):
+    if ("request" in hits and _REQUEST.search(flat)) or "error" in hits and (_ERROR.search(flat) or any(len(x) < 90 and _MISSING.match(" ".join(x.split())) for x in parts)):
         out.append("error")
-    if "script" in hits and _NOTICE.search(flat):
+    if "script" in hits and _NAMED.search(low) and _NOTICE.search(flat):
         out.append("script")
     return out
 
 
 _NOTHING = {0x200B: " ", 0xFEFF: " "}
 # Formulas of the chair, which may be repeated.
-_FORMULA = re.compile(r"\b(?:sitting|minutes|amendment|article|séance|procès-verbal|amendement|sitzung|protokoll|antrag|artikel|applause|laughter|applaudissements|beifall|heiterkeit|rires|sourires)\b", re.I)
+_FORMULA = re.compile(r"\b(?:hear|oh|sitting|minutes|amendment|article|séance|procès-verbal|amendement|sitzung|protokoll|antrag|artikel|applause|laughter|applaudissements|beifall|heiterkeit|rires|sourires)\b", re.I)
 
 
 def residue(documents: DataFrame) -> DataFrame:

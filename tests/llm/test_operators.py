@@ -309,7 +309,9 @@ def test_leaks_of_nothing(spark):
 @pytest.mark.parametrize("text", [
     "We agree {{ member_name }} on the aim.", "Dear ${NAME}, thanks", "the #{party} said", "%(vote_result)s in favour", "[[DATE]] we met", "[insert speaker here] rose", "[date TBC]", "on XX.XX.20XX we", "Mr/Mrs XXXXX said", "My group {2} tabled", "@@groupe@@",
     "__DATUM__", "&lt;datum&gt;", "<%= date %>", "<<speaker>>", "[À REMPLIR]", "[BITTE AUSFÜLLEN]", "Lorem ipsum fauci", "Blindtext für das Layout.", "Body copy here. Body copy here. Body copy here.", "xxxx xxxx xxxx xxxx", "Error 504 | bad gateway", "404\nce dossier est introuvable",
-    "Oops! the request timed out", "The page has moved or no longer exists", "Please enable JavaScript to continue.", "DIESE ANSICHT BENÖTIGT JAVASCRIPT", "Votre navigateur bloque les scripts utiles Ã  cette page", "ZurÃ¼ck. Interner Serverfehler."])
+    "Oops! the request timed out", "The page has moved or no longer exists", "Please enable JavaScript to continue.", "DIESE ANSICHT BENÖTIGT JAVASCRIPT", "Votre navigateur bloque les scripts utiles Ã  cette page", "ZurÃ¼ck. Interner Serverfehler.",
+    "Dear [Your Name], hello", "Order [ORDER_NUMBER] is done", "Please enable cookies to continue.", "Checking your browser before accessing the site.", "Something went wrong. Please reload the page.", "sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+    "Error 404. Página no encontrada.", "Noscript fallback: content hidden.", "bla " * 9, "asdf qwer " * 4, "Please enable script.", "Mr/Mrs X said"])
 def test_residue(text):
     assert residue.kinds(text)
 
@@ -317,7 +319,8 @@ def test_residue(text):
 @pytest.mark.parametrize("text", [
     None, "", "He said [sic] so.", "[inaudible] I spoke of this", "[Kelovac: That is wrong!]", "I refer to Chapter XX, article 13[b], and to the set {1, 2, 3} of annexes.", "When citizens of Drosk open the portal they read error 404, page not found, and nothing else, Minister!",
     "The ministry's form demanded JavaScript, and half of Velmora could not file.", "A service unavailable since 12 weeks is no service.", "Use `{{name}}` here.", "The draft still had blanks where names should stand.", "The sitting is resumed. The sitting is resumed. The sitting is resumed.",
-    "On lit erreur 404, page introuvable, madame la ministre !", "dans ma circonscription, cela ne suffit pas", "50% of <b>it</b>"])
+    "On lit erreur 404, page introuvable, madame la ministre !", "dans ma circonscription, cela ne suffit pas", "50% of <b>it</b>",
+    "Hear, hear! Hear, hear! Hear, hear!", "Nein, nein, nein! Never, never, never again.", "In my circonscription the transcript is ready."])
 def test_no_residue(text):
     assert residue.kinds(text) == []
 
