@@ -1,29 +1,32 @@
 """Differences between two copies of a table by characteristic-polynomial set reconciliation.
 
 Each row becomes an element of the field of integers modulo 2^61 - 1: a hash of its key and of its normalised fields. The
-elements of a side fall into buckets by the hash of the key. The characteristic polynomial of a bucket's set, the product
-of (z - element), is evaluated at agreed points; a side sends nothing but these few values, which multiply up from
-partition to partition (so that they're pre-aggregated before the shuffle). The quotient of both sides' values is the
-quotient of the polynomials of what is on one side only, as the common factors cancel. It is interpolated as a rational
-function whose degrees are bounded by d, and checked at further points; where the check fails, d is doubled for that
-bucket, until it holds. The roots, found by testing the bucket's own elements, are the differing rows. Only these are
-fetched, and their fields are compared.
-
-Buckets of a key hash hold BUCKET rows on average at any size of the table, so no bucket is hot; a key delivered again
-counts once. Nothing but statistics of a fixed size per bucket meets in one place.
-
-Defined results: null keys are compared as the key ''; a null field differs from any value but null (an empty list is as
-good as null); nan equals nan; empty tables differ in all rows of the other side.
+elements fall into buckets by the hash of the key, BUCKET rows of a side to a bucket on average; keys and elements, nothing
+else of the rows, are partitioned by bucket once, which also drops redeliveries. The characteristic polynomial of a bucket's
+set, the product of (z - element), is evaluated at agreed points for both sides. The quotient of both values is the quotient
+of the polynomials of what is on one side only, as the common factors cancel. It is interpolated as a rational function whose
+degrees are bounded by d, and checked at further points; where the check fails, d is doubled, until it holds. The roots, found
+by testing the bucket's own elements, are the differing rows. A bucket with more than LAST differences is halved by one more
+bit of its elements and each half reconciled by itself, so that no bucket is ever compared in another way. Only rows with
+differing elements are then fetched, and their fields compared.
+
+No bucket is hot, as buckets are by hash of the key and a key delivered again counts once; rows without a key are counted by
+what they hold and bucketed by that.
+
+Defined results: rows without a key are reported under the id '' and only as missing, once for each different content that one
+side has more often than the other; a null field differs from any value but null (an empty list is as good as null); nan equals
+nan; empty tables differ in all rows of the other side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.session import checkpoint
@@ -31,8 +34,9 @@ from ferrolith.sources.tables import once
 
 P = (1 << 61) - 1
 _M31, _M30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
-BUCKET = 256  # rows to a bucket
-FIRST, LAST = 4, 256  # the first bound on the degrees, and the one from which on a bucket is fetched whole
+BUCKET = 64  # rows of a side to a bucket
+FIRST, LAST = 4, 64  # the first bound on the degrees, and the one beyond which a bucket is halved
+BROADCAST = 32_000_000  # bytes of differing keys up to which they're sent to every executor
 CHECKS = 2  # points beyond those that the interpolation needs
 
 
@@ -48,6 +52,7 @@ def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return reduce61(reduce61(au * bu * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & _M30) << np.uint64(31))) + reduce61(al * bl))
 
 
+@cache
 def points(n: int) -> np.ndarray:
     """Agreed points of evaluation."""
     return np.array([xxhash.xxh3_64_intdigest(f"point {i}") % P for i in range(n)], np.uint64)
@@ -156,119 +161,91 @@ def interpolate(ratio: Sequence[int], z: Sequence[int], more: int, bound: int) -
     return _divide(num, g), _divide(den, g)
 
 
+def products(e: np.ndarray, start: np.ndarray, size: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Runs x points: the product of (z - element) over each run of elements, multiplied up pairwise; 1 for an empty run."""
+    vals = np.where(z[None, :] >= e[:, None], z[None, :] - e[:, None], z[None, :] + np.uint64(P) - e[:, None])
+    out = np.ones((len(start), len(z)), np.uint64)
+    full = np.flatnonzero(size)
+    start, left = start[full], size[full]
+    while (left > 1).any():
+        half = (left + 1) // 2
+        one = np.repeat(start - np.r_[0, np.cumsum(half)[:-1]] * 2, half) + 2 * np.arange(half.sum())
+        two = one + 1 < np.repeat(start + left, half)
+        new = vals[one]
+        new[two] = mul61(new[two], vals[one[two] + 1])
+        vals, start, left = new, np.r_[0, np.cumsum(half)[:-1]], half
+    if len(full):
+        out[full] = vals[start]
+    return out
+
+
+def _whole(e: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return products(e, np.zeros(1, np.int64), np.array([len(e)]), z)[0]
+
+
+def recover(a: np.ndarray, b: np.ndarray, bit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of two sets of elements: which of a aren't in b, and which of b aren't in a. Doubles the degree bound until it's verified; beyond LAST the sets are halved."""
+    bound, ratio = FIRST, []
+    while bound <= LAST:
+        z = points(bound + 1 + CHECKS)
+        new = z[len(ratio) :]
+        ratio += [int(u) * pow(int(v), -1, P) % P for u, v in zip(_whole(a, new), _whole(b, new))]
+        got = interpolate(ratio, [int(x) for x in z], len(a) - len(b), bound)
+        if got is not None:
+            hit = evaluate(got[0], a) == 0, evaluate(got[1], b) == 0
+            if hit[0].sum() == len(got[0]) - 1 and hit[1].sum() == len(got[1]) - 1:
+                return hit
+        bound *= 2
+    u, v = (a >> np.uint64(bit)) & np.uint64(1) == 1, (b >> np.uint64(bit)) & np.uint64(1) == 1
+    out = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for x, y in ((u, v), (~u, ~v)):
+        out[0][x], out[1][y] = recover(a[x], b[y], bit + 1)
+    return out
+
+
 # ---- on tables ----
 
 
-def _signature(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    z = points(n)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            p = p.sort_values(["bucket", "side"], kind="stable")
-            b, s = p["bucket"].to_numpy(), p["side"].to_numpy()
-            e = p["element"].to_numpy().astype(np.uint64)
-            start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
-            size = np.diff(np.r_[start, len(b)])
-            # product per run and point, by doubling steps within the runs
-            vals = np.where(z[None, :] >= e[:, None], z[None, :] - e[:, None], z[None, :] + np.uint64(P) - e[:, None])
-            left = size.copy()
-            while (left > 1).any():
-                half = (left + 1) // 2
-                idx_a = np.concatenate([st + 2 * np.arange(h) for st, h in zip(start, half)])
-                ends = np.repeat(start + left, half)
-                idx_b = idx_a + 1
-                ok = idx_b < ends
-                new = vals[idx_a]
-                new[ok] = mul61(new[ok], vals[idx_b[ok]])
-                vals = new
-                start = np.r_[0, np.cumsum(half)[:-1]]
-                left = half
-            first = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
-            yield pd.DataFrame({"bucket": b[first], "side": s[first], "rows": size, "vals": [v.astype(np.int64).tolist() for v in vals[start]]})
-
-    return run
-
-
-def _product(sign: DataFrame, n: int) -> DataFrame:
-    """Values multiplied up per bucket, both sides of a bucket in one row."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out: dict[str, list] = {"bucket": [], "n_a": [], "n_b": [], "ratio": []}
-            for bucket, g in zip(p["bucket"], p["g"]):
-                count, acc = [0, 0], [[1] * n, [1] * n]
-                for r in g:
-                    s = r["side"]
-                    count[s] += r["rows"]
-                    acc[s] = [x * int(y) % P for x, y in zip(acc[s], r["vals"])]
-                if acc[0] == acc[1] and count[0] == count[1]:
-                    continue
-                out["bucket"].append(bucket)
-                out["n_a"].append(count[0])
-                out["n_b"].append(count[1])
-                out["ratio"].append([x * pow(y, -1, P) % P for x, y in zip(*acc)])
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
-
-    g = sign.groupBy("bucket").agg(F.collect_list(F.struct("side", "rows", "vals")).alias("g"))
-    return g.mapInPandas(run, "bucket long, n_a long, n_b long, ratio array<long>")
-
-
-def _polynomials(bound: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = [int(x) for x in points(bound + 1 + CHECKS)]
-        for p in parts:
-            out: dict[str, list] = {"bucket": [], "num": [], "den": [], "solved": []}
-            for bucket, na, nb, ratio in zip(p["bucket"], p["n_a"], p["n_b"], p["ratio"]):
-                found = None
-                d = 1
-                while found is None and d <= bound:
-                    found = interpolate([int(x) for x in ratio], z, int(na - nb), d)
-                    d *= 2
-                out["bucket"].append(bucket)
-                out["num"].append(found[0] if found else None)
-                out["den"].append(found[1] if found else None)
-                out["solved"].append(found is not None)
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
-
-    return run
-
-
-def _roots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Elements of a bucket that are roots of its side's polynomial; poly is null where the bucket is fetched whole."""
+def _buckets(p: pd.DataFrame) -> pd.DataFrame:
+    """Differing rows of whole buckets, sorted by bucket and side."""
+    b, s, e = p["bucket"].to_numpy(), p["side"].to_numpy(), p["element"].to_numpy().astype(np.uint64)
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    last = np.r_[first[1:], len(b)]
+    turn = first + np.add.reduceat(s == 0, first)  # where the second side begins
+    z = points(FIRST + 1 + CHECKS)
+    same = (products(e, first, turn - first, z) == products(e, turn, last - turn, z)).all(1) & (turn - first == last - turn)
+    hit = np.zeros(len(p), bool)
+    for i in np.flatnonzero(~same):
+        x, y, w = first[i], turn[i], last[i]
+        hit[x:y], hit[y:w] = recover(e[x:y], e[y:w])
+    return p.loc[hit, ["side", "key"]]
+
+
+def _reconciled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: pd.DataFrame | None = None  # the rows of the last bucket, which the next batch may continue
     for p in parts:
-        hit = np.zeros(len(p), bool)
-        e = p["element"].to_numpy().astype(np.uint64)
-        for (_, _), at in p.groupby(["bucket", "side"]).indices.items():
-            poly = p["poly"].iat[at[0]]
-            hit[at] = True if poly is None else evaluate([int(c) for c in poly], e[at]) == 0
-        yield p.loc[hit, ["side", "key", "element"]]
+        p = p if held is None else pd.concat([held, p], ignore_index=True)
+        if not len(p):
+            continue
+        cut = int(np.searchsorted(p["bucket"].to_numpy(), p["bucket"].iat[-1]))
+        held = p.iloc[cut:]
+        if cut:
+            yield _buckets(p.iloc[:cut].reset_index(drop=True))
+    if held is not None and len(held):
+        yield _buckets(held.reset_index(drop=True))
 
 
 def differing(a: DataFrame, b: DataFrame, buckets: int) -> DataFrame:
-    """a and b: key string, element long (each key once). side (0, 1), key and element of what one side has and the other hasn't.
+    """a and b: key string, element long, at (time of delivery; of a key the first counts): side (0, 1) and key of what one side has and the other hasn't.
 
-    A bucket whose difference is beyond the first bound goes to the next with the doubled bound, evaluated anew for these
-    buckets only; beyond LAST all its rows are taken, which is exact too, as fields are compared afterwards.
+    One shuffle, of keys and elements only: the window that drops redeliveries asks for no other partitioning than that by bucket,
+    and leaves each partition sorted.
     """
     rows = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-    rows = checkpoint(rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))))  # hashed once
-    out, todo, bound = None, rows, FIRST
-    while True:
-        n = bound + 1 + CHECKS
-        sign = todo.select("bucket", "side", "element").mapInPandas(_signature(n), "bucket long, side int, rows long, vals array<long>")
-        open_ = _product(sign, n)
-        poly = checkpoint(open_.mapInPandas(_polynomials(bound), "bucket long, num array<long>, den array<long>, solved boolean"))
-        last = bound * 8 > LAST
-        done = poly if last else poly.filter("solved")
-        x = todo.join(done, "bucket").withColumn("poly", F.when(F.col("side") == 0, F.col("num")).otherwise(F.col("den")))
-        x = x.select("bucket", "side", "key", "element", "poly").mapInPandas(_roots, "side int, key string, element long")
-        out = x if out is None else out.unionByName(x)
-        if last or poly.filter("not solved").isEmpty():
-            return out
-        todo = todo.join(poly.filter("not solved").select("bucket"), "bucket", "left_semi")
-        bound *= 8
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition("bucket")
+    w = Window.partitionBy("bucket", "side", "key").orderBy(F.col("at").asc_nulls_last())
+    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("bucket", "side", "key", "element")
+    return rows.sortWithinPartitions("bucket", "side").mapInPandas(_reconciled, "side int, key string")  # sorted so already: no further sort
 
 
 # ---- records ----
@@ -299,18 +276,35 @@ def normal_form(records: DataFrame) -> DataFrame:
     bars = F.transform("armature", lambda b, i: b.withField("repere", F.element_at(F.col("_s.bars"), i + 1)["r"]).withField("diametre", F.element_at(F.col("_s.bars"), i + 1)["d"]))
     order = F.array_sort(F.transform(bars, bar))
     return x.select(
-        F.coalesce("id", F.lit("")).alias("id"), *[text(F.col(f"_s.{c}")).alias(c) for c in PLAIN], "page",
+        "id", *[text(F.col(f"_s.{c}")).alias(c) for c in PLAIN], "page",
         F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.when(F.size("armature") > 0, order).alias("armature"),
     )
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Amounts rounded to hundredths before hashing: what rounding separates wrongly is fetched and found equal, what differs by AMOUNT or more is never hashed alike."""
-    q = lambda c: F.floor(c / AMOUNT + 0.5).cast("long")
-    bars = F.array_sort(F.transform("armature", lambda b: F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("~")) for v in (b["repere"], b["diametre"], b["quantite"], q(b["espacement_mm"]), q(b["longueur_mm"]))])))
-    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("long").alias(c)
-    said = F.to_json(F.struct("id", *PLAIN, "page", tenth("x"), tenth("y"), bars.alias("bars")), {"ignoreNullFields": "false"})
-    return rows.select(F.col("id").alias("key"), F.pmod(F.xxhash64(said), F.lit(P)).alias("element"))
+# White space of any kind.
+WHITE = " \t\n\x0b\f\r\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_NULL, _NEXT, _NO_KEY = "\u0001", "\u0002", "\u0000"
+
+
+def _hashed(records: DataFrame) -> DataFrame:
+    """key, element, at of raw rows. Amounts count in hundredths: what rounding separates wrongly, or an order of bars that composition changes, is fetched and found
+    equal; what differs by AMOUNT or more is never hashed alike. Rows without a key: one for each different content, with its number."""
+    from pyspark.sql.types import StringType
+
+    q = lambda c: F.floor(c / AMOUNT + 0.5)
+    text = lambda c: F.btrim(c, F.lit(WHITE))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(_NULL))
+    bar = lambda b: F.concat_ws("|", *map(said, (text(b["repere"]), text(b["diametre"]), b["quantite"], q(b["espacement_mm"]), q(b["longueur_mm"]))))
+    bars = F.array_join(F.array_sort(F.transform(F.coalesce("armature", F.array().cast(dict(records.dtypes)["armature"])), bar)), _NEXT)
+    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5)
+    line = F.concat_ws(_NEXT, said(F.col("id")), *[said(text(F.col(c))) for c in PLAIN], said(F.col("page")), said(tenth("x")), said(tenth("y")), bars)
+    x = records.select("id", (F.col("loaded_at") if "loaded_at" in records.columns else F.lit(None)).cast("timestamp").alias("at"), line.alias("line"))
+    # below U+0300 every text is composed already
+    composed = F.pandas_udf(_compose, StringType())(F.when(F.col("line").rlike("[^\\x{0}-\\x{2ff}]"), F.col("line")))
+    x = x.select("id", "at", F.pmod(F.xxhash64(F.coalesce(composed, F.col("line"))), F.lit(P)).alias("element"))
+    keyed = x.filter("id is not null").select(F.col("id").alias("key"), "element", "at")
+    bare = x.filter("id is null").groupBy("element").agg(F.count("*").alias("n")).select(F.concat(F.lit(_NO_KEY), F.concat_ws("/", "element", "n")).alias("key"))
+    return keyed.unionByName(bare.select("key", F.pmod(F.xxhash64("key"), F.lit(P)).alias("element"), F.lit(None).cast("timestamp").alias("at")))
 
 
 def _bars_differ(a: Column, b: Column) -> Column:
@@ -331,14 +325,22 @@ def compare(records: DataFrame, mirror: DataFrame, buckets: int | None = None) -
 
     An id delivered again counts once. buckets: about the rows of the larger side / BUCKET; taken from the tables if not given.
     """
-    one = normal_form(once(records, "id"))
-    two = normal_form(once(mirror, "id"))
-    a, b = _hashed(one), _hashed(two)
     if buckets is None:
-        buckets = max(1, records.count() // BUCKET)
-    lines = checkpoint(differing(a, b, buckets))
-    left = one.join(lines.filter("side = 0").select(F.col("key").alias("id")), "id", "left_semi")
-    right = two.join(lines.filter("side = 1").select(F.col("key").alias("id")), "id", "left_semi")
+        buckets = max(1, max(records.count(), mirror.count()) // BUCKET)
+    lines = checkpoint(differing(_hashed(records), _hashed(mirror), buckets))
+    # rows without a key: contents that one side has more often
+    bare = lines.filter(F.col("key").startswith(_NO_KEY)).select("side", F.split(F.substring("key", 2, 100), "/").alias("k"))
+    side = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("k")[1].cast("long"))), F.lit(0))
+    bare = bare.groupBy(F.col("k")[0].alias("element")).agg((side(0) > side(1)).alias("more"))
+    bare = bare.select(F.lit("").alias("id"), F.when(F.col("more"), "missing_in_mirror").otherwise("missing_in_records").alias("difference"))
+    lines = lines.filter(~F.col("key").startswith(_NO_KEY))
+    size = lines.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()[0]
+
+    def fetched(rows: DataFrame, n: int) -> DataFrame:
+        keys = lines.filter(F.col("side") == n).select(F.col("key").alias("id"))
+        return normal_form(once(rows.join(F.broadcast(keys) if size <= BROADCAST else keys, "id", "left_semi"), "id"))
+
+    left, right = fetched(records, 0), fetched(mirror, 1)
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
     both = l.join(r, F.col("l.id") == F.col("r.id"), "full")
     diffs = [F.when(F.col("r.id").isNull(), F.lit("missing_in_mirror")), F.when(F.col("l.id").isNull(), F.lit("missing_in_records"))]
@@ -348,7 +350,7 @@ def compare(records: DataFrame, mirror: DataFrame, buckets: int | None = None) -
         d = _bars_differ(u, v) if c == "armature" else _tenths_differ(u, v) if c in ("x", "y") else ~u.eqNullSafe(v)
         diffs.append(F.when(here & d, F.lit(c)))
     x = both.select(F.coalesce("l.id", "r.id").alias("id"), F.explode(F.array_compact(F.array(*diffs))).alias("difference"))
-    return x
+    return x.unionByName(bare)
 
 
 def found(plan: DataFrame, atelier: DataFrame, mirror: DataFrame) -> DataFrame:

@@ -122,12 +122,28 @@ def test_differing_is_the_set_difference(spark, n, changed, buckets):
         else:
             b[k] = r.randrange(R.P)
     b |= {f"new{i}": r.randrange(R.P) for i in range(changed // 3)}
-    f = lambda x: spark.createDataFrame(sorted(x.items()), "key string, element long") if x else spark.createDataFrame([], "key string, element long")
-    got = {(x["side"], x["key"], x["element"]) for x in R.differing(f(a), f(b), buckets).collect()}
-    want = {(0, k, e) for k, e in a.items() if b.get(k) != e} | {(1, k, e) for k, e in b.items() if a.get(k) != e}
-    assert want <= got
-    if changed < 100:  # beyond the last bound a bucket comes whole
-        assert got == want
+    f = lambda x: spark.createDataFrame([(k, e, NOW) for k, e in sorted(x.items())], "key string, element long, at timestamp")
+    got = [(x["side"], x["key"]) for x in R.differing(f(a), f(b), buckets).collect()]
+    want = {(0, k) for k, e in a.items() if b.get(k) != e} | {(1, k) for k, e in b.items() if a.get(k) != e}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_recover_halves_what_differs_too_much():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, R.P, 700).astype(np.uint64), r.integers(0, R.P, 300).astype(np.uint64)
+    both = r.integers(0, R.P, 500).astype(np.uint64)
+    x, y = R.recover(np.r_[a, both], np.r_[both, b])
+    assert x[:700].all() and not x[700:].any() and y[500:].all() and not y[:500].any()
+    x, y = R.recover(a, a[:0])
+    assert x.all() and not len(y)
+
+
+def test_an_empty_or_small_side_makes_no_single_bucket(spark):
+    rows = [rec(f"{i:05d}") for i in range(900)]
+    assert len(differences(spark, [], rows)) == 900
+    assert differences(spark, rows[:3], rows) == {(r[0], "missing_in_records") for r in rows[3:]}
+    tenth = [rec(r[0], page=2) if i % 10 == 0 else r for i, r in enumerate(rows)]
+    assert differences(spark, rows, tenth) == {(r[0], "page") for r in rows[::10]}
 
 
 BAR = "struct<repere:string,diametre:string,quantite:int,espacement_mm:double,longueur_mm:double>"
@@ -161,3 +177,6 @@ def test_nothing_and_nulls(spark):
     assert differences(spark, [rec("1")], []) == {("1", "missing_in_mirror")}
     none = tuple([None] * 12)
     assert differences(spark, [none], [none]) == set()
+    bare = rec(None)
+    assert differences(spark, [bare, bare], [bare]) == {("", "missing_in_mirror")}
+    assert differences(spark, [bare], [bare, rec(None, page=7)]) == {("", "missing_in_records")}
