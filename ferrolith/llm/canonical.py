@@ -3,7 +3,8 @@
 Every distinct value and every list entry becomes a set of tokens. Tokens are ordered by global rarity (frequency over
 values and list together, then the token). Two sets with Jaccard >= t must share a token within their first
 n - ceil(t*n) + 1 tokens, so only these rare prefixes are joined; the length filter and the positional filter drop
-pairs that can't reach t; what is left is verified exactly, and the best entry is kept.
+pairs that can't reach t; what is left is verified exactly. `similar_entries` gives every pair at t or above. Of these the
+mapping keeps, after a check that value and entry state the same number or both none, the best.
 
 Defined results: a null value is no value and yields no row; a value that is an entry character for character maps to
 it; a value without tokens (blank, '?') or without an entry at t is unmatched (0); among equally similar entries the
@@ -41,9 +42,19 @@ def designator_parts(text: str) -> tuple[str, str]:
     return re.sub(r"[^A-Z]", "", s), n[0] if n else ""
 
 
+def plain_parts(text: str) -> tuple[str, str]:
+    """(letters, number) of any other value: letters folded, the first number as it stands."""
+    s = py_fold(text)
+    n = re.findall(r"\d+", s)
+    return re.sub(r"[^A-Z]", "", s), n[0].lstrip("0") or "0" if n else ""
+
+
+READ = {"diametre": designator_parts, "niveau": words_and_number}  # how a field's values are read; others plainly
+
+
 def value_parts(field: str, value: str) -> tuple[str, str]:
-    """(letters, number) by field; fields without a rule of their own are read like storeys."""
-    letters, number = designator_parts(value) if field == "diametre" else words_and_number(value)
+    """(letters, number) by field."""
+    letters, number = READ.get(field, plain_parts)(value)
     return letters.replace(" ", ""), number
 
 
@@ -63,10 +74,9 @@ def tokenised(df: DataFrame) -> DataFrame:
 
 
 def similar_entries(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """values (field, value, number, tokens) and entries (field, ref_id, number, tokens): per value its best entry at threshold.
+    """values (field, value, number, tokens) and entries (field, ref_id, number, tokens): field, value, ref_id, similarity, agree of all pairs at threshold or above.
 
-    Returns field, value, ref_id, similarity. A number that both state must be the same, so that it is a part of the join key.
-    Values without an entry are absent.
+    agree: whether both state the same number, or none.
     """
     t = threshold
     v = values.filter(F.size("tokens") > 0)
@@ -83,13 +93,18 @@ def similar_entries(values: DataFrame, entries: DataFrame, threshold: float = TH
     a = prefixes(v, "value")
     b = prefixes(e, "ref_id").select("field", "token", "ref_id", "number", F.col("n").alias("m"), F.col("all").alias("other"), F.col("at").alias("bt"))
     need = F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)))
-    c = a.join(b, ["field", "number", "token"]).filter((F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t))
+    c = a.join(b.withColumnRenamed("number", "other_number"), ["field", "token"]).filter((F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t))
     c = c.filter(1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) - 1 >= need)
     c = c.dropDuplicates(["field", "value", "ref_id"])
     both = F.size(F.array_intersect("all", "other"))
     c = c.withColumn("similarity", both / (F.col("n") + F.col("m") - both)).filter(F.col("similarity") >= t)
+    return c.select("field", "value", "ref_id", "similarity", F.col("number").eqNullSafe(F.col("other_number")).alias("agree"))
+
+
+def best_entries(pairs: DataFrame) -> DataFrame:
+    """Per value the likest entry whose number agrees, the smallest id on ties."""
     best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("back"))).alias("b")
-    return c.groupBy("field", "value").agg(best).select("field", "value", (-F.col("b.back")).alias("ref_id"), "b.similarity")
+    return pairs.filter("agree").groupBy("field", "value").agg(best).select("field", "value", (-F.col("b.back")).alias("ref_id"), "b.similarity")
 
 
 def map_values(rows: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,7 +118,7 @@ def map_values(rows: DataFrame, entries: DataFrame, threshold: float = THRESHOLD
     ref = ref.withColumn("number", F.coalesce("number", F.lit("")))
     distinct = tokenised(rows.select("field", "value").filter("value is not null and field is not null").distinct())
     exact = entries.select("field", F.col("label").alias("value"), F.col("ref_id").alias("exact")).groupBy("field", "value").agg(F.min("exact").alias("exact"))
-    found = similar_entries(distinct, ref, threshold).withColumnRenamed("ref_id", "near")
+    found = best_entries(similar_entries(distinct, ref, threshold)).withColumnRenamed("ref_id", "near")
     known = distinct.select("field", "value").join(found, ["field", "value"], "left").join(exact, ["field", "value"], "left")
     known = known.select("field", "value", F.coalesce("exact", "near", F.lit(0)).cast("int").alias("ref_id"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("similarity")).alias("similarity"), F.col("exact").isNotNull().alias("verbatim"))
     return rows.filter("value is not null").join(known, ["field", "value"], "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(0)))

@@ -11,13 +11,15 @@ a leak are any words; in sentences made after the same pattern it is just the ow
 verbatim are a leak whatever the item's own words, and of every item that has them; so are LONG words nearly verbatim where
 the item has no own word.
 
-The automaton is built by each task from the items, which are sent as one broadcast of checked size (ITEMS_BYTES); beyond
-that the items are handled in blocks, one pass over the documents for each block. What is rare and what is an item's own is
+The automaton is built once by each Python worker from the items, which are sent as one broadcast of checked size
+(ITEMS_BYTES, some 400,000 states); beyond that the items are handled in blocks, one pass over the documents for each block. The
+end positions of a state are a slice of one list in the order of the suffix links, so that none is held twice. What is rare and what is an item's own is
 counted over all items, so that it doesn't depend on where the blocks are cut. With few items no word can weigh much: the
 least weights of anchors and stretches are lowered with the greatest weight there is (below FULL).
 
 Defined results: null and empty documents and items match nothing; the longest texts are streamed whole; repeated items
-(the same text under two ids) count as one text and are all reported; removal keeps the order of what is left.
+(the same text under two ids) count as one text and are all reported; `cleaned` takes the spans out of the text as it was read
+(composed, words broken at line ends joined), with the order of what is left kept, and leaves other documents as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.text import unscramble
+from ferrolith.session import checkpoint
 
 LEAST = 15  # words of a stretch
 SHARE = 0.76  # of its words matched
-OWN_SHARE, OWN_SHORT, OWN_LEAST = 0.6, 0.7, 3  # of the item's own words in it matched: in long ones, below LONG words, and how many at least
+OWN_SHARE, OWN_SHORT, OWN_LEAST = 0.5, 0.55, 3  # of the item's own words in it matched: in long ones, below LONG words, and how many at least
 NEARLY = 0.93  # with as many words matched two own words do, and one where nothing is altered
 LONG = 30
 LOOSE = 0.5  # other text stands in one place, and in one more for each LONG words; all else between the matched words is at most this share of their number
@@ -45,7 +48,8 @@ OWN = 0.0  # a pair of words in more of the items than this share (or than one)
 ANCHOR = 2.5  # a run of less weight is no anchor of its own; it counts where it lies between anchors
 HEAVY = 9.0  # a stretch of 15 words with a fifth altered has anchors of at least this weight
 FULL = 2.0  # greatest weight of a word from which the least weights hold as they are
-ITEMS_BYTES = 32_000_000
+ITEMS_BYTES = 2_000_000
+WHOLE = 0.5  # share of a document in leaking spans from which on nothing of it is kept
 
 # Letters that are read for each other, each written as the first of its set.
 _READ = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "h": "b", "6": "b", "c": "e", "q": "g", "9": "g", "ı": "l", "u": "n", "v": "y"})
@@ -60,17 +64,23 @@ def _key(word: str) -> str:
 _KEYS: dict[str, str] = {}
 
 
-def folded(text: str) -> list[str]:
-    """Folded words of a text; each different word is folded once (the memory of words is emptied when it gets large)."""
+def prepared(text: str) -> str:
+    """A text as its words are found in it: composed, words broken at line ends joined."""
     t = unscramble(text)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t).replace("­", "")
     if "-" in t or "‐" in t:
         t = _BROKEN.sub(r"\1", t)
+    return t
+
+
+def folded(text: str) -> list[str]:
+    """Folded words of a text; each different word is folded once (the memory of words is emptied when it gets large)."""
+    t = prepared(text)
     if len(_KEYS) > 500_000:
         _KEYS.clear()
     out = []
-    for w in _WORD.findall(t.lower()):
+    for w in map(str.lower, _WORD.findall(t)):  # word by word, so that words keep their places in t
         k = _KEYS.get(w)
         if k is None:
             plain = w if w.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", w) if not unicodedata.combining(ch))
@@ -85,27 +95,41 @@ class Automaton:
     def __init__(self, texts: list[list[str]]):
         self.next: list[dict[str, int]] = [{}]
         self.link, self.len = [-1], [0]
-        ends: list[list[tuple[int, int]]] = [[]]
+        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, text in enumerate(texts):
             last = 0
             for i, w in enumerate(text):
-                last = self._extend(last, w, ends)
-                ends[last].append((k, i))
-        order = sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True)
-        for s in order:
-            if self.link[s] > 0:
-                ends[self.link[s]].extend(ends[s])
-        self.ends = ends
-
-    def _new(self, length: int, ends: list) -> int:
+                last = self._extend(last, w)
+                own[last].append((k, i))
+        # the states in the order of the tree of suffix links: the ends of a state and of all below it stand together
+        below: dict[int, list[int]] = defaultdict(list)
+        for s in range(1, len(self.link)):
+            below[self.link[s]].append(s)
+        self._ends: list[tuple[int, int]] = []
+        self._from, self._to = [0] * len(self.len), [0] * len(self.len)
+        stack = [(0, False)]
+        while stack:
+            s, done = stack.pop()
+            if done:
+                self._to[s] = len(self._ends)
+                continue
+            self._from[s] = len(self._ends)
+            self._ends += own.pop(s, ())
+            stack.append((s, True))
+            stack += [(c, False) for c in below.pop(s, ())]
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(text, place) of every occurrence of the state's words, by their last word."""
+        return self._ends[self._from[state] : self._to[state]]
+
+    def _new(self, length: int) -> int:
         self.next.append({})
         self.link.append(-1)
         self.len.append(length)
-        ends.append([])
         return len(self.len) - 1
 
-    def _clone(self, p: int, q: int, w: str, ends: list) -> int:
-        c = self._new(self.len[p] + 1, ends)
+    def _clone(self, p: int, q: int, w: str) -> int:
+        c = self._new(self.len[p] + 1)
         self.next[c], self.link[c] = dict(self.next[q]), self.link[q]
         self.link[q] = c
         while p >= 0 and self.next[p].get(w) == q:
@@ -113,11 +137,11 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def _extend(self, last: int, w: str, ends: list) -> int:
+    def _extend(self, last: int, w: str) -> int:
         q = self.next[last].get(w)
         if q is not None:
-            return q if self.len[last] + 1 == self.len[q] else self._clone(last, q, w, ends)
-        cur = self._new(self.len[last] + 1, ends)
+            return q if self.len[last] + 1 == self.len[q] else self._clone(last, q, w)
+        cur = self._new(self.len[last] + 1)
         p = last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = cur
@@ -126,7 +150,7 @@ class Automaton:
             self.link[cur] = 0
         else:
             q = self.next[p][w]
-            self.link[cur] = q if self.len[p] + 1 == self.len[q] else self._clone(p, q, w, ends)
+            self.link[cur] = q if self.len[p] + 1 == self.len[q] else self._clone(p, q, w)
         return cur
 
     def runs(self, text: list[str], least: float = math.inf, long: dict[int, tuple[int, int]] | None = None) -> Iterator[tuple[int, int, int]]:
@@ -239,7 +263,7 @@ class Matcher:
             w = upto[end + 1] - upto[start]
             if w < self.anchor:
                 continue
-            for k, e in self.sam.ends[state]:
+            for k, e in self.sam.ends(state):
                 anchors[k].append((e - length + 1, start, length))
                 total[k] += w
         out = {}
@@ -260,7 +284,7 @@ class Matcher:
                 runs[s] = size[s], end
         out: dict[int, tuple[int, int, int]] = {}
         for s, (n, end) in runs.items():
-            for k in {k for k, _ in self.sam.ends[s]}:
+            for k in {k for k, _ in self.sam.ends(s)}:
                 if k not in out or out[k][0] < n:
                     out[k] = n, end - n + 1, end
         return out
@@ -375,34 +399,57 @@ class Matcher:
                 y += 1
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[list[int], str]]]:
-    """The distinct texts of the items, a stated set of evaluation texts, in blocks of at most ITEMS_BYTES."""
-    blocks: list[list[tuple[list[int], str]]] = [[]]
+def _texts(items: DataFrame) -> DataFrame:
+    """ids, text of each different text of the items, as folded."""
+
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: " ".join(folded(t)))
+
+    rows = items.filter("text is not null and item_id is not null").select("item_id", "text", F.pandas_udf(fold, "string")("text").alias("f"))
+    return rows.groupBy("f").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.min("text").alias("text")).orderBy(F.col("ids")[0], "text").select("ids", "text")
+
+
+def _blocks(texts: DataFrame) -> Iterator[list[tuple[list[int], str]]]:
+    """The texts in blocks of at most ITEMS_BYTES, one held at a time."""
+    block: list[tuple[list[int], str]] = []
     held = 0
-    rows = items.select("item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
-    for ids, text in distinct((r["item_id"], r["text"]) for r in rows):
-        n = len(text.encode()) + 8 * len(ids)
-        if held + n > ITEMS_BYTES and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((ids, text))
+    for r in texts.toLocalIterator():
+        n = len(r["text"].encode()) + 8 * len(r["ids"])
+        if held + n > ITEMS_BYTES and block:
+            yield block
+            block, held = [], 0
+        block.append((list(r["ids"]), r["text"]))
         held += n
-    return blocks
+    if block:
+        yield block
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, held) -> Matcher:
+    """The matcher of a block, built once by a worker; the blocks before it are forgotten."""
+    if name not in _MATCHERS:
+        block, limits = held.value
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(block, **limits)
+    return _MATCHERS[name]
 
 
 def leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """item_id, doc_id, words (of the item's longest leaking stretch), first_word, last_word (its place in the document)."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
-    out = None
-    blocks = _blocks(items)
-    counts = counted(folded(t) for b in blocks for _, t in b)
-    for block in blocks:
+    out = spark.createDataFrame([], "item_id long, doc_id long, words int, first_word int, last_word int")
+    texts = checkpoint(_texts(items))
+    # counts over all items, which are a stated set: words and pairs of the evaluation texts
+    counts = counted(folded(t) for b in _blocks(texts) for _, t in b)
+    for number, block in enumerate(_blocks(texts)):
         held = spark.sparkContext.broadcast((block, limits | {"counts": _of(counts, (folded(t) for _, t in block))}))
+        name = f"{held._jbroadcast.id()}-{number}"
 
-        def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            block, limits = held.value
-            m = Matcher(block, **limits)
+        def run(parts: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
+            m = _matcher(name, held)
             for p in parts:
                 rows = []
                 for d, t in zip(p["doc_id"], p["text"]):
@@ -410,11 +457,46 @@ def leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
                         rows.extend((i, d, n, a, b) for i in m.ids[k])
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "words", "first_word", "last_word"])
 
-        x = docs.mapInPandas(run, "item_id long, doc_id long, words int, first_word int, last_word int")
-        out = x if out is None else out.unionByName(x)
+        out = out.unionByName(docs.mapInPandas(run, "item_id long, doc_id long, words int, first_word int, last_word int"))
     return out
 
 
+def without(text: str, spans: Iterable[tuple[int, int]]) -> tuple[str, int]:
+    """The text as prepared() gives it without the words of the spans (first and last, as in leaks), and the number of words taken out."""
+    t = prepared(text)
+    at = [(m.start(), m.end()) for m in _WORD.finditer(t)]
+    out, end, gone = [], 0, set()
+    for a, b in sorted(spans):
+        gone.update(range(a, b + 1))
+        if at[b][1] <= end:
+            continue
+        out.append(t[end : max(end, at[a][0])])
+        end = at[b][1]
+    out.append(t[end:])
+    return " ".join(x.strip() for x in out if x.strip()), len(gone)
+
+
+def cleaned(documents: DataFrame, items: DataFrame, whole: float = WHOLE, **limits) -> DataFrame:
+    """doc_id, text, removed of every document: leaking spans taken out, `removed` words of them; text is null where they cover `whole` of the words or more."""
+    spans = leaks(documents, items, **limits).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_word", "last_word"))).alias("spans"))
+    x = documents.select("doc_id", "text").join(spans, "doc_id", "left")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts, removed = [], []
+            for t, s in zip(p["text"], p["spans"]):
+                if s is None or t is None:
+                    texts.append(t)
+                    removed.append(0)
+                    continue
+                rest, n = without(t, [(y["first_word"], y["last_word"]) for y in s])
+                texts.append(rest if n < whole * len(_WORD.findall(prepared(t))) else None)
+                removed.append(n)
+            yield pd.DataFrame({"doc_id": p["doc_id"], "text": pd.Series(texts, index=p.index, dtype=object), "removed": removed})
+
+    return x.mapInPandas(run, "doc_id long, text string, removed int")
+
+
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(documents, items).select("item_id", "doc_id").distinct()
 

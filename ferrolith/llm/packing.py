@@ -84,7 +84,7 @@ class Packer:
 def _level(items: DataFrame, parts: int, level: int, open_: int) -> DataFrame:
     """items (size_name, capacity, item string, size): with `into`, its container of this level, and container rows (item null) with what they hold."""
     x = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(parts)).cast("int")).withColumn("turn", F.xxhash64("item"))
-    x = x.repartition(parts, "bucket").sortWithinPartitions("size_name", "bucket", "turn", "item")
+    x = x.repartitionById(parts, F.col("bucket")).sortWithinPartitions("size_name", "bucket", "turn", "item")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, packer = None, None

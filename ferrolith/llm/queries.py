@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_report": lambda s, d: packing.report(t(s, d, "documents"), t(s, d, "pack_sizes")),
         "p7_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p7_report": lambda s, d: leakage.report(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p7_cleaned": lambda s, d: leakage.cleaned(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_found": lambda s, d: residue.found(t(s, d, "documents")),
         "p8_report": lambda s, d: residue.report(t(s, d, "documents")),
     }

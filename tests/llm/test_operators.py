@@ -165,12 +165,23 @@ def test_prefix_join_is_the_full_join(spark):
     vals = spark.createDataFrame(sorted({(f, w, n, tuple(tok(w))) for f, w, n in v}), "field string, value string, number string, tokens array<string>")
     ents = spark.createDataFrame([(f, i, n, tok(w)) for f, i, w, n in e], "field string, ref_id int, number string, tokens array<string>")
     for t in (0.34, 0.6, 0.9):
-        want = {}
+        want, best = set(), {}
         for _, w, _ in v:
             s = [(len(canonical.grams(w) & canonical.grams(x)) / len(canonical.grams(w) | canonical.grams(x)), -i) for _, i, x, _ in e]
+            want |= {(w, -i) for j, i in s if j >= t - 1e-12}
             if max(s)[0] >= t - 1e-12:
-                want[w] = -max(s)[1]
-        assert {x["value"]: x["ref_id"] for x in canonical.similar_entries(vals, ents, t).collect()} == want
+                best[w] = -max(s)[1]
+        got = canonical.similar_entries(vals, ents, t)
+        assert sorted((x["value"], x["ref_id"]) for x in got.collect()) == sorted(want)
+        assert {x["value"]: x["ref_id"] for x in canonical.best_entries(got).collect()} == best
+
+
+def test_pairs_of_other_numbers_are_seen_but_not_mapped(spark, ref):
+    vals = canonical.tokenised(spark.createDataFrame([("niveau", "NIVEAU 99"), ("city", "Sankt-Gallen 1")], "field string, value string"))
+    ents = canonical.tokenised(ref.select("field", F.col("label").alias("value"), "ref_id").unionByName(spark.createDataFrame([("city", "SANKT GALLEN 1", 77)], "field string, value string, ref_id int")))
+    got = canonical.similar_entries(vals, ents)
+    assert got.filter("value = 'NIVEAU 99' and not agree").count() > 0
+    assert {(r["value"], r["ref_id"]) for r in canonical.best_entries(got).collect()} == {("Sankt-Gallen 1", 77)}
 
 
 def test_values_of_nothing(spark, ref):
@@ -277,6 +288,20 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     assert leaked(spark, docs, [*enumerate(it)]) == whole
 
 
+def test_spans_are_taken_out(spark):
+    it = items_of()
+    long = " ".join(items_of(12, seed=9)[6:8])
+    docs = [(1, f"Zuerst das. {it[0]} {long}"), (2, it[1]), (3, long), (4, None), (5, "")]
+    d = spark.createDataFrame([(*x, "en") for x in docs], DOC)
+    got = {r["doc_id"]: (r["text"], r["removed"]) for r in leakage.cleaned(d, spark.createDataFrame([(*i, "q") for i in enumerate(it)], ITEM)).collect()}
+    assert got[3] == (long, 0) and got[4] == (None, 0) and got[5] == ("", 0)
+    assert got[2][0] is None and got[2][1] >= 15
+    rest, n = leakage.without(docs[0][1], [(2, 2 + len(it[0].split()) - 1)])
+    assert rest.startswith("Zuerst das.") and rest.endswith(long) and n == len(it[0].split())
+    assert leakage.without("a b c d e", [(1, 2), (2, 3)]) == ("a e", 3)
+    assert got[1][1] >= 15 and got[1][0].startswith("Zuerst das.") and got[1][0].endswith(long)
+
+
 def test_automaton_matches_brute_force():
     r = random.Random(8)
     texts = [[r.choice("abc") for _ in range(r.randrange(1, 14))] for _ in range(6)]
@@ -293,7 +318,7 @@ def test_automaton_matches_brute_force():
         got = set()
         for state, n, e in sam.runs(doc):
             got.add((n, e))
-            assert set(sam.ends[state]) == subs[tuple(doc[e - n + 1 : e + 1])]
+            assert set(sam.ends(state)) == subs[tuple(doc[e - n + 1 : e + 1])]
         assert got == want
 
 
