@@ -7,12 +7,14 @@
    An edge weighs the logarithm of the inverse block size of what it shares.
 3. Meta-blocking: an edge stays if its weight reaches half of the heaviest edge of either end. Blocks of more than RARE
    comparisons have no weight; of these every pair is taken that reaches ACCEPT by place and bars alone: those of one place,
-   and those that share enough of their bars, by a prefix-filtered join (`common`). What only positions bring up to ACCEPT
-   is found through the cell of the drawing.
-4. Collective refinement: an edge's similarity has a part from the pairs accepted around it: the pairs of one shop file fix
-   how its axes lie in those of the plan (scale, turn and shift, by least squares over sums), and a pair is the more similar
-   the nearer its two positions come. Pairs are accepted one to one, best mutual pairs first, until none is left; axes and
-   similarities are computed anew until the accepted pairs no longer change (ROUNDS at most).
+   and those that share enough of their bars, by a prefix-filtered join (`common`). Cells of the drawing are blocks like the
+   others: their edges are weighed and pruned with the rest.
+4. Collective refinement: an edge's similarity has a part from the pairs accepted around it. Each record has neighbours, those
+   next to it along either axis of its drawing; what the pair of a neighbour on one side and a neighbour on the other has been
+   accepted with is propagated to the edge (ECHO a pair). And the pairs of one shop file fix how its axes lie in those of the
+   plan (scale, turn and shift, by least squares over sums), and a pair is the more similar the nearer its two positions come.
+   Pairs are accepted one to one, best mutual pairs first, until none is left; axes, echoes and similarities are computed anew
+   until the accepted pairs no longer change, or come back to what they were in an earlier round.
 
 Each pair has a confidence in (0, 1), the logistic of its similarity beyond the threshold.
 
@@ -30,7 +32,7 @@ from ferrolith.functions.text import fold
 from ferrolith.session import checkpoint
 from ferrolith.sources.tables import once
 
-ROUNDS = 5
+ECHO, ECHOES = 0.15, 4  # what an accepted pair of neighbours adds to a similarity, and how many count
 RARE = 64  # comparisons in a block up to which what its records share is rare
 SALT = 50_000  # comparisons of a block that one join key holds
 ACCEPT = 2.0  # similarity from which a pair is accepted
@@ -190,43 +192,66 @@ def one_to_one(edges: DataFrame) -> DataFrame:
         left = checkpoint(left.join(best.select("plan_id"), "plan_id", "left_anti").join(best.select("shop_id"), "shop_id", "left_anti"))
 
 
-def link(plan_records: DataFrame, shop_records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def neighbours(records: DataFrame, sheet: list[str]) -> DataFrame:
+    """id, other: the records before and after each along x and along y within its sheet; turning the axes by quarters doesn't change them."""
+    r, out = records.filter("x is not null and y is not null").select("id", "x", "y", *sheet), None
+    for a, b in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(*sheet).orderBy(F.round(a, 0), b, "id")
+        n = r.select("id", F.lead("id").over(w).alias("other")).filter("other is not null")
+        n = n.unionByName(n.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        out = n if out is None else out.unionByName(n)
+    return out.distinct()
+
+
+def echoes(matched: DataFrame, plan_next: DataFrame, shop_next: DataFrame) -> DataFrame:
+    """plan_id, shop_id, echo: the similarity that accepted pairs of neighbours lend a pair."""
+    m = matched.join(plan_next.select(F.col("id").alias("plan_id"), F.col("other").alias("p")), "plan_id").join(shop_next.select(F.col("id").alias("shop_id"), F.col("other").alias("s_")), "shop_id")
+    return m.groupBy(F.col("p").alias("plan_id"), F.col("s_").alias("shop_id")).agg((F.least(F.count("*"), F.lit(ECHOES)) * ECHO).alias("echo"))
+
+
+def _by_cell(plan: DataFrame, shop: DataFrame, axes: DataFrame, fixed: DataFrame) -> DataFrame:
+    """plan_id, shop_id of the edges by cells of the drawing that meta-blocking leaves: the block of a shop record holds the plan's records around the place that the axes give it."""
+    cell = lambda c: F.floor(F.col(c) / CELL).cast("int")
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    here = _back(shop.join(axes, "sheet")).filter("px is not null").select("shop_id", F.col("scope2").alias("scope"), "px", "py")
+    here = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("shop_id", "scope", (cell("px") + F.col("dx")).alias("cx"), (cell("py") + F.col("dy")).alias("cy"), "px", "py")
+    there = plan.select("plan_id", "scope", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    e = there.join(here, ["scope", "cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("d") <= FAR)
+    # a block has one shop record; near places weigh twice
+    e = e.withColumn("w", F.log2(1 + 64.0 / F.count("*").over(Window.partitionBy("shop_id"))) * F.when(F.col("d") <= NEAR, 2).otherwise(1)).select("plan_id", "shop_id", "w")
+    top = lambda c: fixed.groupBy(c).agg(F.max("weight").alias(f"top_{c}"))
+    e = e.join(top("plan_id"), "plan_id", "left").join(top("shop_id"), "shop_id", "left")
+    return e.filter(F.col("w") * 2 >= F.least(F.coalesce("top_plan_id", F.lit(0.0)), F.coalesce("top_shop_id", F.lit(0.0)))).select("plan_id", "shop_id")
+
+
+def link(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
     """atelier_id, plan_id, similarity, confidence."""
     plan = checkpoint(attributes(plan_records, True))
     shop = checkpoint(attributes(shop_records, False))
     fixed = checkpoint(candidates(plan, shop))
     p = plan.select(F.col("id").alias("plan_id"), "scope", "place", "part", "marks", "x", "y")
     s = shop.select(F.col("id").alias("shop_id"), F.col("scope").alias("scope2"), "sheet", F.col("place").alias("place2"), F.col("part").alias("part2"), F.col("marks").alias("marks2"), F.col("x").alias("u"), F.col("y").alias("v"))
-    matched, before = None, None
-    for _ in range(rounds):
-        pairs = fixed.select("plan_id", "shop_id")
+    said = checkpoint(fixed.select("plan_id", "shop_id").join(p, "plan_id").join(s, "shop_id"))  # the edges with what both ends say, for every round
+    plan_next = shop_next = None
+    matched, seen = None, set()
+    while True:
         if matched is None:
-            axes = None
-        else:
-            sure = matched.join(p, "plan_id").join(s, "shop_id").filter("place = place2 or off <= 9")
-            axes = checkpoint(_axes(sure.filter("s >= 3")))
-            # candidates by the cell of the drawing that a shop record falls into
-            cell = lambda c: F.floor(F.col(c) / CELL).cast("int")
-            here = _back(s.join(axes, "sheet")).filter("px is not null").select("shop_id", F.col("scope2").alias("scope"), "px", "py")
-            around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-            here = here.withColumn("cx", cell("px")).withColumn("cy", cell("py")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-            here = here.select("shop_id", "scope", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "px", "py")
-            there = p.select("plan_id", "scope", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-            close = there.join(here, ["scope", "cx", "cy"]).filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= FAR)
-            pairs = pairs.unionByName(close.select("plan_id", "shop_id")).distinct()
-        e = pairs.join(p, "plan_id").join(s, "shop_id")
-        if axes is None:
-            e = e.withColumn("off", F.lit(None).cast("double")).withColumn("n", F.lit(0))
+            e = said.withColumn("off", F.lit(None).cast("double")).withColumn("n", F.lit(0)).withColumn("echo", F.lit(0.0))
         else:
-            e = _back(e.join(axes, "sheet", "left"))
+            if plan_next is None:
+                plan_next, shop_next = checkpoint(neighbours(plan, ["scope"])), checkpoint(neighbours(shop, ["scope", "sheet"]))
+            axes = checkpoint(_axes(matched.filter("s >= 3 and (place = place2 or off <= 9)")))
+            more = _by_cell(p, s, axes, fixed).join(fixed.select("plan_id", "shop_id"), ["plan_id", "shop_id"], "left_anti")
+            e = _back(said.unionByName(more.join(p, "plan_id").join(s, "shop_id").select(said.columns)).join(axes, "sheet", "left"))
             e = e.withColumn("off", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
-        e = e.withColumn("s", F.round(_similarity(F.col("off")), 6)).filter(F.col("s") >= ACCEPT)
-        e = checkpoint(e.select("plan_id", "shop_id", "s", "off"))
-        matched = checkpoint(one_to_one(e).join(e.select("plan_id", "shop_id", "off"), ["plan_id", "shop_id"]))
+            e = e.join(echoes(matched.select("plan_id", "shop_id"), plan_next, shop_next), ["plan_id", "shop_id"], "left").withColumn("echo", F.coalesce("echo", F.lit(0.0)))
+        e = e.withColumn("s", F.round(_similarity(F.col("off")) + F.col("echo"), 6)).filter(F.col("s") >= ACCEPT)
+        e = checkpoint(e.select("plan_id", "shop_id", "s", "off", "sheet", "place", "place2", "x", "y", "u", "v"))
+        matched = checkpoint(one_to_one(e).join(e.drop("s"), ["plan_id", "shop_id"]))
         now = matched.agg(F.count("*"), F.sum(F.xxhash64("plan_id", "shop_id").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now in seen:
             break
-        before = now
+        seen.add(now)
     sim = F.col("s")
     return matched.select(F.col("shop_id").alias("atelier_id"), "plan_id", sim.alias("similarity"), F.round(1 / (1 + F.exp(-(sim - ACCEPT + 0.5))), 4).alias("confidence"))
 
