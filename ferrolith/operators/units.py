@@ -4,13 +4,15 @@ The history of a source (a file, in order of reading) is a series of log values.
 shifted by the logarithm of a known factor, so each value is explained by a level per unit, and the search looks for the
 segmentation, with one unit per segment, of least cost: sum of squared deviations of the log values from the level of
 their unit (in units of its spread), what a value says of itself (a unit written beside it; lying on the steps in which
-such a quantity is drawn), and a penalty for each change. With the levels restricted to the known factors the optimum over
-all 2^(n-1) segmentations is found exactly by dynamic programming in n * units^2 steps, without pruning. Level shifts are
-then reversed by the factor of the segment's unit.
+such a quantity is drawn), and a penalty for each change. The level of a source is estimated from its own values, each taken
+to the known factor that brings it nearest to what such quantities usually measure, and shrunk towards that where the values
+are few. With the levels apart by the known factors the optimum over all 2^(n-1) segmentations is found exactly by dynamic
+programming in n * units^2 steps, without pruning. Level shifts are then reversed by the factor of the segment's unit.
 
-A series is cut into pieces of at most PIECE values, each piece being its own task row, so that a source with a third of
-all rows isn't one task's; a piece carries LAP values of its neighbours on both sides, which makes the segmentation inside
-it the same as that of the whole series as long as no ambiguous run is longer than the lap.
+A series is cut into pieces of PIECE values, each piece being its own task row, so that a source with a third of all rows
+isn't one task's. The search stays exact: of each piece the least costs from every state before it to every state at its end
+are found, these matrices are put together (least sums, FAN at a time, level by level), the best states at the ends of all
+pieces follow from the whole, and each piece is then traced back between them.
 
 Defined results: null values have no unit and stay null unless the text states the quantity; zero, negative and not finite
 values stay unconverted (unit null); ties in the cost go to the unit named first; repeated rows are repeated values of the
@@ -39,7 +41,9 @@ STEPS = {"espacement_mm": {"metric": (25.0, 20.0, 10.0), "imperial": (12.7,)}, "
 PENALTY = 5.0  # for each change of unit along a history
 SYSTEM_PENALTY = 9.0  # for a change between metric and imperial drawing
 OFF_STEP, OFF_RANGE = 6.0, 40.0
-PIECE, LAP = 4000, 500
+STATED = 100.0  # against the unit that a callout writes: decisive
+PIECE, FAN = 4000, 256
+SHRINK = 20  # values that weigh as much as what is usual
 
 _N = r"(\d+(?:[.,]\d+)?)"
 # How callouts write a unit.
@@ -92,10 +96,16 @@ STATES = [(u, s) for s in ("metric", "imperial") for u in UNITS]
 _CHANGE = np.array([[0.0 if a == b else (SYSTEM_PENALTY if a[1] != b[1] else 0.0) + (PENALTY if a[0] != b[0] else 0.0) for b in STATES] for a in STATES])
 
 
-def costs(field: str, values: np.ndarray, told: list[tuple[float, str | None] | None]) -> np.ndarray:
-    """values x STATES: cost of each value under each state; told: value and unit of the callout, where it states the quantity."""
+def usual(field: str) -> float:
+    """Log of what such a quantity usually measures."""
     lo, hi = RANGES[field]
-    level, spread = math.log(lo * hi) / 2, math.log(hi / lo) / 4
+    return math.log(lo * hi) / 2
+
+
+def costs(field: str, values: np.ndarray, told: list[tuple[float, str | None] | None], level: float | None = None) -> np.ndarray:
+    """values x STATES: cost of each value under each state; told: value and unit of the callout, where it states the quantity; level: of the source, in log mm."""
+    lo, hi = RANGES[field]
+    level, spread = usual(field) if level is None else level, math.log(hi / lo) / 4
     out = np.zeros((len(values), len(STATES)))
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.log(values)
@@ -113,40 +123,66 @@ def costs(field: str, values: np.ndarray, told: list[tuple[float, str | None] |
         for i, t in enumerate(told):
             if t and t[1]:
                 true = t[0] * FACTORS[t[1]]
-                c[i] += 0.0 if abs(mm[i] - true) <= max(0.6, 0.01 * true) else 30.0
+                c[i] += 0.0 if abs(mm[i] - true) <= max(0.6, 0.01 * true) else STATED
         out[:, k] = c
     return out
 
 
-def segment(cost: np.ndarray, change: np.ndarray = _CHANGE) -> np.ndarray:
-    """State per value of the segmentation of least cost: exact dynamic programming over all segmentations."""
+def segment(cost: np.ndarray, change: np.ndarray = _CHANGE, entry: int | None = None, end: int | None = None) -> np.ndarray:
+    """State per value of the segmentation of least cost: exact dynamic programming over all segmentations. entry, end: the state before the first value and that of the last, where they're given."""
     n, k = cost.shape
-    best = cost[0].copy()
+    best = cost[0] + (0.0 if entry is None else change[entry])
     back = np.zeros((n, k), np.int16)
     for i in range(1, n):
         step = best[:, None] + change
         back[i] = step.argmin(0)
         best = step[back[i], np.arange(k)] + cost[i]
     out = np.empty(n, np.int64)
-    out[-1] = best.argmin()
+    out[-1] = best.argmin() if end is None else end
     for i in range(n - 1, 0, -1):
         out[i - 1] = back[i, out[i]]
     return out
 
 
-def _series(field: str, value: np.ndarray, told: list) -> tuple[list[str | None], list[float | None]]:
-    """Unit of each value of a history and the quantity in mm, that of the callout where the column has none."""
+def least_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of two cost matrices, sums for products and the least for sums."""
+    return (a[:, :, None] + b[None]).min(1)
+
+
+_STAY = np.where(np.eye(len(STATES), dtype=bool), 0.0, np.inf)  # of a piece without values
+
+
+def passage(cost: np.ndarray, change: np.ndarray = _CHANGE) -> np.ndarray:
+    """Least cost through a piece from each state before it to each state at its end."""
+    out = _STAY
+    for c in cost:
+        out = least_sums(out, change) + c
+    return out
+
+
+def ends(matrices: list[np.ndarray], entry: int | None, end: int | None) -> list[tuple[int | None, int]]:
+    """(state before, state at the end) of consecutive pieces on the least path through them."""
+    best, back = (np.where(np.arange(len(STATES)) == entry, 0.0, np.inf) if entry is not None else np.zeros(len(STATES))), []
+    for m in matrices:
+        step = best[:, None] + m
+        back.append(step.argmin(0))
+        best = step.min(0)
+    at, out = int(best.argmin()) if end is None else end, []
+    for b in reversed(back):
+        out.append((int(b[at]), at))
+        at = int(b[at])
+    return out[::-1]
+
+
+def _prepared(field: str, value: np.ndarray, told: list, level: float | None) -> tuple[list[int], np.ndarray]:
+    """Places of a history that tell of a unit, and their costs."""
     known = np.isfinite(value) & (value > 0)
-    unit: list[str | None] = [None] * len(value)
-    mm: list[float | None] = [None] * len(value)
-    system = ["metric"] * len(value)
     # a text without column value tells of the system too: it joins the series as a value in its own unit
     series = [i for i in range(len(value)) if known[i] or told[i]]
     if not series:
-        return unit, mm
+        return series, np.zeros((0, len(STATES)))
     v = np.array([value[i] if known[i] else told[i][0] for i in series])
-    t = [told[i] if known[i] else None for i in series]
-    c = costs(field, v, t)
+    c = costs(field, v, [told[i] if known[i] else None for i in series], level)
     for r, i in enumerate(series):
         if not known[i]:  # its unit says nothing of the column's
             u = told[i][1]
@@ -154,10 +190,20 @@ def _series(field: str, value: np.ndarray, told: list) -> tuple[list[str | None]
                 rows = [k for k, x in enumerate(STATES) if x[1] == s]
                 own = min(c[r, k] for k in rows if u is None or STATES[k][0] == u)
                 c[r, rows] = min(own, 6.0)
-    states = segment(c)
+    return series, c
+
+
+def _series(field: str, value: np.ndarray, told: list, level: float | None = None, entry: int | None = None, end: int | None = None) -> tuple[list[str | None], list[float | None]]:
+    """Unit of each value of a history and the quantity in mm, that of the callout where the column has none."""
+    known = np.isfinite(value) & (value > 0)
+    unit: list[str | None] = [None] * len(value)
+    mm: list[float | None] = [None] * len(value)
+    series, c = _prepared(field, value, told, level)
+    if not series:
+        return unit, mm
+    states = segment(c, _CHANGE, entry, end)
     for r, i in enumerate(series):
         u, s = STATES[states[r]]
-        system[i] = s
         if known[i]:
             unit[i] = u
             true = told[i] and told[i][1] and told[i][0] * FACTORS[told[i][1]]
@@ -198,29 +244,94 @@ def histories(rows: DataFrame, source: str, order: list[str], field: str, key: s
     own = F.row_number().over(Window.partitionBy(source, "range").orderBy(*order, key))
     x = x.withColumn("own", own).join(starts, [source, "range"]).withColumn("n", F.col("start") + F.col("own") - 1).drop("own", "start", "range")
     x = x.withColumn("piece", F.floor(F.col("n") / PIECE).cast("long"))
-    # the laps: the last values of a piece are the next one's too, and the other way round
-    at = F.col("n") % PIECE
-    parts = F.array(F.col("piece"), F.when(at >= PIECE - LAP, F.col("piece") + 1), F.when((at < LAP) & (F.col("piece") > 0), F.col("piece") - 1))
-    x = x.withColumn("part", F.explode(F.array_compact(parts)))
-    kind = dict(rows.dtypes)[key]
+    level = _levels(x, source, field)
+    kind, skind = dict(rows.dtypes)[key], dict(rows.dtypes)[source]
+    h = x.groupBy(source, "piece").agg(F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "value", "raw"))).alias("h")).join(level, source, "left")
+    several = x.groupBy(source).agg(F.max("piece").alias("last")).filter("last > 0")
+    h = h.join(several, source, "left")
+
+    def costed(r) -> np.ndarray:
+        value = np.array([np.nan if y["value"] is None else y["value"] for y in r["h"]], float)
+        return _prepared(field, value, [parse_callout(y["raw"]).get(field) for y in r["h"]], r["level"])[1]
+
+    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            m = [passage(costed({"h": y, "level": None if v != v else v})).ravel().tolist() for y, v in zip(p["h"], p["level"])]
+            yield pd.DataFrame({"source": p[source], "at": p["piece"], "m": pd.Series(m, index=p.index, dtype=object)})
+
+    long = h.filter("last is not null").select(source, "piece", "h", "level").mapInPandas(matrices, f"source {skind}, at long, m array<double>")
+    bounds = _bounds(long).withColumnRenamed("source", source).withColumnRenamed("at", "piece")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = lambda v: None if v != v else int(v)
         for p in frames:
             ids, vals, units, mms = [], [], [], []
-            for part, h in zip(p["part"], p["h"]):
-                value = np.array([np.nan if r["value"] is None else r["value"] for r in h], float)
-                told = [parse_callout(r["raw"]).get(field) for r in h]
-                unit, mm = _series(field, value, told)
-                for r, v, u, q in zip(h, value, unit, mm):
-                    if r["piece"] == part and (u is not None or q is not None):
+            for y, v, a, b in zip(p["h"], p["level"], p["entry"], p["end"]):
+                value = np.array([np.nan if r["value"] is None else r["value"] for r in y], float)
+                told = [parse_callout(r["raw"]).get(field) for r in y]
+                unit, mm = _series(field, value, told, None if v != v else v, none(a), none(b))
+                for r, w, u, q in zip(y, value, unit, mm):
+                    if u is not None or q is not None:
                         ids.append(r["key"])
-                        vals.append(None if v != v else v)
+                        vals.append(None if w != w else w)
                         units.append(u)
                         mms.append(q)
             yield pd.DataFrame({key: pd.Series(ids, dtype=object), "value": pd.Series(vals, dtype=float), "unit": pd.Series(units, dtype=object), "mm": pd.Series(mms, dtype=float)})
 
-    h = x.groupBy(source, "part").agg(F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "value", "raw", "piece"))).alias("h"))
-    return h.select("part", "h").mapInPandas(run, f"`{key}` {kind}, value double, unit string, mm double")
+    whole = h.filter("last is null").select("h", "level", F.lit(None).cast("double").alias("entry"), F.lit(None).cast("double").alias("end"))
+    cut = h.filter("last is not null").join(bounds, [source, "piece"]).select("h", "level", F.col("entry").cast("double").alias("entry"), F.col("end").cast("double").alias("end"))
+    return whole.unionByName(cut).mapInPandas(run, f"`{key}` {kind}, value double, unit string, mm double")
+
+
+def _levels(x: DataFrame, source: str, field: str) -> DataFrame:
+    """source, level: the log of what the source's values measure, each by the factor that brings it nearest to what is usual; shrunk towards that."""
+    mean = usual(field)
+    off = F.transform(F.array(*[F.lit(math.log(f)) for f in FACTORS.values()]), lambda f: F.struct(F.abs(F.log("value") + f - mean).alias("d"), (F.log("value") + f - mean).alias("r")))
+    near = F.when((F.col("value") > 0) & (F.col("value") < float("inf")), F.array_min(off)["r"])
+    g = x.groupBy(source).agg(F.percentile_approx(near, 0.5, 1000).alias("r"), F.count(near).alias("c"))
+    return g.select(source, (F.lit(mean) + F.coalesce("r", F.lit(0.0)) * F.col("c") / (F.col("c") + SHRINK)).alias("level"))
+
+
+def _bounds(matrices: DataFrame) -> DataFrame:
+    """matrices (source, at, m): source, at, entry, end of the pieces of each source on its least path; entry is null for the first.
+
+    FAN neighbours are put together at a time, level by level, until each source has one block of them; the ends are found there and
+    handed down the levels again.
+    """
+    kind, n = dict(matrices.dtypes)["source"], len(STATES)
+    of = lambda m: np.array([np.nan if v is None else v for v in m], float).reshape(n, n)
+    levels = [checkpoint(matrices)]
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.groupBy("source", F.floor(F.col("at") / FAN).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("ms"))
+
+    def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            out = []
+            for ms in p["ms"]:
+                t = _STAY
+                for r in ms:
+                    t = least_sums(t, of(r["m"]))
+                out.append(t.ravel().tolist())
+            yield pd.DataFrame({"source": p["source"], "at": p["block"], "m": pd.Series(out, index=p.index, dtype=object)})
+
+    def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = lambda v: None if v is None or v != v else int(v)
+        for p in frames:
+            rows = []
+            for g, ms, a, b in zip(p["source"], p["ms"], p["entry"], p["end"]):
+                for r, (x, y) in zip(ms, ends([of(r["m"]) for r in ms], none(a), none(b))):
+                    rows.append((g, r["at"], None if r["at"] == 0 else x, y))
+            yield pd.DataFrame(rows, columns=["source", "at", "entry", "end"]).astype({"entry": "Int64"})
+
+    while not levels[-1].filter(F.col("at") >= FAN).isEmpty():
+        levels.append(checkpoint(blocks(levels[-1]).mapInPandas(up, f"source {kind}, at long, m array<double>")))
+    out = None
+    for level in reversed(levels):
+        b = blocks(level)
+        b = b.withColumn("entry", F.lit(None).cast("double")).withColumn("end", F.lit(None).cast("double")) if out is None else b.join(out.select("source", F.col("at").alias("block"), F.col("entry").cast("double").alias("entry"), F.col("end").cast("double").alias("end")), ["source", "block"])
+        out = checkpoint(b.select("source", "ms", "entry", "end").mapInPandas(down, f"source {kind}, at long, entry long, end long"))
+    return out
 
 
 FIELDS = ("espacement_mm", "longueur_mm")

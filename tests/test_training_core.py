@@ -58,7 +58,6 @@ def test_pieces_are_the_whole(spark, monkeypatch):
     df = spark.createDataFrame(rows, BARS)
     whole = sorted(map(tuple, U.in_millimetres(df).collect()))
     monkeypatch.setattr(U, "PIECE", 64)
-    monkeypatch.setattr(U, "LAP", 20)
     assert sorted(map(tuple, U.in_millimetres(df).collect())) == whole and len(whole) == 500
 
 
@@ -180,3 +179,35 @@ def test_nothing_and_nulls(spark):
     bare = rec(None)
     assert differences(spark, [bare, bare], [bare]) == {("", "missing_in_mirror")}
     assert differences(spark, [bare], [bare, rec(None, page=7)]) == {("", "missing_in_records")}
+
+
+def test_pieces_give_the_search_over_the_whole_history(spark, monkeypatch):
+    r = random.Random(11)
+    k = len(U.STATES)
+    cost = np.array([[r.random() * 9 for _ in range(k)] for _ in range(60)])
+    total = lambda path: sum(cost[i, s] + (U._CHANGE[path[i - 1], s] if i else 0) for i, s in enumerate(path))
+    whole = U.segment(cost)
+    cuts = [cost[i : i + 7] for i in range(0, 60, 7)]
+    bounds = U.ends([U.passage(c) for c in cuts], None, None)
+    parts = np.concatenate([U.segment(c, U._CHANGE, None if i == 0 else a, b) for i, (c, (a, b)) in enumerate(zip(cuts, bounds))])
+    assert abs(total(parts) - total(whole)) < 1e-9
+    # the same through tables, with several levels of blocks; runs of centimetres and inches in a source of millimetres
+    rows, i = [], 0
+    for src, n in (("a", 160), ("b", 5), ("c", 33)):
+        for j in range(n):
+            unit = "cm" if 40 <= j < 70 else "in" if 100 <= j < 130 else "mm"
+            mm = r.choice([100.0, 150.0, 200.0, 250.0, 300.0])
+            rows.append((src, i, j, mm / U.FACTORS[unit], None))
+            i += 1
+    d = spark.createDataFrame(rows, "f string, k long, t int, espacement_mm double, raw string")
+    read = lambda: {(x["k"], x["unit"], x["mm"]) for x in U.histories(d, "f", ["t"], "espacement_mm", "k", "raw").collect()}
+    want = read()
+    assert len(want) == 198 and {u for _, u, _ in want} == {"mm", "cm", "in"}
+    monkeypatch.setattr(U, "PIECE", 6)
+    monkeypatch.setattr(U, "FAN", 3)
+    assert read() == want
+
+
+def test_a_stated_unit_decides(spark):
+    d = spark.createDataFrame([("f", i, i, v, raw) for i, (v, raw) in enumerate([(1200.0, "4-15M L=1200 mm"), (700.0, "4-15M L=700 mm"), (3000.0, "4-15M L=3000 mm")])], "f string, k long, t int, longueur_mm double, raw string")
+    assert {(x["k"], x["unit"], x["mm"]) for x in U.histories(d, "f", ["t"], "longueur_mm", "k", "raw").collect()} == {(0, "mm", 1200.0), (1, "mm", 700.0), (2, "mm", 3000.0)}
