@@ -1,8 +1,8 @@
 """Comparison of the two sides: exact keys, slabs against both layers, neighbouring places, then bars one to one.
 
-Keys meet by equi-joins; neighbours are candidates within a scope (kind, level, layer) by the printed positions of the grid,
-looked up on the other axis, so that no scope is crossed with itself; they are chosen greedily in one pass over
-(stage, distance, not identical, keys).
+Keys meet by equi-joins, within a project and lot only; neighbours are candidates within a scope (project, lot, kind, level,
+layer) by the printed positions of the lot's grid, looked up on the other axis, so that no scope is crossed with itself; they
+are chosen greedily in one pass over (stage, distance, not identical, keys).
 """
 
 from __future__ import annotations
@@ -11,39 +11,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions.grammar import grid_letter, grid_number
-from ferrolith.functions.text import fold
 from ferrolith.operators.matching import greedy, match_bars
-from ferrolith.operators.normalize import keyed
+from ferrolith.operators.normalize import KEY, aligned, keyed
 from ferrolith.session import checkpoint
 
-KEY = ["kind", "level", "layer", "place"]
+SITE = ["project", "lot"]
 REACH = 4
 
 
 def observations(records: DataFrame, plan: bool) -> DataFrame:
-    """KEY and bars with roles of each observation; the same observation at the same place counts once."""
-    r = keyed(records)
+    """KEY, spec (bars with roles), seq, id of each observation; the same observation at the same place counts once."""
+    r = keyed(aligned(records))
     if plan:  # the shop's slab sheets are those of the integrity steel
         r = r.filter((F.col("kind") != "dalle") | (F.coalesce(F.col("debug.reinforcement_kind"), F.lit("")) == "integrity"))
-    r = r.withColumn("_x", F.round("x", 1)).withColumn("_y", F.round("y", 1)).withColumn("_said", F.to_json(F.struct("armature", "debug.roles", "debug.role", "debug.direction"), {"ignoreNullFields": "false"}))
-    w = Window.partitionBy(*KEY, "fichier", "page", "_x", "_y", "_said").orderBy("seq", "id")
-    return r.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_x", "_y", "_said")
-
-
-def _role(kind: Column, label: Column, spacing: Column, pos: Column) -> Column:
-    t = F.coalesce(fold(label), F.lit(""))
-    t = F.when((t == "") & (kind == "semelle"), F.when(pos == 0, "LONG").when(pos == 1, "TRAN").otherwise("INCONNU")).when((t == "") & (kind == "colonne"), F.when(spacing.isNotNull(), "ETRI").otherwise("VERT")).otherwise(t)
-    return F.when(t.isin("ETRIERS", "ETRI", "ETRIER"), "ETRI").otherwise(t)
+    said = F.to_json(F.struct("spec", "debug.role", "debug.direction"), {"ignoreNullFields": "false"})
+    first = F.min_by(F.struct("seq", "id", "spec"), F.struct("seq", "id")).alias("o")
+    return r.groupBy(*KEY, "fichier", "page", F.round("x", 1).alias("_x"), F.round("y", 1).alias("_y"), said.alias("_said")).agg(first).select(*KEY, "o.*")
 
 
 def groups(records: DataFrame, plan: bool) -> DataFrame:
-    """KEY, bars (array, in order of the records), ids."""
-    o = observations(records, plan)
-    b = o.select(*KEY, "seq", "id", "debug", F.posexplode_outer("armature").alias("pos", "b"))
-    label = F.coalesce(F.try_element_at(F.col("debug.roles"), F.col("pos") + 1), F.col("debug.role"))
-    bar = F.struct(_role(F.col("kind"), label, F.col("b.espacement_mm"), F.col("pos")).alias("role"), "b.diametre", "b.quantite", "b.espacement_mm", "b.longueur_mm", "b.repere")
-    g = b.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("seq", "id", "pos", bar.alias("bar"))))).alias("o"), F.array_sort(F.collect_set("id")).alias("ids"))
-    return g.select(*KEY, F.transform("o", lambda x: x["bar"]).alias("bars"), "ids")
+    """KEY, bars (array, in order of the records), ids. A group holds the observations of one place in one lot."""
+    g = observations(records, plan).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "id", "spec"))).alias("o"))
+    return g.select(*KEY, F.flatten(F.transform("o", lambda x: x["spec"])).alias("bars"), F.array_sort(F.transform("o", lambda x: x["id"])).alias("ids"))
 
 
 def one_sided(plan: DataFrame, shop: DataFrame) -> DataFrame:
@@ -53,10 +42,10 @@ def one_sided(plan: DataFrame, shop: DataFrame) -> DataFrame:
 
 
 def steps(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Printed positions of letters (halves count with the whole letter) and of numbers, over all keys."""
-    p = keys.select(F.floor(grid_letter(F.col("place"))).alias("letter"), grid_number(F.col("place")).alias("number")).filter("letter is not null")
-    rank = lambda c: F.dense_rank().over(Window.orderBy(c)) - 1  # the distinct lines of a grid, a few dozen
-    return p.select("letter").distinct().select("letter", rank("letter").alias("lp")), p.select("number").distinct().select("number", rank("number").alias("np"))
+    """Printed positions of letters (halves count with the whole letter) and of numbers, over all keys of a project and lot."""
+    p = keys.select(*SITE, F.floor(grid_letter(F.col("place"))).alias("letter"), grid_number(F.col("place")).alias("number")).filter("letter is not null")
+    rank = lambda c: F.dense_rank().over(Window.partitionBy(*SITE).orderBy(c)) - 1
+    return p.select(*SITE, "letter").distinct().select(*SITE, "letter", rank("letter").alias("lp")), p.select(*SITE, "number").distinct().select(*SITE, "number", rank("number").alias("np"))
 
 
 def _scope(layer: Column, kind: Column) -> Column:
@@ -66,25 +55,26 @@ def _scope(layer: Column, kind: Column) -> Column:
 def neighbours(plan: DataFrame, shop: DataFrame, all_keys: DataFrame) -> DataFrame:
     """Candidate pairs of lone keys: p_place, s_place, scope columns, stage (1 to 4), distance."""
     letters, numbers = steps(all_keys)
+    scope = [*SITE, "kind", "level", "scope"]
 
     def placed(df: DataFrame, side: str) -> DataFrame:
         x = df.withColumn("l", grid_letter(F.col("place"))).withColumn("number", grid_number(F.col("place"))).filter("l is not null")
-        x = x.withColumn("letter", F.floor("l")).join(letters, "letter").join(numbers, "number")
-        return x.select("kind", "level", _scope(F.col("layer"), F.col("kind")).alias("scope"), F.col("layer").alias(f"{side}_layer"), F.col("place").alias(f"{side}_place"), F.col("l").alias(f"{side}_l"), F.col("number").alias(f"{side}_n"), F.col("lp").alias(f"{side}_lp"), F.col("np").alias(f"{side}_np"))
+        x = x.withColumn("letter", F.floor("l")).join(letters, [*SITE, "letter"]).join(numbers, [*SITE, "number"])
+        return x.select(*SITE, "kind", "level", _scope(F.col("layer"), F.col("kind")).alias("scope"), F.col("layer").alias(f"{side}_layer"), F.col("place").alias(f"{side}_place"), F.col("l").alias(f"{side}_l"), F.col("number").alias(f"{side}_n"), F.col("lp").alias(f"{side}_lp"), F.col("np").alias(f"{side}_np"))
 
     a, b = placed(plan, "p"), placed(shop, "s")
     near = F.sequence(F.lit(-REACH), F.lit(REACH))
     # on one line, at most REACH positions along it; or less than one unit on both axes
     by_l = a.withColumn("k", F.explode(near)).withColumn("at", F.col("p_np") + F.col("k"))
-    c1 = by_l.join(b.withColumn("at", F.col("s_np")), ["kind", "level", "scope", "at"]).filter("p_lp = s_lp and k != 0").withColumn("stage", F.abs("k"))
+    c1 = by_l.join(b.withColumn("at", F.col("s_np")), [*scope, "at"]).filter("p_lp = s_lp and k != 0").withColumn("stage", F.abs("k"))
     by_n = a.withColumn("k", F.explode(near)).withColumn("at", F.col("p_lp") + F.col("k"))
-    c2 = by_n.join(b.withColumn("at", F.col("s_lp")), ["kind", "level", "scope", "at"]).filter("p_n = s_n and k != 0").withColumn("stage", F.abs("k"))
+    c2 = by_n.join(b.withColumn("at", F.col("s_lp")), [*scope, "at"]).filter("p_n = s_n and k != 0").withColumn("stage", F.abs("k"))
     one = F.array(F.lit(-1), F.lit(0), F.lit(1))
     box = a.withColumn("dx", F.explode(one)).withColumn("dy", F.explode(one)).withColumn("bx", F.floor("p_l") + F.col("dx")).withColumn("by", F.floor("p_n") + F.col("dy"))
-    c3 = box.join(b.withColumn("bx", F.floor("s_l")).withColumn("by", F.floor("s_n")), ["kind", "level", "scope", "bx", "by"]).filter((F.abs(F.col("p_l") - F.col("s_l")) < 1) & (F.abs(F.col("p_n") - F.col("s_n")) < 1)).withColumn("stage", F.lit(1))
-    cols = ["kind", "level", "scope", "p_layer", "p_place", "s_layer", "s_place", "stage", (F.abs(F.col("p_l") - F.col("s_l")) + F.abs(F.col("p_n") - F.col("s_n"))).alias("distance")]
+    c3 = box.join(b.withColumn("bx", F.floor("s_l")).withColumn("by", F.floor("s_n")), [*scope, "bx", "by"]).filter((F.abs(F.col("p_l") - F.col("s_l")) < 1) & (F.abs(F.col("p_n") - F.col("s_n")) < 1)).withColumn("stage", F.lit(1))
+    cols = [*scope, "p_layer", "p_place", "s_layer", "s_place", "stage", (F.abs(F.col("p_l") - F.col("s_l")) + F.abs(F.col("p_n") - F.col("s_n"))).alias("distance")]
     u = c1.select(*cols).unionByName(c2.select(*cols)).unionByName(c3.select(*cols))
-    return u.groupBy("kind", "level", "scope", "p_layer", "p_place", "s_layer", "s_place").agg(F.min("stage").alias("stage"), F.min("distance").alias("distance"))
+    return u.groupBy(*scope, "p_layer", "p_place", "s_layer", "s_place").agg(F.min("stage").alias("stage"), F.min("distance").alias("distance"))
 
 
 def per_diameter(bars: Column) -> Column:
@@ -96,32 +86,32 @@ def per_diameter(bars: Column) -> Column:
 
 
 def compare(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
-    """Elements that both sides have and whose bars differ: kind, level, layer, plan_element, atelier_element, coordinate_match, matched, missing, extra, bars and ids of both."""
+    """Elements that both sides have and whose bars differ: project, lot, kind, level, layer, plan_element, atelier_element, coordinate_match, matched, missing, extra, bars and ids of both."""
     a = checkpoint(groups(plan_records, True))
     b = groups(shop_records, False)
     # steel that the plan gives no layer is held against both layers of the shop together
-    open_ = a.filter("kind = 'dalle' and layer like '%INCONNU%'").select("kind", "level").distinct()
-    both = b.filter("layer in ('HAUT', 'BAS')").join(open_, ["kind", "level"], "left_semi")
+    open_ = a.filter("kind = 'dalle' and layer like '%INCONNU%'").select(*SITE, "kind", "level").distinct()
+    both = b.filter("layer in ('HAUT', 'BAS')").join(open_, [*SITE, "kind", "level"], "left_semi")
     rest = b.join(both.select(*KEY), KEY, "left_anti")
-    union = both.groupBy("kind", "level", "place").agg(F.flatten(F.collect_list("bars")).alias("bars"), F.flatten(F.collect_list("ids")).alias("ids"))
-    b = checkpoint(rest.unionByName(union.select("kind", "level", F.lit("HAUT+BAS").alias("layer"), "place", "bars", "ids")))
+    union = both.groupBy(*SITE, "kind", "level", "place").agg(F.flatten(F.collect_list("bars")).alias("bars"), F.flatten(F.collect_list("ids")).alias("ids"))
+    b = checkpoint(rest.unionByName(union.select(*SITE, "kind", "level", F.lit("HAUT+BAS").alias("layer"), "place", "bars", "ids")))
     pa, pb = a.select(*KEY), b.select(*KEY)
-    exact = pa.join(pb, KEY).select("kind", "level", F.col("layer").alias("p_layer"), F.col("place").alias("p_place"), F.col("layer").alias("s_layer"), F.col("place").alias("s_place"), F.lit("exact").alias("coordinate_match"))
+    exact = pa.join(pb, KEY).select(*SITE, "kind", "level", F.col("layer").alias("p_layer"), F.col("place").alias("p_place"), F.col("layer").alias("s_layer"), F.col("place").alias("s_place"), F.lit("exact").alias("coordinate_match"))
     lone_a, lone_b = pa.join(pb, KEY, "left_anti"), pb.join(pa, KEY, "left_anti")
-    slabs = lone_a.filter("kind = 'dalle' and layer like '%INCONNU%'").withColumnRenamed("layer", "p_layer").join(lone_b.filter("layer = 'HAUT+BAS'").withColumnRenamed("layer", "s_layer"), ["kind", "level", "place"])
-    slabs = slabs.select("kind", "level", "p_layer", F.col("place").alias("p_place"), "s_layer", F.col("place").alias("s_place"), F.lit("couche").alias("coordinate_match"))
-    used_a = slabs.select("kind", "level", F.col("p_layer").alias("layer"), F.col("p_place").alias("place"))
-    used_b = slabs.select("kind", "level", F.col("s_layer").alias("layer"), F.col("s_place").alias("place"))
+    slabs = lone_a.filter("kind = 'dalle' and layer like '%INCONNU%'").withColumnRenamed("layer", "p_layer").join(lone_b.filter("layer = 'HAUT+BAS'").withColumnRenamed("layer", "s_layer"), [*SITE, "kind", "level", "place"])
+    slabs = slabs.select(*SITE, "kind", "level", "p_layer", F.col("place").alias("p_place"), "s_layer", F.col("place").alias("s_place"), F.lit("couche").alias("coordinate_match"))
+    used_a = slabs.select(*SITE, "kind", "level", F.col("p_layer").alias("layer"), F.col("p_place").alias("place"))
+    used_b = slabs.select(*SITE, "kind", "level", F.col("s_layer").alias("layer"), F.col("s_place").alias("place"))
     cand = checkpoint(neighbours(lone_a.join(used_a, KEY, "left_anti"), lone_b.join(used_b, KEY, "left_anti"), pa.unionByName(pb).distinct()))
-    ends = ["kind", "level", "p_layer", "p_place", "s_layer", "s_place"]
+    ends = [*SITE, "kind", "level", "p_layer", "p_place", "s_layer", "s_place"]
 
     def with_bars(pairs: DataFrame, keep: list[str]) -> DataFrame:
-        l = a.select("kind", "level", F.col("layer").alias("p_layer"), F.col("place").alias("p_place"), F.col("bars").alias("a"), F.col("ids").alias("plan_ids"))  # noqa: E741
-        r = b.select("kind", "level", F.col("layer").alias("s_layer"), F.col("place").alias("s_place"), F.col("bars").alias("b"), F.col("ids").alias("atelier_ids"))
-        return pairs.join(l, ["kind", "level", "p_layer", "p_place"]).join(r, ["kind", "level", "s_layer", "s_place"]).select(*ends, *keep, "a", "b", "plan_ids", "atelier_ids")
+        l = a.select(*SITE, "kind", "level", F.col("layer").alias("p_layer"), F.col("place").alias("p_place"), F.col("bars").alias("a"), F.col("ids").alias("plan_ids"))  # noqa: E741
+        r = b.select(*SITE, "kind", "level", F.col("layer").alias("s_layer"), F.col("place").alias("s_place"), F.col("bars").alias("b"), F.col("ids").alias("atelier_ids"))
+        return pairs.join(l, [*SITE, "kind", "level", "p_layer", "p_place"]).join(r, [*SITE, "kind", "level", "s_layer", "s_place"]).select(*ends, *keep, "a", "b", "plan_ids", "atelier_ids")
 
     same = match_bars(with_bars(cand.select(*ends), []), ends).select(*ends, "identical")
-    near = greedy(cand.join(same, ends), ["kind", "level", "p_layer", "p_place"], ["kind", "level", "s_layer", "s_place"], [F.col("stage"), F.col("distance"), (~F.col("identical")).cast("int").alias("other")])
+    near = greedy(cand.join(same, ends), [*SITE, "kind", "level", "p_layer", "p_place"], [*SITE, "kind", "level", "s_layer", "s_place"], [F.col("stage"), F.col("distance"), (~F.col("identical")).cast("int").alias("other")])
     pairs = exact.unionByName(slabs).unionByName(near.select(*ends, F.lit("proche").alias("coordinate_match")))
     x = with_bars(pairs, ["coordinate_match"])
     slab = (F.col("kind") == "dalle") & F.col("p_layer").contains("INCONNU")
@@ -133,4 +123,4 @@ def compare(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
     m = match_bars(x, ends)
     out = x.join(m, ends).filter((F.size("missing") > 0) | (F.size("extra") > 0))
     layer = F.when(slab, F.col("s_layer")).otherwise(F.col("p_layer"))
-    return out.select("kind", "level", layer.alias("layer"), F.col("p_place").alias("plan_element"), F.col("s_place").alias("atelier_element"), "coordinate_match", "matched", "missing", "extra", "a", "b", "plan_ids", "atelier_ids")
+    return out.select(*SITE, "kind", "level", layer.alias("layer"), F.col("p_place").alias("plan_element"), F.col("s_place").alias("atelier_element"), "coordinate_match", "matched", "missing", "extra", "a", "b", "plan_ids", "atelier_ids")

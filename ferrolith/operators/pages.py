@@ -5,21 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHEET = r"^[A-Z]{1,2}-?\d{3}$"
-# Kinds by title, first match first; the first rule means no kind.
-TITLES = [(r"NOTES|L[ÉE]GENDE", None), (r"COLONNE", "colonne"), (r"POUTRE", "poutre"), (r"RADIER", "radier"), (r"SEMELLE|FONDATION", "semelle"), (r"DALLE|PLANCHER", "dalle"), (r"REFEND|[ÉE]L[ÉE]VATION", "mur_refend")]
+# A sheet id (S-502, S502, S-600A, S-103.a); kinds by title, first match first; the first rule means no kind.
+SHEET = r"^S-?\d{3}(\.?[A-Za-z])?$"
+TITLES = [
+    (r"D[ÉE]TAILS? TYPIQUES?", None), (r"PLAN DES COLONNES", "colonne"), (r"[ÉE]L[ÉE]VATIONS? (DES )?POUTRES", "poutre"), (r"CONTREVENTEMENT|MURS? DE REFEND|CISAILLEMENT", "mur_refend"),
+    (r"PLAN (AGRANDI )?DES RADIERS|VUE EN PLAN DES RADIERS", "radier"), (r"PLAN DES FONDATIONS", "semelle"), (r"\bARMATURE DU\b|COLLECTEURS", "dalle")]
+LEVEL = r"\b(NIVEAU\s*\d+|NIV\.?\s*\d+|RDC|REZ-DE-CHAUSSÉE|SOUS-SOL|SS\d|TOIT(?:\s+APPENTIS)?|TRÉFOND|FONDATION\w*|RADIER|EMPATTEMENT)\b"
+TITLE_MARK = r"TITRE DU DESSIN\s+(.*?)(?:N°|$)"
+# Why a page without a kind is passed over, by words of its title.
+SKIPPED = [
+    (r"TYPIQUE", "détails typiques : aucun élément localisable sur la grille"),
+    (r"PLAN DU|PLAN DE LA|PLAN DES", "plan général d'aménagement : l'armature des dalles est sur la série S-600, celle des colonnes sur la série S-500")]
+NO_KIND = "aucun type d'élément reconnu dans le titre du feuillet"
 
 
 def kind_of(title: Column) -> Column:
-    t = F.upper(title)
-    out = F.when(t.rlike(TITLES[0][0]), F.lit(None).cast("string"))
-    for p, k in TITLES[1:]:
-        out = out.when(t.rlike(p), F.lit(k))
-    return out.otherwise(F.lit(None).cast("string"))
+    out = F.lit(None).cast("string")
+    for p, k in reversed(TITLES):
+        out = F.when(F.upper(title).rlike(p), F.lit(k)).otherwise(out)
+    return out
 
 
 def level_of(title: Column) -> Column:
-    return F.regexp_substr(F.upper(title), F.lit(r"NIVEAU \d+|REZ-DE-CHAUSS[ÉE]E|SOUS-SOL S?\d|FONDATIONS?|TOIT( APPENTIS)?"))
+    return F.regexp_substr(F.upper(title), F.lit(LEVEL))
+
+
+def skip_reason(title: Column) -> Column:
+    """Why a page whose title names no kind is passed over; null for one that has a kind."""
+    out = F.lit(NO_KIND)
+    for p, why in reversed(SKIPPED):
+        out = F.when(F.upper(title).rlike(p), F.lit(why)).otherwise(out)
+    return F.when(kind_of(title).isNull(), out)
+
+
+def stated_title(text: Column) -> Column:
+    """What follows the title mark in the title block's text, up to the number's label; all of it without a mark."""
+    return F.trim(F.coalesce(F.when(text.rlike(TITLE_MARK), F.regexp_extract(text, TITLE_MARK, 1)), text))
 
 
 def sheet_ids(tokens: DataFrame, pages: DataFrame) -> DataFrame:
@@ -29,7 +50,7 @@ def sheet_ids(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     wide = (F.col("x0") > 0.45 * F.col("width")) & (F.col("y0") > 0.70 * F.col("height"))
     rank = F.struct(inner.alias("i"), F.round(F.col("y1") - F.col("y0"), 1).alias("h"), "x0", "y0", "seq")
     best = t.filter(wide).groupBy("fichier", "page").agg(F.max_by("text", rank).alias("t"))
-    return pages.join(best, ["fichier", "page"], "left").select("fichier", "page", F.coalesce(F.regexp_replace("t", r"^([A-Z]{1,2})-?(\d{3})$", "$1-$2"), F.lit("UNKNOWN")).alias("feuillet"))
+    return pages.join(best, ["fichier", "page"], "left").select("fichier", "page", F.coalesce(F.regexp_replace("t", r"^S(?=\d)", "S-"), F.lit("UNKNOWN")).alias("feuillet"))
 
 
 def titles(tokens: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,38 +8,49 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.grammar import group, spacing, tenth
+from ferrolith.functions.grammar import bound, group, spacing, tenth
 
 # ---- answer key ----
 
 
-def plain(c: Column) -> Column:
-    return F.upper(F.regexp_replace(F.replace(F.replace(c, F.lit("''"), F.lit('"')), F.lit("’"), F.lit("'")), r"\s+", ""))
+# Forms of an answer key's values, blanks left out: count and size; a count with an inner one; a size with a spacing, of a rang or not.
+COUNT, INNER, SPACED = r"^(\d+)-(\d{2}M)$", r"^\d+\(\d+\)$", r"^(?:RANG(\d):)?(\d{2}M)@.+$"
 
 
-def states(armature: Column, raw: Column, value: Column, imperial: Column) -> Column:
-    """Whether a record states a value: count and size ('4-20M'), a 'n(m)' prefix, a spacing within half a mm ('10M@150'), or the words anywhere."""
-    v = plain(value)
-    q, s = r"^(\d+)-(\d{2}M)$", r"^(\d{2}M)@"
-    want = spacing(F.replace(value, F.lit("''"), F.lit('"')), imperial)
-    lines = F.transform(F.coalesce(raw, F.array().cast("array<string>")), plain)
+def bare(c: Column) -> Column:
+    """A text for comparing: capitals, no blanks, one kind of foot and inch signs."""
+    return F.upper(F.regexp_replace(F.translate(F.replace(c, F.lit("''"), F.lit('"')), "’", "'"), r"\s+", ""))
+
+
+def parsed_value(value: Column, imperial: Column) -> Column:
+    """form (count, inner, spaced, text), quantite, diametre, rang, mm and the bare text of a value."""
+    def parts(v: Column) -> Column:
+        form = F.when(v.rlike(COUNT), "count").when(v.rlike(INNER), "inner").when(v.rlike(SPACED), "spaced").otherwise("text")
+        return F.struct(
+            form.alias("form"), group(v, COUNT, 1).cast("int").alias("quantite"), F.coalesce(group(v, COUNT, 2), group(v, SPACED, 2)).alias("diametre"), group(v, SPACED, 1).alias("rang"),
+            spacing(F.replace(value, F.lit("''"), F.lit('"')), imperial).alias("mm"), v.alias("text"))
+
+    return bound(bare(value), parts)
+
+
+def states(armature: Column, raw: Column, layer: Column, v: Column) -> Column:
+    """Whether a record with these bars, lines and layer states a parsed value: its bar, a line beginning with it, its spacing within half a mm (in its rang), or a line holding it."""
+    lines = F.transform(F.coalesce(raw, F.array().cast("array<string>")), bare)
     bars = F.coalesce(armature, F.array().cast("array<struct<repere:string,diametre:string,quantite:int,espacement_mm:double,longueur_mm:double>>"))
-    return (
-        F.when(v.rlike(q), F.exists(bars, lambda b: F.coalesce((b["quantite"] == group(v, q, 1).cast("int")) & (b["diametre"] == group(v, q, 2)), F.lit(False))))
-        .when(v.rlike(r"^\d+\(\d+\)"), F.exists(lines, lambda t: t.startswith(v)))
-        .when(v.rlike(s), F.exists(bars, lambda b: F.coalesce((b["diametre"] == group(v, s, 1)) & (F.abs(b["espacement_mm"] - want) < 0.5), F.lit(False))))
-        .otherwise(F.exists(lines, lambda t: t.contains(v)))
-    )
+    bar = lambda b: (b["diametre"] == v["diametre"]) & F.when(v["form"] == "count", b["quantite"] == v["quantite"]).otherwise(F.abs(b["espacement_mm"] - v["mm"]) < 0.5)
+    by_bar = F.exists(bars, lambda b: F.coalesce(bar(b), F.lit(False))) & (v["rang"].isNull() | F.contains(F.coalesce(layer, F.lit("")), v["rang"]))
+    return F.when(v["form"].isin("count", "spaced"), by_bar).otherwise(F.exists(lines, lambda t: F.when(v["form"] == "inner", t.startswith(v["text"])).otherwise(t.contains(v["text"]))))
 
 
 def check_key(key_rows: DataFrame, records: DataFrame, imperial: bool, by_sheet: bool = True) -> DataFrame:
     """key_rows (row, feuillet, localisation, value): row, candidates, found, first (id of the first record that states it)."""
     on = ["feuillet", "localisation"] if by_sheet else ["localisation"]
-    r = records.select(F.col("element").alias("localisation"), "feuillet", "id", "seq", "armature", F.col("debug.raw").alias("raw"))
+    layer = F.col("debug.layer") if "layer" in records.schema["debug"].dataType.names else F.lit(None).cast("string")
+    r = records.select(F.col("element").alias("localisation"), "feuillet", "id", "seq", "armature", F.col("debug.raw").alias("raw"), layer.alias("layer"))
     r = r if by_sheet else r.drop("feuillet")
-    x = key_rows.join(r, on, "left").withColumn("ok", states(F.col("armature"), F.col("raw"), F.col("value"), F.lit(imperial)) & F.col("id").isNotNull())
-    return x.groupBy("row").agg(F.count("id").alias("candidates"), F.coalesce(F.max("ok"), F.lit(False)).alias("found"), F.min_by("id", F.when(F.col("ok"), F.col("seq"))).alias("_f"), F.count_if("ok").alias("_n")).select(
-        "row", "candidates", "found", F.when(F.col("_n") > 0, F.col("_f")).alias("first"))
+    k = key_rows.withColumn("v", parsed_value(F.col("value"), F.lit(imperial)))
+    x = k.join(r, on, "left").withColumn("ok", F.coalesce(states(F.col("armature"), F.col("raw"), F.col("layer"), F.col("v")) & F.col("id").isNotNull(), F.lit(False)))
+    return x.groupBy("row").agg(F.count("id").alias("candidates"), F.max("ok").alias("found"), F.min_by("id", F.when(F.col("ok"), F.col("seq"))).alias("_f")).select("row", "candidates", "found", F.when(F.col("found"), F.col("_f")).alias("first"))
 
 
 # ---- summaries ----

@@ -114,23 +114,27 @@ def bar_grammar(s, d):
     return li.select("l_orderkey", "l_linenumber", G.bar_line(text, F.lit(True)).alias("b")).select("l_orderkey", "l_linenumber", *[f"b.{c}" for c in ("label", "quantite", "diametre", "repere", "espacement_mm", "longueur_mm")])
 
 
-@query(f"""select l_orderkey, l_linenumber, 'slab' as kind, null as role, cast(l_quantity as int) as quantite, case when l_linenumber % 2 = 0 then {SIZES}[1 + l_partkey % 8] else '15M' end as diametre, null::double as spacing from lineitem
-union all select l_orderkey, l_linenumber, 'beam', case l_linenumber % 3 when 0 then 'longitudinale' when 1 then 'peau' else 'étriers' end, case when l_linenumber % 3 = 0 then cast(l_quantity as int) end, {SIZES}[1 + l_partkey % 8], case when l_linenumber % 3 > 0 then (100 + l_orderkey % 9)::double end from lineitem
-union all select l_orderkey, l_linenumber, 'mat', cast(1 + l_linenumber % 4 as varchar), null, {SIZES}[1 + l_partkey % 8], (200 + l_orderkey % 9)::double from lineitem""")
+@query(f"""with b as (select l_orderkey, l_linenumber, l_linenumber % 4 as f, cast(l_quantity as int) as q, {SIZES}[1 + l_partkey % 8] as z, l_orderkey % 9 as o from lineitem)
+select l_orderkey, l_linenumber, 'slab' as kind, null as role, q as quantite, case when f = 0 then '15M' else z end as diametre, null::double as spacing from b
+union all select l_orderkey, l_linenumber, 'beam', case f when 0 then 'lit ' || (1 + o % 3) when 1 then 'peau' when 2 then 'étriers' else 'lit ' || (2 + o % 2) end, case when f <> 1 then q end, z, case when f = 1 then (100 + o)::double end from b
+union all select l_orderkey, l_linenumber, 'mat', case f when 0 then (1 + o % 3) || ' & ' || (2 + o % 3) when 1 then '2' when 2 then (2 + o % 3) || ' lits' end, case when f = 3 then q end, z, case when f = 3 then null when f = 1 then round((6 + o) * 25.4::double, 1) else (200 + o)::double end from b
+union all select l_orderkey, l_linenumber, 'wall', case f when 0 then 'ARM' when 1 then 'LIG' when 2 then 'H' else 'LIG' end, case when f in (0, 1) then q end, z, case when f = 0 then null else (150 + o)::double end from b""")
 def plan_callouts(s, d):
-    """Callouts of slabs, beams and mats."""
-    li = t(s, d, "lineitem")
+    """Callouts of slabs, beams, mats and walls in all forms in which they're written."""
     st = lambda c: c.cast("string")
-    size = F.element_at(F.array(*map(F.lit, G.DESIGNATORS)), (1 + F.col("l_partkey") % 8).cast("int"))
-    q, ln = F.col("l_quantity").cast("int"), F.col("l_linenumber")
-    slab = G.slab_callout(F.concat(st(q), F.lit("("), st(ln), F.lit(")"), F.when(ln % 2 == 0, F.concat(F.lit("-"), size)).otherwise("")), F.lit("15M"))
-    beam = G.beam_callout(F.when(ln % 3 == 0, F.concat(st(q), F.lit("-"), size)).when(ln % 3 == 1, F.concat(F.lit("PEAU "), size, F.lit("@"), st(100 + F.col("l_orderkey") % 9))).otherwise(F.concat(size, F.lit("@ "), st(100 + F.col("l_orderkey") % 9), F.lit("mm"))), F.lit(False))
-    mat = G.mat_callout(F.concat(F.lit("RANG "), st(1 + ln % 4), F.lit(": "), size, F.lit(" @"), st(200 + F.col("l_orderkey") % 9), F.lit(" mm")), F.lit(True))
-    li = li.select("l_orderkey", "l_linenumber", slab.alias("slab"), beam.alias("beam"), mat.alias("mat"))
-    slab, beam, mat = F.col("slab"), F.col("beam"), F.col("mat")
+    z = F.element_at(F.array(*map(F.lit, G.DESIGNATORS)), (1 + F.col("l_partkey") % 8).cast("int"))
+    q, f, o = st(F.col("l_quantity").cast("int")), F.col("l_linenumber") % 4, F.col("l_orderkey") % 9
+    form = lambda *parts: F.when(f == 0, F.concat(*parts[0])).when(f == 1, F.concat(*parts[1])).when(f == 2, F.concat(*parts[2])).otherwise(F.concat(*parts[3]))
+    L = F.lit
+    slab = form([q, L("("), st(o), L(")")], [q, L(" ("), st(o), L(") - "), z], [q, L("("), st(o), L("-"), z, L(")")], [q, L(" - "), z, L(" LG 3000")])
+    beam = form([L("LIT "), st(1 + o % 3), L(": "), q, L("-"), z], [L("ARM. DE PEAU "), z, L("@"), st(100 + o)], [q, L(" ETRIERS "), z], [st(2 + o % 2), L("e lit "), q, L(" - "), z])
+    mat = form([L("RANG "), st(1 + o % 3), L(" & "), st(2 + o % 3), L(": "), z, L(" @"), st(200 + o), L(" mm")], [L("2E RANG "), z, L(" @ "), st(6 + o), L('"')], [st(2 + o % 3), L(" RANGS DE "), z, L(" @ "), st(200 + o)], [q, L("-"), z, L(" E.F.")])
+    wall = form([L("ARM.: "), q, L("-"), z], [L("LIG.: "), q, L("-"), z, L("@"), st(150 + o), L(" c/c")], [L("H.: "), z, L(" @ "), st(150 + o)], [L("LIG.: "), z, L("@"), st(150 + o)])
+    li = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.slab_callout(slab, F.lit("15M")).alias("slab"), G.beam_callout(beam, F.lit(False)).alias("beam"), G.mat_callout(mat, F.lit(False)).alias("mat"), G.wall_callout(wall, F.lit(False)).alias("wall"))
     none = F.lit(None)
-    row = lambda k, r, n, z, sp: F.struct(F.lit(k).alias("kind"), r.cast("string").alias("role"), n.cast("int").alias("quantite"), z.alias("diametre"), sp.cast("double").alias("spacing"))
-    x = F.explode(F.array(row("slab", none, slab["quantite"], slab["diametre"], none), row("beam", beam["role"], beam["quantite"], beam["diametre"], beam["espacement_mm"]), row("mat", mat["rang"], mat["quantite"], mat["diametre"], mat["espacement_mm"])))
+    row = lambda k, r, c, sp: F.struct(F.lit(k).alias("kind"), r.cast("string").alias("role"), F.col(k)["quantite"].alias("quantite"), F.col(k)["diametre"].alias("diametre"), sp.cast("double").alias("spacing"))
+    sp = lambda k: F.col(k)["espacement_mm"]
+    x = F.explode(F.array(row("slab", none, 0, none), row("beam", F.col("beam")["role"], 0, sp("beam")), row("mat", F.col("mat")["rang"], 0, sp("mat")), row("wall", F.col("wall")["role"], 0, sp("wall"))))
     return li.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
@@ -176,16 +180,9 @@ def coordinate_position(s, d):
     return plan(s, d).select("id", k.alias("place")).select("id", "place", G.grid_letter(F.col("place")).cast("double").alias("letter"), G.grid_number(F.col("place")).alias("number"))
 
 
-@query(f"""select bar_id, case when quantite is null then '' else quantite || '-' end || coalesce(diametre, '?') || coalesce(' @' || regexp_replace(printf('%.1f', round(espacement_mm * 10) / 10), '\\.0$', '') || ' mm', '') as text, replace(replace(replace(coalesce(nullif(raw, ''), '—'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from {BARS} where espacement_mm is null or abs(espacement_mm * 10 - round(espacement_mm * 10)) < 0.01""")
+@query(f"""select bar_id, case when quantite is null then '' else quantite || '-' end || coalesce(diametre, '?') || coalesce(' @' || format('{{:g}}', espacement_mm) || ' mm', '') as text, replace(replace(replace(coalesce(nullif(raw, ''), '—'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from {BARS}""")
 def formatting(s, d):
-    """Bars as text, text for HTML."""
-    b = bars(s, d).filter("espacement_mm is null or abs(espacement_mm * 10 - round(espacement_mm * 10)) < 0.01")
-    return b.select("bar_id", G.bar_text(F.col("quantite"), F.col("diametre"), F.col("espacement_mm"), F.lit(None).cast("double")).alias("text"), G.escaped(F.col("raw")).alias("html"))
-
-
-@query(None)
-def formatting_whole(s, d):
-    """Every bar as text, spacings as '%g' writes them; the SQL of formatting states those on a tenth, rounded to it."""
+    """Bars as text, spacings as '%g' writes them, text for HTML."""
     b, sp = bars(s, d), F.col("espacement_mm")
     head = F.concat(F.when(F.col("quantite").isNotNull(), F.concat(F.col("quantite").cast("string"), F.lit("-"))).otherwise(""), F.coalesce("diametre", F.lit("?")))
     text = F.concat_ws(" ", head, F.when(sp.isNotNull(), F.concat(F.lit("@"), G.general(sp), F.lit(" mm"))))
@@ -240,13 +237,20 @@ def beam_regroup(s, d):
     return normalize.beams(shop(s, d))
 
 
-@query(None)
+_ROLES = rf"""b as (select id, kind, pos, diametre, quantite, espacement_mm, longueur_mm, layer_, regexp_replace({_FOLD("coalesce(label, '')")}, '^[ .:_-]+|[ .:_-]+$', '', 'g') as v from (select id, type_element as kind, p - 1 as pos, a.diametre as diametre, a.quantite as quantite, a.espacement_mm as espacement_mm, a.longueur_mm as longueur_mm, {_FOLD("coalesce(debug.layer, debug.reinforcement_kind)")} as layer_,
+case when type_element = 'radier' then debug.direction else coalesce(debug.roles[p], debug.role, case when type_element = 'semelle' and n = 2 then (case p when 1 then 'LONG' else 'TRAN' end) end) end as label from (select *, len(armature) as n, unnest(armature) as a, unnest(range(1, len(armature) + 1)) as p from {SHOP} where type_element in ('radier', 'poutre', 'semelle', 'dalle')))),
+r as (select *, case when kind = 'radier' then (case when v in ('HORIZONTAL','HORIZONTALE') then 'horizontal' when v in ('VERTICAL','VERTICALE') then 'vertical' else 'INCONNU' end) when kind = 'poutre' then (case when v in ('LONG','LONGITUDINALE') then 'longitudinale' when v in ('PEAU','SKIN') then 'peau' when v in ('ETRI','ETRIER','ETRIERS') then 'étriers' else 'INCONNU' end)
+when kind = 'semelle' then (case when v in ('LONG','LONGITUDINALE','LONGITUDINAL') then 'LONG' when v in ('TRAN','TRANS','TRANSVERSALE','TRANSVERSAL') then 'TRAN' else 'INCONNU' end) else (case when v in ('NUM','ALP') then v else 'INCONNU' end) end as role from b)"""
+
+
+@query(f"""with {_ROLES} select id, kind, row_number() over (partition by id order by coalesce(list_position(['LONG', 'TRAN', 'NUM', 'ALP', 'longitudinale', 'peau', 'étriers', 'horizontal', 'vertical'], role), 99), pos)::int as entry, role, diametre, case when espacement_mm is not null and (kind = 'radier' or (kind = 'poutre' and role in ('peau', 'étriers'))) then null else quantite end as quantite, espacement_mm, longueur_mm from r""")
 def shared_roles(s, d):
     """Bars of the shared kinds in their order."""
     return normalize.shared_bars(shop(s, d))
 
 
-@query(None)
+@query(f"""with {_ROLES}, h as (select id, kind, any_value(layer_) as l, bool_or(role = 'LONG') as a, bool_or(role = 'TRAN') as b, bool_or(role = 'NUM') as c, bool_or(role = 'ALP') as d from r group by 1, 2)
+select * from (select id, kind, case when kind = 'semelle' then concat_ws(',', case when not a then 'LONG' end, case when not b then 'TRAN' end) when kind = 'dalle' and l = 'INTEGRITE' then concat_ws(',', case when not d then 'ALP' end, case when not c then 'NUM' end) end as missing from h) where missing <> ''""")
 def missing_role(s, d):
     """Roles that are missing."""
     return normalize.missing_roles(shop(s, d))
@@ -271,17 +275,10 @@ def project_totals(s, d):
     return report.totals(r.select("fichier", "page", F.lit("extracted").alias("status")), r).select("pages", "records", "located", "confidence")
 
 
-@query(f"""select id, source, fichier, feuillet, page, round(x, 1) as x, round(y, 1) as y, type_element, element from {PLAN} where abs(x * 10 - floor(x * 10) - 0.5) > 0.001 and abs(y * 10 - floor(y * 10) - 0.5) > 0.001""")
+@query(f"""select id, source, fichier, feuillet, page, format('{{:.1f}}', x)::double as x, format('{{:.1f}}', y)::double as y, type_element, element, to_json(armature)::varchar as armature from {PLAN}""")
 def record_contract(s, d):
-    """K1, O1: the ten fields (here without bars), places to a tenth."""
-    half = lambda c: f"abs({c} * 10 - floor({c} * 10) - 0.5) > 0.001"
-    return report.contract(plan(s, d).filter(f"{half('x')} and {half('y')}")).drop("armature", "seq")
-
-
-@query(None)
-def record_contract_whole(s, d):
-    """K1, O1: record_contract of every record; its SQL states those that aren't on a half tenth."""
-    return report.contract(plan(s, d)).drop("armature", "seq")
+    """K1, O1: the ten fields of every record, places to a tenth."""
+    return report.contract(plan(s, d)).drop("seq").withColumn("armature", F.to_json("armature", {"ignoreNullFields": "false"}))
 
 
 # ---- comparison ----
@@ -291,53 +288,62 @@ def _keys(records: DataFrame, is_plan: bool) -> DataFrame:
     return C.observations(records, is_plan)
 
 
-_LAYER = rf"""case type_element when 'dalle' then coalesce(nullif({_FOLD("coalesce(debug.layer, '')")}, ''), nullif({_FOLD("coalesce(debug.reinforcement_kind, '')")}, ''), 'INCONNU') when 'radier' then {_FOLD("coalesce(debug.layer, '')")} || ' · ' || {_FOLD("coalesce(debug.direction, '')")} else {_FOLD("coalesce(debug.layer, '')")} end"""
-_SIDE = lambda src, where: rf"""(select type_element as kind, {_LEVEL} as level, {_LAYER} as layer, {_KEY} as place, * from (select *, {_FOLD("coalesce(debug.niveau, '')")} as t from {src}) {where})"""
+_SAID = _FOLD("coalesce(debug.layer, '')")
+_DIRECTION = rf"regexp_replace({_FOLD("coalesce(debug.direction, '')")}, '^[ .:_-]+|[ .:_-]+$', '', 'g')"
+_LAYER = rf"""case type_element when 'dalle' then (case when coalesce(nullif({_SAID}, ''), {_FOLD("debug.reinforcement_kind")}) in ('INTEGRITE', 'HAUT', 'BAS') then coalesce(nullif({_SAID}, ''), {_FOLD("debug.reinforcement_kind")}) else 'INCONNU' end)
+when 'radier' then coalesce(nullif(trim(regexp_replace({_SAID}, '^RANGS?\s*', ''), ' :'), ''), 'INCONNU') || ' · ' || (case when {_DIRECTION} in ('HORIZONTAL', 'HORIZONTALE') then 'HORIZONTAL' when {_DIRECTION} in ('VERTICAL', 'VERTICALE') then 'VERTICAL' else 'INCONNU' end) else {_SAID} end"""
+_LOT = "coalesce(regexp_extract(fichier, '(?:^|[^0-9])([0-9]{5})(?:[^0-9]|$)', 1), '')"
+_K = "project, lot, kind, level, layer, place"
+_SIDE = lambda src, where: rf"""(select {_FOLD("coalesce(project, '')")} as project, {_LOT} as lot, type_element as kind, case when type_element = 'radier' and {_LEVEL} = '' then 'FONDATION' else {_LEVEL} end as level, {_LAYER} as layer, {_KEY} as place, armature from (select *, {_FOLD("coalesce(debug.niveau, '')")} as t from {src}) {where})"""
 _INTEGRITY = "where type_element <> 'dalle' or coalesce(debug.reinforcement_kind, '') = 'integrity'"
 _SIDES = f"p as {_SIDE(PLAN, _INTEGRITY)}, s as {_SIDE(SHOP, '')}"
 
 
-def _multiset(side: DataFrame) -> DataFrame:
-    b = side.select("kind", "level", "layer", "place", F.explode("armature").alias("b"))
-    return b.groupBy("kind", "level", "layer", "place", "b.diametre", "b.quantite", F.round("b.espacement_mm").alias("sp")).agg(F.count("*").alias("n"))
-
+_COUNTS = f"""u as (select {_K}, a, 1 as l, 0 as r from (select {_K}, unnest(armature) as a from p) union all select {_K}, a, 0, 1 from (select {_K}, unnest(armature) as a from s)),
+g as (select {_K}, a.diametre as dm, a.quantite as q, round(a.espacement_mm) as sp, sum(l) as l, sum(r) as r from u group by all),
+x as (select {_K}, sum(greatest(l - r, 0))::bigint as plan_only, sum(greatest(r - l, 0))::bigint as atelier_only from g group by all having sum(greatest(l - r, 0)) + sum(greatest(r - l, 0)) > 0),
+both_ as (select {_K} from p intersect select {_K} from s)"""
 
-_SET = lambda side: f"(select kind, level, layer, place, b.diametre as dm, b.quantite as q, round(b.espacement_mm) as sp, count(*) as n from (select kind, level, layer, place, unnest(armature) as b from {side}) group by all)"
 
-
-@query(f"""with {_SIDES}, both_ as (select kind, level, layer, place from p intersect select kind, level, layer, place from s), a as {_SET("p")}, b as {_SET("s")},
-j as (select coalesce(a.kind, b.kind) as kind, coalesce(a.level, b.level) as level, coalesce(a.layer, b.layer) as layer, coalesce(a.place, b.place) as place, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) as l, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) as r from a full join b on a.kind = b.kind and a.level = b.level and a.layer = b.layer and a.place = b.place and a.dm is not distinct from b.dm and a.q is not distinct from b.q and a.sp is not distinct from b.sp)
-select kind, level, layer, place, sum(l)::bigint as plan_only, sum(r)::bigint as atelier_only from j join both_ using (kind, level, layer, place) group by all having sum(l) + sum(r) > 0""")
+@query(f"with {_SIDES}, {_COUNTS} select x.* from x join both_ using ({_K})")
 def exact_compare(s, d):
-    """Elements under the same key whose bars differ as multisets (all observations)."""
-    a, b = normalize.keyed(plan(s, d)).filter("kind != 'dalle' or coalesce(debug.reinforcement_kind, '') = 'integrity'"), normalize.keyed(shop(s, d))
-    # both sides' counts meet by one aggregation instead of a full join
-    u = _multiset(a).withColumn("l", F.col("n")).withColumn("r", F.lit(0)).unionByName(_multiset(b).withColumn("l", F.lit(0)).withColumn("r", F.col("n")))
-    k = ["kind", "level", "layer", "place"]
-    g = u.groupBy(*k, "diametre", "quantite", "sp").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    g = g.groupBy(*k).agg(F.sum(F.greatest(F.col("l") - F.col("r"), F.lit(0))).alias("plan_only"), F.sum(F.greatest(F.col("r") - F.col("l"), F.lit(0))).alias("atelier_only")).filter("plan_only + atelier_only > 0")
-    shared = a.select(*k).distinct().join(b.select(*k).distinct(), k)
-    return g.join(shared, k)
-
-
-@query(f"""with {_SIDES} select kind, level, layer, place, 'plan' as side from (select kind, level, layer, place from p except select kind, level, layer, place from s) union all select kind, level, layer, place, 'atelier' from (select kind, level, layer, place from s except select kind, level, layer, place from p)""")
+    """Elements under the same key, of one project and lot, whose bars differ as multisets (all observations)."""
+    a = normalize.keyed(plan(s, d)).filter("kind != 'dalle' or coalesce(debug.reinforcement_kind, '') = 'integrity'")
+    b = normalize.keyed(shop(s, d))
+    side = lambda df, n: df.select(*C.KEY, F.explode_outer("armature").alias("b"), F.lit(n).alias("l"), F.lit(1 - n).alias("r"))
+    # both sides' counts meet by one aggregation instead of joins; a key's bars are counted before they're put together
+    u = side(a, 1).unionByName(side(b, 0)).groupBy(*C.KEY, "b.diametre", "b.quantite", F.round("b.espacement_mm").alias("sp"), F.col("b").isNull().alias("none")).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    more = lambda x, y: F.sum(F.when(~F.col("none"), F.greatest(x - y, F.lit(0))).otherwise(0))
+    g = u.groupBy(*C.KEY).agg(more(l, r).alias("plan_only"), more(r, l).alias("atelier_only"), F.max(l > 0).alias("p"), F.max(r > 0).alias("s"))
+    return g.filter("p and s and plan_only + atelier_only > 0").drop("p", "s")
+
+
+@query(f"""with {_SIDES} select {_K}, 'plan' as side from (select {_K} from p except select {_K} from s) union all select {_K}, 'atelier' from (select {_K} from s except select {_K} from p)""")
 def coverage_one_sided(s, d):
     """Keys of one side only."""
     return C.one_sided(_keys(plan(s, d), True), _keys(shop(s, d), False))
 
 
-@query(f"""with {_SIDES}, k as (select place from p union select place from s), v as (select distinct ascii(place) - 65 as l, regexp_extract(place, '-(\\d+(\\.\\d+)?)$', 1)::double as n from k where regexp_full_match(place, '[A-Z](\\.\\d+)?-\\d+(\\.\\d+)?'))
-select 'letter' as axis, l::double as v, (dense_rank() over (order by l) - 1)::int as step from (select distinct l from v) union all select 'number', n, (dense_rank() over (order by n) - 1)::int from (select distinct n from v)""")
+_AT = r"""k as (select {k} from p union select {k} from s), v as (select *, ascii(place) - 65 + coalesce(try_cast('0' || nullif(regexp_extract(place, '^[A-Z](\.\d+)?-', 1), '') as double), 0) as l, regexp_extract(place, '-(\d+(\.\d+)?)$', 1)::double as n from k where regexp_full_match(place, '[A-Z](\.\d+)?-\d+(\.\d+)?')),
+ll as (select project, lot, letter, dense_rank() over (partition by project, lot order by letter) - 1 as lp from (select distinct project, lot, floor(l) as letter from v)), nn as (select project, lot, n, dense_rank() over (partition by project, lot order by n) - 1 as np from (select distinct project, lot, n from v))""".replace("{k}", _K)
+
+
+@query(f"""with {_SIDES}, {_AT} select project, lot, 'letter' as axis, letter::double as v, lp::int as step from ll union all select project, lot, 'number', n, np::int from nn""")
 def grid_steps(s, d):
-    """Printed positions of the grid."""
-    keys = _keys(plan(s, d), True).select("place").unionByName(_keys(shop(s, d), False).select("place"))
+    """Printed positions of each lot's grid."""
+    keys = _keys(plan(s, d), True).select(*C.SITE, "place").unionByName(_keys(shop(s, d), False).select(*C.SITE, "place"))
     a, b = C.steps(keys)
-    return a.select(F.lit("letter").alias("axis"), F.col("letter").cast("double").alias("v"), F.col("lp").alias("step")).unionByName(b.select(F.lit("number").alias("axis"), F.col("number").alias("v"), F.col("np").alias("step")))
+    return a.select(*C.SITE, F.lit("letter").alias("axis"), F.col("letter").cast("double").alias("v"), F.col("lp").alias("step")).unionByName(b.select(*C.SITE, F.lit("number").alias("axis"), F.col("number").alias("v"), F.col("np").alias("step")))
 
 
-@query(None)
+@query(f"""with {_SIDES}, {_AT}, w as (select v.*, lp, np, case when kind = 'dalle' and contains(layer, 'INCONNU') then 'HAUT+BAS' else layer end as scope from v join ll on v.project = ll.project and v.lot = ll.lot and floor(l) = letter join nn on v.project = nn.project and v.lot = nn.lot and v.n = nn.n),
+la as (select {_K} from p except select {_K} from s), lb as (select {_K} from s except select {_K} from p), a as (select w.* from w join la using ({_K})), b as (select w.* from w join lb using ({_K})),
+c as (select a.project, a.lot, a.kind, a.level, a.scope, a.layer as p_layer, a.place as p_place, b.layer as s_layer, b.place as s_place, abs(a.l - b.l) + abs(a.n - b.n) as distance, case when abs(a.l - b.l) < 1 and abs(a.n - b.n) < 1 then 1 when a.lp = b.lp then abs(a.np - b.np) else abs(a.lp - b.lp) end as stage
+from a join b on a.project = b.project and a.lot = b.lot and a.kind = b.kind and a.level = b.level and a.scope = b.scope and ((a.lp = b.lp and abs(a.np - b.np) between 1 and 4) or (a.n = b.n and abs(a.lp - b.lp) between 1 and 4) or (abs(a.l - b.l) < 1 and abs(a.n - b.n) < 1)))
+select * replace (round(distance, 6) as distance, stage::int as stage) from c""")
 def neighbor_candidates(s, d):
-    """Candidates of lone keys within four printed positions."""
+    """Candidates of lone keys within four printed positions of their lot's grid."""
     a, b = _keys(plan(s, d), True).select(*C.KEY).distinct(), _keys(shop(s, d), False).select(*C.KEY).distinct()
     return C.neighbours(a.join(b, C.KEY, "left_anti"), b.join(a, C.KEY, "left_anti"), a.unionByName(b).distinct()).withColumn("distance", F.round("distance", 6))
 
@@ -346,7 +352,7 @@ def neighbor_candidates(s, d):
 def compare_full(s, d):
     """The comparison, all passes."""
     c = C.compare(plan(s, d), shop(s, d))
-    return c.select("kind", "level", "layer", "plan_element", "atelier_element", "coordinate_match", "matched", F.size("missing").alias("missing"), F.size("extra").alias("extra"))
+    return c.select(*C.SITE, "kind", "level", "layer", "plan_element", "atelier_element", "coordinate_match", "matched", F.size("missing").alias("missing"), F.size("extra").alias("extra"))
 
 
 @query(None)
@@ -357,7 +363,7 @@ def bar_match(s, d):
     return m.select(*C.KEY, "matched", F.size("missing").alias("missing"), F.size("extra").alias("extra"), "identical")
 
 
-@query(None)
+@query(f"""with {_SIDES}, {_COUNTS}, n as (select kind, count(*) as compared from both_ group by 1), m as (select kind, count(*) as differ from x join both_ using ({_K}) group by 1) select kind, compared, coalesce(differ, 0) as differ, round_even(100.0 * coalesce(differ, 0) / compared, 0)::double as percent from n left join m using (kind)""")
 def compared_share(s, d):
     """Elements compared and differing per kind."""
     a, b = _keys(plan(s, d), True).select(*C.KEY).distinct(), _keys(shop(s, d), False).select(*C.KEY).distinct()
@@ -366,20 +372,10 @@ def compared_share(s, d):
     return n.join(x, "kind", "left").select("kind", "compared", F.coalesce("differ", F.lit(0)).alias("differ"), F.bround(100 * F.coalesce("differ", F.lit(0)) / F.col("compared")).alias("percent"))
 
 
-_ANSWER = f"""with k as (select seq as row, feuillet, element, case when seq % 2 = 0 then armature[1].quantite || '-' || armature[1].diametre else '999-10M' end as v, armature[1].quantite as q, armature[1].diametre as dm from {PLAN} where seq % 7 = 0 and len(armature) > 0 and armature[1].quantite is not null and armature[1].diametre is not null)
-select k.row, count(r.id) as candidates, coalesce(bool_or(k.row % 2 = 0 and len(list_filter(r.armature, lambda b: b.quantite = k.q and b.diametre = k.dm)) > 0), false) as found from k left join {PLAN} r on r.feuillet = k.feuillet and r.element = k.element group by 1"""
-
-
-@query(_ANSWER)
+@query(f"""with k as (select seq as row, feuillet, element, armature[1].quantite as q, armature[1].diametre as dm from {PLAN} where armature[1].quantite is not null and armature[1].diametre is not null)
+select k.row, count(r.id) as candidates, coalesce(bool_or(k.row % 2 = 0 and len(list_filter(r.armature, lambda b: b.quantite = k.q and b.diametre = k.dm)) > 0), false) as found from k left join {PLAN} r on r.feuillet = k.feuillet and r.element = k.element group by 1""")
 def answer_key(s, d):
-    """Values of an answer key among the records of their sheet and place."""
-    p = plan(s, d)
-    return _answers(p.filter(F.col("seq") % 7 == 0), p)
-
-
-@query(None)
-def answer_key_whole(s, d):
-    """answer_key with a row of every record; its SQL states a sample."""
+    """Values of an answer key, one of every record, among the records of their sheet and place."""
     p = plan(s, d)
     return _answers(p, p)
 
@@ -399,7 +395,7 @@ _BARKEY = "list_sort(list_transform(coalesce(bars, []), lambda b: {l: coalesce(b
 @query(f"""with s as (select *, {_BARKEY} as sign from {SUPPORTS}), n as (select *, row_number() over (partition by project, coordinate, level, layer, sign order by confidence desc nulls last, support_id) as k, count(*) over (partition by project, coordinate, level, layer, sign) - 1 as removed from s), f as (select * from n where k = 1), m as (select project, coordinate, level, layer, count(*) as v from f group by all)
 select f.support_id, f.removed, m.v > 1 as duplicate_conflict from f join m on f.project is not distinct from m.project and f.coordinate is not distinct from m.coordinate and f.level is not distinct from m.level and f.layer is not distinct from m.layer""")
 def signature_dedup(s, d):
-    """One row per identity and signature, conflicts marked."""
+    """One row per identity and signature, conflicts marked."""
     x = supports(s, d)
     none = F.array().cast(x.schema["bars"].dataType)
     sign = dedup.signature(F.coalesce("bars", none), ["label", "quantite", "diametre", "longueur_mm", "repere"])
@@ -436,7 +432,7 @@ def unanimous_layer(s, d):
 
 @query(f"""with v as (select project, coordinate, status, count(*) as votes, max(confidence) as best from {SUPPORTS} group by 1, 2, 3), r as (select *, row_number() over (partition by project, coordinate order by votes desc, best desc, status) as k from v) select project, coordinate, status, votes, round(case when votes = 1 then best * 0.6::double else best end, 6) as score from r where k = 1""")
 def reading_vote(s, d):
-    """The reading with most votes, by best score on ties; a single vote counts less."""
+    """The reading with most votes, by best score on ties; a single vote counts less."""
     v = supports(s, d).groupBy("project", "coordinate", "status").agg(F.count("*").alias("votes"), F.max("confidence").alias("best"))
     w = Window.partitionBy("project", "coordinate").orderBy(F.desc("votes"), F.desc("best"), "status")
     x = v.withColumn("k", F.row_number().over(w)).filter("k = 1")
@@ -464,7 +460,7 @@ def confidence_hist(s, d):
 
 @query(f"""select project, count(*) as bars, sum(quantite)::bigint as pieces, count(distinct fichier) as files, count(distinct element) as places, median(longueur_mm) as median_mm from {BARS} group by 1""")
 def group_bys(s, d):
-    """Counts, sums, distinct counts, medians per group."""
+    """Counts, sums, distinct counts, medians per group."""
     return bars(s, d).groupBy("project").agg(F.count("*").alias("bars"), F.sum("quantite").alias("pieces"), F.countDistinct("fichier").alias("files"), F.countDistinct("element").alias("places"), F.median("longueur_mm").alias("median_mm"))
 
 
@@ -496,10 +492,10 @@ def status_derivation(s, d):
     return supports(s, d).select("support_id", state.alias("state"), F.concat_ws("; ", F.when(F.col("layer").isNull(), "no layer"), F.when(F.col("level").isNull(), "no level"), "reason").alias("issues"))
 
 
-@query(f"""select type_element, element, debug.confidence as confidence from {PLAN} where type_element in ('colonne', 'dalle') and debug.confidence < 0.6 order by debug.confidence limit 50""")
+@query(f"""select type_element, element, debug.confidence as confidence from {PLAN} where type_element in ('colonne', 'dalle') order by debug.confidence nulls last, id limit 50""")
 def least_certain(s, d):
     """Filtered, the least certain first, as many as are shown."""
-    return plan(s, d).filter(F.col("type_element").isin("colonne", "dalle") & (F.col("debug.confidence") < 0.6)).select("type_element", "element", F.col("debug.confidence").alias("confidence")).orderBy("confidence").limit(50)
+    return plan(s, d).filter(F.col("type_element").isin("colonne", "dalle")).orderBy(F.col("debug.confidence").asc_nulls_last(), "id").limit(50).select("type_element", "element", F.col("debug.confidence").alias("confidence"))
 
 
 # ---- pages and positions ----
@@ -523,7 +519,7 @@ def page_sizes(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with c as (select page, text, (x0 > 600 and y0 > 546) as i, h, x0, y0, seq from {_TOKENS} where x0 > 450 and y0 > 490 and regexp_full_match(text, 'S\\d{{3}}')), b as (select *, row_number() over (partition by page order by i desc, h desc, x0 desc, y0 desc, seq desc) as k from c)
 select s_suppkey as page, coalesce('S-' || text[2:], 'UNKNOWN') as feuillet from supplier left join (select * from b where k = 1) b on page = s_suppkey""")
 def sheet_ids(s, d):
-    """Sheet ids out of the title block."""
+    """S3: sheet ids out of the title block."""
     return pages.sheet_ids(tokens(s, d), page_sizes(s, d)).select("page", "feuillet")
 
 
@@ -533,14 +529,18 @@ def page_titles(s, d):
     return pages.titles(tokens(s, d), page_sizes(s, d)).select("page", "title")
 
 
-@query("""select p_partkey, case p_partkey % 6 when 0 then null when 1 then 'colonne' when 2 then 'poutre' when 3 then 'radier' when 4 then 'semelle' else 'dalle' end as kind, case p_partkey % 3 when 0 then 'NIVEAU ' || p_size when 1 then 'TOIT' end as level, case when p_size > 20 then 1 when p_partkey % 300 > 200 then 2 when p_partkey % 2 > 0 then 3 else 4 end as tier from part""")
+@query("""select p_partkey, case p_partkey % 9 when 1 then 'colonne' when 2 then 'poutre' when 3 then 'radier' when 4 then 'semelle' when 5 then 'dalle' when 6 then 'mur_refend' when 7 then 'dalle' end as kind, case p_partkey % 3 when 0 then 'NIVEAU ' || p_size when 1 then 'TOIT APPENTIS' end as level,
+case p_partkey % 9 when 0 then 'détails typiques : aucun élément localisable sur la grille' when 8 then 'plan général d''aménagement : l''armature des dalles est sur la série S-600, celle des colonnes sur la série S-500' end as skipped,
+case when p_size > 20 then 1 when p_partkey % 300 > 200 then 2 when p_partkey % 2 > 0 then 3 else 4 end as tier from part""")
 def page_kinds(s, d):
-    """Kinds, storeys and reading tiers of pages."""
+    """Kinds, storeys, reasons for passing over, and reading tiers of pages by their titles."""
     k = F.col("p_partkey")
-    head = F.element_at(F.array(*map(F.lit, ["Notes de colonnes", "Colonnes", "Poutres", "Radier des fondations", "Fondations", "Plan de plancher"])), (k % 6 + 1).cast("int"))
-    title = F.concat(head, F.lit(" "), F.when(k % 3 == 0, F.concat(F.lit("Niveau "), F.col("p_size").cast("string"))).when(k % 3 == 1, "Toit").otherwise("etc"))
-    level = F.regexp_substr(F.regexp_replace(F.upper(title), "FONDATIONS?", ""), F.lit(r"NIVEAU \d+|TOIT"))
-    return t(s, d, "part").select("p_partkey", pages.kind_of(title).alias("kind"), level.alias("level"), pages.tier(F.col("p_size"), k % 300, k % 2).alias("tier"))
+    head = F.element_at(F.array(*map(F.lit, ["Détails typiques des colonnes", "Plan des colonnes", "Élévations des poutres", "Plan agrandi des radiers", "Plan des fondations", "Armature du plancher", "Contreventement", "Collecteurs", "Plan du plancher"])), (k % 9 + 1).cast("int"))
+    title = F.concat(F.lit("TITRE DU DESSIN "), head, F.lit(" "), F.when(k % 3 == 0, F.concat(F.lit("Niveau "), F.col("p_size").cast("string"))).when(k % 3 == 1, "Toit appentis").otherwise("etc"), F.lit(" N° 12"))
+    p = t(s, d, "part").withColumn("title", pages.stated_title(title))
+    # the kinds' own names are read as storeys where nothing else is
+    level = F.when(k % 3 != 2, pages.level_of(F.regexp_replace(F.col("title"), "(?i)radiers|fondations", "")))
+    return p.select("p_partkey", pages.kind_of(F.col("title")).alias("kind"), level.alias("level"), pages.skip_reason(F.col("title")).alias("skipped"), pages.tier(F.col("p_size"), k % 300, k % 2).alias("tier"))
 
 
 @query(f"""select page, count(*) as n from (select *, count(*) over (partition by page, text) as k from {_TOKENS}) where k <= 2 group by 1""")
@@ -551,7 +551,7 @@ def rare_tokens(s, d):
 
 @query(f"""with m as (select page, arg_max(h, (c, h)) as mode from (select page, h, count(*) as c from {_TOKENS} group by 1, 2) group by 1) select t.page, count(*) as n from {_TOKENS} t join m using (page) where abs(h - mode) <= 0.25 * mode group by 1""")
 def modal_height(s, d):
-    """marks near the most frequent height."""
+    """marks near the most frequent height."""
     return pages.modal_height(tokens(s, d)).groupBy("page").agg(F.count("*").alias("n"))
 
 
@@ -563,7 +563,7 @@ def median_height(s, d):
 
 @query(f"""with t as (select page, seq, x0 as x, y0 as y, text from {_TOKENS}), l as (select * from t where starts_with(text, 'S1')) select l.page, l.seq, v.value from l left join (select l.page, l.seq, l.x as lx, l.y as ly, string_agg(t.text, ' ' order by t.x, t.seq) as value from l join t on t.page = l.page and t.x > l.x and t.x - l.x <= 60 and abs(t.y - l.y) <= 3 group by 1, 2, 3, 4) v on v.page = l.page and v.seq = l.seq and v.lx = l.x and v.ly = l.y""")
 def values_right_of(s, d):
-    """What stands to the right of a label, on its row."""
+    """What stands to the right of a label, on its row."""
     k = tokens(s, d).select("page", "seq", "x0", "y0", "text")
     # seq isn't a key of line items: the label is known by its place too
     lab = k.filter("text like 'S1%'").select("page", F.struct("seq", "x0", "y0").alias("pid"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
@@ -595,18 +595,18 @@ def middle_letters(s, d):
     return islands.middle_letters(r, ["g"], "seq").select("seq", "label")
 
 
-_PTS = "(select c_custkey % 5 as page, c_custkey as pid, (c_custkey * 37 % 1000)::double as x, (c_custkey * 91 % 700)::double as y from customer)"
-_SYM = "(select p_partkey % 5 as page, p_partkey as oid, (p_partkey * 53 % 1000)::double as ox, (p_partkey * 17 % 700)::double as oy from part)"
+_PTS = "(select c_custkey // 300 as page, c_custkey as pid, (c_custkey * 37 % 1000)::double as x, (c_custkey * 91 % 700)::double as y from customer)"
+_SYM = "(select p_partkey // 400 as page, p_partkey as oid, (p_partkey * 53 % 1000)::double as ox, (p_partkey * 17 % 700)::double as oy from part)"
 
 
 def points(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return t(s, d, "customer").select((k % 5).alias("page"), k.alias("pid"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 700).cast("double").alias("y"))
+    return t(s, d, "customer").select(F.floor(k / 300).alias("page"), k.alias("pid"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 700).cast("double").alias("y"))
 
 
 def symbols(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return t(s, d, "part").select((k % 5).alias("page"), k.alias("oid"), (k * 53 % 1000).cast("double").alias("ox"), (k * 17 % 700).cast("double").alias("oy"))
+    return t(s, d, "part").select(F.floor(k / 400).alias("page"), k.alias("oid"), (k * 53 % 1000).cast("double").alias("ox"), (k * 17 % 700).cast("double").alias("oy"))
 
 
 _NEAR = f"""n as (select p.page, pid, oid, sqrt((x - ox) ** 2 + (y - oy) ** 2) as dist from {_PTS} p join {_SYM} s on p.page = s.page and sqrt((x - ox) ** 2 + (y - oy) ** 2) <= 60), r as (select *, row_number() over (partition by page, pid order by round(dist, 9), oid) as k, lead(dist) over (partition by page, pid order by round(dist, 9), oid) as nx from n)"""
@@ -614,33 +614,33 @@ _NEAR = f"""n as (select p.page, pid, oid, sqrt((x - ox) ** 2 + (y - oy) ** 2) a
 
 @query(f"with {_NEAR} select pid, oid, k::int as rank, round(dist, 6) as distance from r where k <= 6")
 def nearest_symbols(s, d):
-    """The nearest six symbols of each point within reach."""
+    """The nearest six symbols of each point within reach."""
     return spatial.nearest(points(s, d), symbols(s, d), ["page"], 60.0, 6).select("pid", "oid", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query(f"with {_NEAR} select pid, oid, round(dist, 6) as distance from r where k = 1 and (nx is null or nx - dist >= 2)")
 def ambiguity_reject(s, d):
-    """The nearest symbol unless the runner-up is as near."""
+    """The nearest symbol unless the runner-up is as near."""
     return spatial.unambiguous(points(s, d), symbols(s, d), ["page"], 60.0, 2.0).select("pid", "oid", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""select pid from {_PTS} p where not exists (select 1 from {_SYM} s where s.page = p.page and abs(s.ox - p.x) <= 10 and abs(s.oy - p.y) <= 10)""")
 def neighbour_anti(s, d):
-    """Marks that no other token stands beside."""
+    """F8: marks that no other token stands beside."""
     p = points(s, d)
     close = spatial.within(p, symbols(s, d), ["page"], 15.0).filter("abs(ox - x) <= 10 and abs(oy - y) <= 10").select("pid")
     return p.select("pid").join(close, "pid", "left_anti")
 
 
-_RECT = "(select p_partkey % 5 as page, p_partkey as rid, (p_partkey * 53 % 900)::double as x0, (p_partkey * 17 % 600)::double as y0, (p_partkey * 53 % 900 + 20 + p_size)::double as x1, (p_partkey * 17 % 600 + 30 + p_size % 7)::double as y1 from part)"
+_RECT = "(select p_partkey // 400 as page, p_partkey as rid, (p_partkey * 53 % 900)::double as x0, (p_partkey * 17 % 600)::double as y0, (p_partkey * 53 % 900 + 20 + p_size)::double as x1, (p_partkey * 17 % 600 + 30 + p_size % 7)::double as y1 from part)"
 
 
 @query(f"""select pid, rid from (select pid, rid, row_number() over (partition by pid order by (x1 - x0) * (y1 - y0), rid) as k from {_PTS} p join {_RECT} r on p.page = r.page and x between x0 and x1 and y between y0 and y1) where k = 1""")
 def smallest_outline(s, d):
-    """The smallest rectangle around each point."""
+    """The smallest rectangle around each point."""
     k = F.col("p_partkey")
     x, y = (k * 53 % 900).cast("double"), (k * 17 % 600).cast("double")
-    r = t(s, d, "part").select((k % 5).alias("page"), k.alias("rid"), x.alias("x0"), y.alias("y0"), (x + 20 + F.col("p_size")).alias("x1"), (y + 30 + F.col("p_size") % 7).alias("y1"))
+    r = t(s, d, "part").select(F.floor(k / 400).alias("page"), k.alias("rid"), x.alias("x0"), y.alias("y0"), (x + 20 + F.col("p_size")).alias("x1"), (y + 30 + F.col("p_size") % 7).alias("y1"))
     return spatial.enclosing(points(s, d), r, ["page"], 64.0).select("pid", "rid")
 
 
@@ -650,11 +650,10 @@ _AX = "(select 'letter' as kind, chr(65 + i::int) as label, (30 + i * 66 + i * i
 @query(f"""with l as (select pid, label, d from (select pid, label, abs(pos - x) as d, row_number() over (partition by pid order by abs(pos - x), seq) as k from {_PTS}, {_AX[0]}) where k = 1), n as (select pid, label, d from (select pid, label, abs(pos - y) as d, row_number() over (partition by pid order by abs(pos - y), seq) as k from {_PTS}, {_AX[1]}) where k = 1)
 select pid, l.label || '-' || n.label as place, round(least(1.0::double, (l.d / 81 + n.d / 35) / 2), 6) as cost from l join n using (pid)""")
 def grid_locate(s, d):
-    """Places of points on a page's grid, with their cost by the upper median spacing."""
-    i = F.col("id")
-    one = s.range(15).select(F.lit("letter").alias("kind"), F.char(65 + i).alias("label"), (30 + i * 66 + i * i).cast("double").alias("at"), i.alias("seq"))
-    two = s.range(20).select(F.lit("number").alias("kind"), (i + 1).cast("string").alias("label"), (20 + i * 35).cast("double").alias("at"), i.alias("seq"))
-    axes = one.unionByName(two).withColumn("page", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])))
+    """Places of points on a page's grid, with their cost by the upper median spacing."""
+    axis = lambda kind, label, at, seq: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(float(at)).alias("at"), F.lit(seq).alias("seq"))
+    drawn = [axis("letter", chr(65 + i), 30 + i * 66 + i * i, i) for i in range(15)] + [axis("number", str(i + 1), 20 + i * 35, i) for i in range(20)]
+    axes = points(s, d).select("page").distinct().select("page", F.explode(F.array(*drawn)).alias("a")).select("page", "a.*")
     return spatial.locate(points(s, d), axes, ["page"]).select("pid", "place", F.round("cost", 6).alias("cost"))
 
 
@@ -667,11 +666,14 @@ p as (select a.pid, a.label || '-' || b.label as place, a.perp / a.gap + b.perp
 select q.pid, p.place, round(coalesce(least(1.0::double, p.cost / 2), 1.0::double), 6) as cost from {_PTS} q left join p on p.pid = q.pid and p.r = 1""")
 def grid_lines(s, d):
     """Places of points by the nearest pair of crossing grid lines."""
-    i = F.col("id")
-    one = s.range(15).select(i.alias("lid"), F.lit("letter").alias("kind"), F.char(65 + i).alias("label"), F.lit("v").alias("orient"), (30 + i * 66 + i * i).cast("double").alias("c"), (100 * (i % 3)).cast("double").alias("lo"), (500 + 50 * (i % 4)).cast("double").alias("hi"))
-    two = s.range(20).select((100 + i).alias("lid"), F.lit("number").alias("kind"), (i + 1).cast("string").alias("label"), F.lit("h").alias("orient"), (20 + i * 35).cast("double").alias("c"), (200 * (i % 2)).cast("double").alias("lo"), (700 + 60 * (i % 5)).cast("double").alias("hi"))
-    lines = one.unionByName(two).withColumn("page", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])))
-    return drawing.locate_lines(points(s, d), lines, ["page"]).select("pid", "place", F.round("cost", 6).alias("cost"))
+    return drawing.locate_lines(points(s, d), grid(points(s, d)), ["page"]).select("pid", "place", F.round("cost", 6).alias("cost"))
+
+
+def grid(marks: DataFrame) -> DataFrame:
+    """The same drawn grid on every page of marks."""
+    line = lambda lid, kind, label, orient, c, lo, hi: F.struct(F.lit(lid).alias("lid"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(orient).alias("orient"), F.lit(float(c)).alias("c"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    drawn = [line(i, "letter", chr(65 + i), "v", 30 + i * 66 + i * i, 100 * (i % 3), 500 + 50 * (i % 4)) for i in range(15)] + [line(100 + i, "number", str(i + 1), "h", 20 + i * 35, 200 * (i % 2), 700 + 60 * (i % 5)) for i in range(20)]
+    return marks.select("page").distinct().select("page", F.explode(F.array(*drawn)).alias("a")).select("page", "a.*")
 
 
 @query(None)
@@ -695,16 +697,16 @@ def majority_orientation(s, d):
     return drawing.majority_orientation(m, ["page"]).groupBy("page", "kind", "orient").agg(F.count("*").alias("n"))
 
 
-@query("""select p_partkey as k, 2 as fragments, 'R' || (p_size % 9) as label, 1 + p_size % 3 as sets, p_size as quantite, 'A' || (p_partkey % 50) as repere, (100 + p_size)::double as spacing, 'E.F.' as face, 'I-' || p_size as place, 'NIVEAU ' || p_size as level, p_size || ' @ ' || (p_size + 1) as span, '20M' as size, case when p_partkey % 40 between 12 and 39 then 'inches above 11' end as issue, p_size || '-25M · 10M@' || (100 + p_size) || 'mm' as summary from part""")
+@query("""select p_partkey as k, 2 as fragments, case when p_size % 2 = 0 then 'LONG' else 'TRAN' end as label, 1 + p_size % 3 as sets, p_size * (1 + p_size % 3) as quantite, '25RL' || (10 + p_partkey % 50) || '-0' || (p_size % 10) as repere, round((1 + p_size) * 25.4::double, 1) as spacing, case when p_partkey % 2 = 0 then 'HAUT' else 'BAS' end as face, 'I-' || p_size as place, 'NIVEAU ' || p_size as level, p_size || ' @ ' || (p_size + 1) as span, '20M' as size, case when p_partkey % 40 between 12 and 39 then 'inches above 11' end as issue, p_size || '-25M · 10M@' || (100 + p_size) || 'mm' as summary from part""")
 def shop_readings(s, d):
     """Grammars and repairs of read shop drawings, written and read back."""
     k, z = F.col("p_partkey"), F.col("p_size")
     st = lambda c: c.cast("string")
-    spec = F.concat(F.lit("R"), st(z % 9), F.lit(": "), st(1 + z % 3), F.lit("x"), st(z), F.lit("-25M A"), st(k % 50), F.lit(" @"), st(100 + z), F.lit(" E.F."))
+    spec = F.concat(F.when(z % 2 == 0, "LONG: ").otherwise("TRAN: "), st(1 + z % 3), F.lit("x"), st(z), F.lit(" 25M 25RL"), st(10 + k % 50), F.lit("-0"), st(z % 10), F.lit(" @"), st(1 + z), F.lit('"'), F.when(k % 2 == 0, "HAUT").otherwise("BAS"))
     kind = "struct<quantite:int,diametre:string,espacement_mm:double>"
     bars = F.array(F.struct(z.alias("quantite"), F.lit("25M").alias("diametre"), F.lit(None).cast("double").alias("espacement_mm")).cast(kind), F.struct(F.lit(None).cast("int").alias("quantite"), F.lit("10M").alias("diametre"), (100 + z).cast("double").alias("espacement_mm")).cast(kind))
     x = t(s, d, "part").select(
-        k.alias("k"), F.size(G.fragments(F.concat(st(z), F.lit("-25M A.S. "), st(z), F.lit("-15M")))).alias("fragments"), G.mat_spec(spec, F.lit(False)).alias("m"), G.place_repair(F.concat(F.lit("1-"), st(z))).alias("place"),
+        k.alias("k"), F.size(G.fragments(F.concat(st(z), F.lit("-25M A.S. "), st(z), F.lit("-15M")))).alias("fragments"), G.mat_spec(spec).alias("m"), G.place_repair(F.concat(F.lit("1-"), st(z))).alias("place"),
         G.last_level(F.concat(F.lit("Rez-de-chaussée au niveau "), st(z), F.lit(" - toit"))).alias("level"), G.span_of_name(F.concat(F.lit("COL_NIV-"), st(z), F.lit("@"), st(z + 1), F.lit(".pdf"))).alias("span"), G.size_repair(F.element_at(F.array(F.lit("2OM"), F.lit("20H"), F.lit("2OW")), (k % 3 + 1).cast("int"))).alias("size"),
         G.length_issues(F.concat(st(z), F.lit("-"), F.lpad(st(k % 40), 2, "0"))).alias("issue"), G.column_summary(bars).alias("summary"))
     return x.select("k", "fragments", "m.label", "m.sets", "m.quantite", "m.repere", F.col("m.espacement_mm").alias("spacing"), "m.face", "place", "level", "span", "size", "issue", "summary")
@@ -719,63 +721,41 @@ def typical_offset(s, d):
 
 @query(f"""with b as (select page, (x / 14) as q, pid % 40 as label, pid as seq, y, case when x / 14 - floor(x / 14) = 0.5 then 2 * round(x / 28) else round(x / 14) end as bucket from {_PTS}), l as (select page, bucket, label, arg_max(y, seq) as v from b group by 1, 2, 3), g as (select page, bucket::bigint as bucket, count(*) as labels, max(v) - min(v) as spread from l group by 1, 2 having count(*) >= 3 and max(v) - min(v) >= 150) select page, bucket, labels, spread from (select *, row_number() over (partition by page order by labels desc, bucket) as k from g) where k = 1""")
 def collinear_axis(s, d):
-    """Labels on one line."""
+    """Labels on one line."""
     return pages.collinear(points(s, d).withColumn("label", F.col("pid") % 40).withColumn("seq", F.col("pid")), ["page"], "x")
 
 
-@query("""with s as (select p_partkey % 5 as page, (p_partkey * 7 % 50 + 1)::double as w, (p_partkey * 11 % 40 + 1)::double as h from part where p_partkey % 4 = 0), d as (select c_custkey % 5 as page, (c_custkey * 13 % 500 + 100)::double as w_mm, (c_custkey * 29 % 400 + 100)::double as h_mm from customer where c_custkey % 9 = 0)
+@query("""with s as (select p_partkey // 400 as page, (p_partkey * 7 % 50 + 1)::double as w, (p_partkey * 11 % 40 + 1)::double as h from part), d as (select c_custkey // 300 as page, (c_custkey * 13 % 500 + 100)::double as w_mm, (c_custkey * 29 % 400 + 100)::double as h_mm from customer)
 select page, round(median(greatest(w, h) / greatest(w_mm, h_mm)), 6) as scale, count(*) as n from s join d using (page) where abs(greatest(w, h) / least(w, h) - greatest(w_mm, h_mm) / least(w_mm, h_mm)) < 0.06 * greatest(w_mm, h_mm) / least(w_mm, h_mm) group by 1 having count(*) >= 3""")
 def scale_calibration(s, d):
     """Scale of a sheet from drawn and stated sizes."""
-    return _calibration(t(s, d, "part").filter("p_partkey % 4 = 0"), t(s, d, "customer").filter("c_custkey % 9 = 0"))
-
-
-def _calibration(part: DataFrame, customer: DataFrame) -> DataFrame:
+    part, customer = t(s, d, "part"), t(s, d, "customer")
     p, c = F.col("p_partkey"), F.col("c_custkey")
-    sy = part.select((p % 5).alias("page"), (p * 7 % 50 + 1).cast("double").alias("w"), (p * 11 % 40 + 1).cast("double").alias("h"))
-    st = customer.select((c % 5).alias("page"), (c * 13 % 500 + 100).cast("double").alias("w_mm"), (c * 29 % 400 + 100).cast("double").alias("h_mm"))
+    sy = part.select(F.floor(p / 400).alias("page"), (p * 7 % 50 + 1).cast("double").alias("w"), (p * 11 % 40 + 1).cast("double").alias("h"))
+    st = customer.select(F.floor(c / 300).alias("page"), (c * 13 % 500 + 100).cast("double").alias("w_mm"), (c * 29 % 400 + 100).cast("double").alias("h_mm"))
     return pages.calibrate(sy, st, ["page"])
 
 
-@query(None)
-def scale_calibration_whole(s, d):
-    """scale_calibration over all parts and customers; its SQL states a sample."""
-    return _calibration(t(s, d, "part"), t(s, d, "customer"))
-
-
-@query("""select l_suppkey as page, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, count(*) as n from lineitem group by 1""")
-def axis_fit(s, d):
-    """Affine fit of shared axis labels."""
-    return t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.count("*").alias("n"))
-
-
-_VIEWS = "(select case p_partkey % 3 when 0 then 'main' else 'V' || (p_partkey % 3) end as view, 'number' as kind, ((p_partkey // 3) % 40)::varchar as label, min((p_partkey // 3) % 40 * 50 + case p_partkey % 3 when 0 then 0 when 1 then 500 else ((p_partkey // 3) % 40) * 3 end)::double as at from part where p_partkey < 120 group by 1, 2, 3)"
+_VIEWS = "(select case p_partkey % 3 when 0 then 'main' else 'V' || (p_partkey % 3) end as view, 'number' as kind, ((p_partkey // 3) % 40)::varchar as label, min((p_partkey // 3) % 40 * 50 + case p_partkey % 3 when 0 then 0 when 1 then 500 else ((p_partkey // 3) % 40) * 3 end)::double as at from part group by 1, 2, 3)"
 
 
 @query(f"""with v as {_VIEWS}, s as (select a.view, a.kind, m.at - a.at as shift from v a join v m on m.view = 'main' and a.view <> 'main' and a.kind = m.kind and a.label = m.label) select view, kind, list_sort(list(shift))[(count(*) // 2 + 1)::int] as offset from s group by 1, 2 having count(*) >= 3 and max(shift) - min(shift) <= 3""")
 def view_offsets(s, d):
-    """Views that are the main view shifted."""
-    return _shifted(t(s, d, "part").filter("p_partkey < 120"))
+    """Views that are the main view shifted."""
+    return dedup.offsets(_views(t(s, d, "part")), "main")
 
 
-@query(None)
-def view_offsets_whole(s, d):
-    """view_offsets over all parts; its SQL states the first 119."""
-    return _shifted(t(s, d, "part"))
-
-
-def _shifted(part: DataFrame) -> DataFrame:
+def _views(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     i = F.floor(k / 3) % 40
     at = i * 50 + F.when(k % 3 == 0, 0).when(k % 3 == 1, 500).otherwise(i * 3)
-    v = part.groupBy(F.when(k % 3 == 0, "main").otherwise(F.concat(F.lit("V"), (k % 3).cast("string"))).alias("view"), F.lit("number").alias("kind"), i.cast("string").alias("label")).agg(F.min(at).cast("double").alias("at"))
-    return dedup.offsets(v, "main")
+    return part.groupBy(F.when(k % 3 == 0, "main").otherwise(F.concat(F.lit("V"), (k % 3).cast("string"))).alias("view"), F.lit("number").alias("kind"), i.cast("string").alias("label")).agg(F.min(at).cast("double").alias("at"))
 
 
-@query("""select x::int as x, y::int as y from (select unnest(range(0, 5000 - 193 + 1, 1088)) as x) a, (select unnest(range(0, 3000 - 193 + 1, 1088)) as y) b""")
+@query("""select s_suppkey as page, x::int as x, y::int as y from supplier, (select unnest(range(0, 5000 - 193 + 1, 1088)) as x) a, (select unnest(range(0, 3000 - 193 + 1, 1088)) as y) b""")
 def tile_grid(s, d):
-    """Overlapping tiles of a page image."""
-    return s.range(1).select(F.explode(pages.tiles(5000, 3000)).alias("t")).select("t.x", "t.y")
+    """Overlapping tiles of every page's image."""
+    return t(s, d, "supplier").select(F.col("s_suppkey").alias("page"), F.explode(pages.tiles(5000, 3000)).alias("t")).select("page", "t.x", "t.y")
 
 
 # ---- ordered ----
@@ -790,13 +770,13 @@ def events(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with f as (select *, max(s + len) over (partition by user_id order by s, s + len, event_id rows between unbounded preceding and 1 preceding) as far from {_EV}), i as (select *, sum(case when s - far > 15 then 1 else 0 end) over (partition by user_id order by s, s + len, event_id rows unbounded preceding) as k from f) select user_id, min(s) as lo, max(s + len) as hi, count(*) as pieces from i group by user_id, k""")
 def interval_merge(s, d):
-    """Intervals merged over small gaps."""
+    """Intervals merged over small gaps."""
     return islands.merge_intervals(events(s, d).withColumn("e", F.col("s") + F.col("len")), ["user_id"], "s", "e", 15, "event_id")
 
 
 @query(f"""with f as (select *, s - lag(s) over (partition by user_id order by s, event_id) as gap from {_EV}), i as (select *, sum(case when gap > 3600 then 1 else 0 end) over (partition by user_id order by s, event_id rows unbounded preceding) as island from f) select user_id, island::bigint as island, count(*) as n, min(s) as lo from i group by 1, 2""")
 def gap_cluster(s, d):
-    """Clusters along a line."""
+    """Clusters along a line."""
     return islands.cluster(events(s, d), ["user_id"], "s", 3600, "event_id").groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("s").alias("lo"))
 
 
@@ -810,7 +790,7 @@ def storey_bands(s, d):
 
 @query(f"""with o as (select *, row_number() over (partition by user_id order by s, event_id) - row_number() over (partition by user_id, event_type order by s, event_id) as k from {_EV}), g as (select user_id, event_type, k, count(*) as n from o group by 1, 2, 3) select user_id, count(*) as runs, max(n) as longest from g group by 1""")
 def equal_runs(s, d):
-    """Runs of equal rows."""
+    """Runs of equal rows."""
     r = islands.runs(events(s, d), ["user_id"], ["s", "event_id"], ["event_type"]).groupBy("user_id", "run").agg(F.count("*").alias("n"))
     return r.groupBy("user_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
 
@@ -830,7 +810,14 @@ def num_alp_order(s, d):
     return b.select("id", (F.col("p") + 1).alias("k"), F.when(F.col("n") == 2, F.when(F.col("p") == 0, "NUM").otherwise("ALP")).alias("role"))
 
 
-@query(None)
+_STD = lambda k: f"case when {k} = 1 then 'REZ-DE-CHAUSSÉE' else 'NIVEAU ' || ({k})::int end"
+
+
+@query(rf"""with r as (select fichier as g, seq, case when seq % 3 <> 0 then debug.niveau end as level, try_cast(nullif(regexp_extract(debug.niveau, '(\d{{1,2}})\s*$', 1), '') as int) as said from {SHOP} where debug.niveau like 'NIVEAU %'),
+h as (select *, count(level) over (partition by g order by seq) as run, nullif(regexp_extract(last_value(level ignore nulls) over (partition by g order by seq rows between unbounded preceding and 1 preceding), '^NIVEAU (\d+)', 1), '')::double as hi, nullif(regexp_extract(first_value(level ignore nulls) over (partition by g order by seq rows between 1 following and unbounded following), '^NIVEAU (\d+)', 1), '')::double as lo from r),
+n as (select *, row_number() over (partition by g, run, level is null order by seq) as k, count(*) over (partition by g, run, level is null) as n from h),
+f as (select *, case when hi > 1 then greatest(0, hi - 1 - coalesce(lo, 0)) else 0 end as free from n), q as (select *, case when lo is not null and free = n then hi - k when lo is not null and hi is null then lo + 1 + n - k end as sure from f)
+select g, seq, coalesce(level, case when sure is not null then {_STD("sure")} || (case when said is not null and ({_STD("sure")}) <> 'NIVEAU ' || said then ' ?' else '' end) when k <= free then {_STD("(hi - k)")} || ' ?' end) as level, level is null and (sure is not null or k <= free) as inferred from q""")
 def storey_fill(s, d):
     """Unread storeys of schedules filled from their neighbours; every third storey of a file's column is taken as unread."""
     x = shop(s, d).filter("debug.niveau like 'NIVEAU %'").select(F.col("fichier").alias("g"), "seq", F.when(F.col("seq") % 3 != 0, F.col("debug.niveau")).alias("level"), F.col("debug.niveau").alias("hint"))
@@ -842,28 +829,26 @@ def storey_fill(s, d):
 
 @query(None)
 def least_cost(s, d):
-    """Callouts assigned to symbols at least total cost, cell by cell of a page."""
-    w = spatial.within(points(s, d), symbols(s, d), ["page"], 20.0)
-    g = w.withColumn("group", F.concat_ws("-", "page", F.floor(F.col("x") / 100).cast("string"), F.floor(F.col("y") / 100).cast("string")))
-    return matching.assign(g, "group", "pid", "oid", "distance").withColumn("cost", F.round("cost", 6)).withColumn("ratio", F.round("ratio", 6))
+    """Callouts assigned to symbols at least total cost, component by component of the pairs within reach."""
+    w = spatial.within(points(s, d), symbols(s, d), ["page"], 40.0).withColumn("distance", F.round("distance", 6))
+    return matching.assign_components(w.select("pid", "oid", "distance"), "pid", "oid", "distance").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(None)
 def greedy_pairs(s, d):
-    """Pairs chosen greedily, nearest first."""
-    w = spatial.within(points(s, d), symbols(s, d), ["page"], 20.0).withColumn("distance", F.round("distance", 6))
+    """Pairs chosen greedily, nearest first."""
+    w = spatial.within(points(s, d), symbols(s, d), ["page"], 40.0).withColumn("distance", F.round("distance", 6))
     return matching.greedy(w.select("pid", "oid", "distance"), ["pid"], ["oid"], [F.col("distance")]).select("pid", "oid", "distance")
 
 
 @query(None)
 def view_groups(s, d):
-    """Callouts split into contiguous groups, one per title."""
+    """Callouts split into contiguous groups, one per title."""
     p = points(s, d)
-    # rows of callouts on a page: bands of its height
-    row = F.concat_ws("-", "page", F.floor(F.col("y") / 10).cast("string"))
-    c = p.filter("pid % 3 != 0").select(row.alias("row"), F.col("pid").alias("seq"), "x")
-    ti = p.select(row.alias("row"), F.col("pid").cast("string").alias("title"), "x").filter("cast(title as long) % 3 = 0")
-    return matching.assign_views(c, ti, "row")
+    c = p.filter("pid % 7 != 0").select("page", F.col("pid").alias("seq"), "x", "y")
+    ti = p.filter("pid % 7 = 0").select("page", F.col("pid").cast("string").alias("title"), "x", F.floor(F.col("y") / 100).cast("double").alias("band"), "y")
+    ti = ti.select("page", "title", "x", (F.col("band") * 100 + 90).alias("y"))
+    return matching.assign_views(c, ti, "page")
 
 
 @query("""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 20 = 0), c as (select query_id, vec_id, list_cosine_similarity(q.e, v.embedding::double[]) as sim from q, embeddings v where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by round(sim, 7) desc, vec_id) as k from c) select query_id, k::int as rank, vec_id from r where k <= 5""")
@@ -878,7 +863,7 @@ def topk_cosine(s, d):
 
 @query("""select o_orderkey from orders where o_orderkey % 3 <> 0""")
 def incremental_pending(s, d):
-    """Inputs without a checkpoint under their fingerprint."""
+    """Inputs without a checkpoint under their fingerprint."""
     o = t(s, d, "orders").withColumn("fingerprint", incremental.fingerprint("v1", F.col("o_orderkey"), F.col("o_orderdate")))
     done = o.filter("o_orderkey % 3 = 0").select("fingerprint")
     return incremental.pending(o, done).select("o_orderkey")
@@ -893,7 +878,7 @@ def input_stamp(s, d):
 
 @query(f"""select 'v2' as version, count(*) as n, sum(case when {_FOLD("coalesce(debug.niveau, '')")} = '' then 0 else 1 end)::bigint as levels from {PLAN}""")
 def representation_upgrade(s, d):
-    """Rows of an older representation aligned, the others kept; twice is as once."""
+    """Rows of an older representation aligned, the others kept; twice is as once."""
     x = plan(s, d).select("id", F.col("debug.niveau").alias("niveau"), F.when(F.col("seq") % 2 == 0, "v1").otherwise("v2").alias("version"))
     align = lambda df: df.withColumn("niveau", fold(F.col("niveau")))
     y = incremental.upgrade(incremental.upgrade(x, "v2", align), "v2", align)

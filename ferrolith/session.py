@@ -22,11 +22,13 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "ferrolith")
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, so that later stages don't recompute it.
 
-    The folder is the cluster's (spark.checkpoint.dir). Only where none is set, as in tests on one machine,
-    is a temporary folder chosen.
+    The folder is the cluster's (spark.checkpoint.dir). Where none is set a temporary one is chosen if all runs on one machine
+    (master local); on a cluster that is an error, as executors would write to disks of their own.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="ferrolith-"))
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrolith-"))
     return df.checkpoint(eager=True)

@@ -33,7 +33,10 @@ def bar(**x):
 @given(st.lists(st.tuples(st.sampled_from([None, "10M", "15M"]), st.sampled_from([None, 1, 2])), max_size=5), st.lists(st.tuples(st.sampled_from([None, "10M", "15M"]), st.sampled_from([None, 1, 2])), max_size=5))
 def test_maximum_matching(a, b):
     left, right = [bar(diametre=d, quantite=q) for d, q in a], [bar(diametre=d, quantite=q) for d, q in b]
-    ok = [[matching._compatible(x, y) for y in right] for x in left]
+    agree = lambda x, y: all(x[f] is None or y[f] is None or x[f] == y[f] for f in ("diametre", "quantite"))
+    ok = [[agree(x, y) for y in right] for x in left]
+    if left and right:
+        assert matching.agreement(left, right)[0].tolist() == ok
     most = 0
     for n in range(min(len(left), len(right)), 0, -1):
         if any(all(ok[i][j] for i, j in zip(r, q)) for r in itertools.permutations(range(len(left)), n) for q in itertools.combinations(range(len(right)), n)):
@@ -43,9 +46,40 @@ def test_maximum_matching(a, b):
     assert len(m) == most and len(set(m.values())) == most and all(ok[i][j] for i, j in m.items())
 
 
+def test_agreement_of_bars():
+    a, b = bar(espacement_mm=150.0, repere="A"), bar(espacement_mm=150.5)
+    able, differ = matching.agreement([a, bar(role="ETRI")], [b, bar(espacement_mm=150.6), bar(longueur_mm=1.0)])
+    assert able.tolist() == [[True, False, True], [False, False, False]] and differ[0].tolist() == [2, 2, 3]
+
+
 def test_contiguous():
     assert contiguous([1, 2, 10, 11, 30], [1.5, 10.5, 29]) == [0, 0, 1, 1, 2]
     assert contiguous([], [1.0]) == [] and contiguous([1.0], []) == [-1]
+    # the seam: nearer to the left title, but the right end of the right group's span
+    assert contiguous([0, 800, 850, 1500], [400, 1190]) == [0, 0, 1, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 6), st.integers(1, 4), st.integers(0, 10**6))
+def test_contiguous_groups_are_the_best(n, m, seed):
+    r = np.random.default_rng(seed)
+    c, t = sorted(map(float, r.integers(0, 900, n))), sorted(map(float, r.choice(900, m, replace=False)))
+    gaps = sorted(b - a for a, b in zip(t, t[1:]))
+    empty = (gaps[len(gaps) // 2] if gaps else 400.0) / 2
+    cost = lambda g: sum(empty if not (x := [v for v, k in zip(c, g) if k == j]) else abs((x[0] + x[-1]) / 2 - t[j]) for j in range(m))
+    best = min(cost(g) for g in itertools.combinations_with_replacement(range(m), n))
+    assert abs(cost(contiguous(c, t)) - best) < 1e-6
+
+
+def test_views_by_rows_and_columns(spark):
+    c = spark.createDataFrame([("p", 1, 10.0, 50.0), ("p", 2, 20.0, 60.0), ("p", 3, 300.0, 40.0), ("p", 4, 15.0, 400.0), ("q", 5, 1.0, 1.0)], "page string, seq long, x double, y double")
+    t = spark.createDataFrame([("p", "A", 15.0, 100.0), ("p", "B", 290.0, 130.0), ("p", "C", 100.0, 500.0)], "page string, title string, x double, y double")
+    assert {r["seq"]: r["title"] for r in matching.assign_views(c, t, "page").collect()} == {1: "A", 2: "A", 3: "B", 4: "C", 5: None}
+
+
+def test_components_are_assigned_as_a_whole(spark):
+    e = spark.createDataFrame([(1, 11, 1.0), (1, 12, 2.0), (2, 11, 1.5), (3, 13, 4.0)], "a long, b long, d double")
+    assert {(r["a"], r["b"]) for r in matching.assign_components(e, "a", "b", "d").collect()} == {(1, 12), (2, 11), (3, 13)}
 
 
 def test_greedy_is_sequential_greedy(spark):
@@ -68,13 +102,21 @@ def test_match_bars_and_empty(spark):
     assert got == {1: (1, 0, 0, True), 2: (0, 1, 1, False), 3: (0, 0, 0, False)}
 
 
-def test_storeys():
-    f = islands.fill_storeys
-    assert f(["NIVEAU 5", None, None, "NIVEAU 2"], [None] * 4) == [("NIVEAU 5", False), ("NIVEAU 4", True), ("NIVEAU 3", True), ("NIVEAU 2", False)]
-    assert f(["TOIT", None, "NIVEAU 2"], [None] * 3)[1] == ("NIVEAU 3", True)
-    assert f(["NIVEAU 5", None], [None, None])[1] == ("NIVEAU 4 ?", True)
-    assert f(["NIVEAU 4", None, "NIVEAU 2"], [None, "NIVE AL 7", None])[1] == ("NIVEAU 3 ?", True)
-    assert f([None], [None]) == [(None, False)] and f([], []) == []
+def test_storeys_are_filled_from_their_neighbours(spark):
+    cases = {
+        "a": ([("NIVEAU 5", None), (None, None), (None, None), ("NIVEAU 2", None)], ["NIVEAU 5", "NIVEAU 4", "NIVEAU 3", "NIVEAU 2"]),
+        "b": ([("TOIT", None), (None, None), ("NIVEAU 2", None)], ["TOIT", "NIVEAU 3", "NIVEAU 2"]), "c": ([("NIVEAU 5", None), (None, None)], ["NIVEAU 5", "NIVEAU 4 ?"]),
+        "d": ([("NIVEAU 4", None), (None, "NIVE AL 7"), ("NIVEAU 2", None)], ["NIVEAU 4", "NIVEAU 3 ?", "NIVEAU 2"]), "e": ([(None, None)], [None]),
+        "f": ([(None, None), ("SOUS-SOL S1", None), (None, None)], ["REZ-DE-CHAUSSÉE", "SOUS-SOL S1", None]), "g": ([("NIVEAU 2", None)] + [(None, None)] * 3, ["NIVEAU 2", "REZ-DE-CHAUSSÉE ?", None, None]),
+        "h": ([("NIVEAU 3", None), (None, "NIVEAU 2"), (None, None), ("TRÉFOND", None)], ["NIVEAU 3", "NIVEAU 2", "REZ-DE-CHAUSSÉE", "TRÉFOND"])}
+    d = spark.createDataFrame([(g, i, lv, h) for g, (rows, _) in cases.items() for i, (lv, h) in enumerate(rows)], "g string, seq long, level string, hint string")
+    got: dict = {}
+    for r in islands.storeys(d, "g").orderBy("g", "seq").collect():
+        got.setdefault(r["g"], []).append(r["level"])
+        assert r["inferred"] == (cases[r["g"]][0][r["seq"]][0] is None and r["level"] is not None)
+    assert got == {g: want for g, (_, want) in cases.items()}
+    assert islands.storeys(d.limit(0), "g").count() == 0
+
 
 
 def test_within_is_brute_force(spark):
