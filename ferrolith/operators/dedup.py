@@ -57,3 +57,28 @@ def aliases(axes: DataFrame, main: str, tolerance: float = 3.0) -> DataFrame:
     p = v.join(m.withColumn("c", cell(F.col("main_at"))), ["kind", "c"]).filter(F.abs(F.col("there") - F.col("main_at")) <= tolerance)
     p = p.withColumn("_a", F.count("*").over(Window.partitionBy("view", "kind", "label"))).withColumn("_b", F.count("*").over(Window.partitionBy("view", "kind", "alias")))
     return p.filter("_a = 1 and _b = 1").select("view", "kind", "label", "alias")
+
+
+def catalog(rows: DataFrame, key: list[str], value: list[str]) -> DataFrame:
+    """key, value, status: the one value that all rows of a key state ('read'), nulls where they differ ('conflicting') or state none ('unread')."""
+    known = F.when(F.col(value[0]).isNotNull(), F.struct(*value))
+    g = rows.groupBy(*key).agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    one = F.col("lo").eqNullSafe(F.col("hi"))
+    status = F.when(F.col("lo").isNull(), "unread").when(one, "read").otherwise("conflicting")
+    return g.select(*key, *[F.when(one, F.col("lo")[v]).alias(v) for v in value], status.alias("status"))
+
+
+def strongest(rows: DataFrame, identity: list[str], confidence: str, seq: str) -> DataFrame:
+    """One row per identity, the first of greatest confidence, with `place`, the place of the identity's first row, by which they're written."""
+    w = Window.partitionBy(*identity)
+    x = rows.withColumn("place", F.min(seq).over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col(confidence).desc_nulls_last(), seq)))
+    return x.filter("_n = 1").drop("_n")
+
+
+def identified(rows: DataFrame, aliases: DataFrame, offsets_: DataFrame, main: str) -> DataFrame:
+    """rows (view, letter, number) with view and labels of the main view where their view is aligned with it on both axes; else as they are."""
+    both = offsets_.groupBy("view").agg(F.countDistinct("kind").alias("_k")).filter("_k = 2").select("view", F.lit(True).alias("_on"))
+    of = lambda kind, c: aliases.filter(F.col("kind") == kind).select("view", F.col("label").alias(c), F.col("alias").alias(f"_{c}"))
+    x = rows.join(both, "view", "left").join(of("letter", "letter"), ["view", "letter"], "left").join(of("number", "number"), ["view", "number"], "left")
+    on = F.coalesce("_on", F.lit(False))
+    return x.select(*[c for c in rows.columns if c not in ("view", "letter", "number")], F.when(on, F.lit(main)).otherwise(F.col("view")).alias("view"), F.when(on, F.coalesce("_letter", "letter")).otherwise(F.col("letter")).alias("letter"), F.when(on, F.coalesce("_number", "number")).otherwise(F.col("number")).alias("number"))

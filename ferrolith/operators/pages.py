@@ -157,3 +157,49 @@ def page_layer(lines: DataFrame, page: list[str]) -> DataFrame:
     from ferrolith.functions.places import layer
 
     return lines.withColumn("_l", layer(F.col("text"))).filter("_l is not null").groupBy(*page).agg(F.min_by("_l", "seq").alias("layer"))
+
+
+# Kinds by words of a file's name, then of its folder, first match first.
+FILE_KINDS = [("RADIER", "radier"), ("SEMELLE|EMPATTEMENT", "semelle")]
+FOLDER_KINDS = [("COLONNE", "colonne"), ("POUTRE", "poutre"), ("DALLE", "dalle"), ("MUR|REFEND", "mur_refend"), ("RADIER", "radier"), ("SEMELLE|FONDATION", "semelle")]
+UNREADABLE = {2: "page faite de glyphes vectoriels", 3: "page image", 4: "page illisible"}
+
+
+def file_kind(folder: Column, name: Column) -> Column:
+    """Kind of element of a shop file: by its name first, as a folder may hold several, then by its folder."""
+    from ferrolith.functions.text import fold
+
+    out = F.lit(None).cast("string")
+    for c, rules in ((folder, reversed(FOLDER_KINDS)), (name, reversed(FILE_KINDS))):
+        for p, k in rules:
+            out = F.when(F.coalesce(fold(c), F.lit("")).rlike(p), F.lit(k)).otherwise(out)
+    return out
+
+
+def inventory(listing: DataFrame) -> DataFrame:
+    """listing (folder, name, page, tier) of shop files: folder, name, kind, pages, tiers (in order of pages), by folder and name."""
+    g = listing.filter(F.lower("name").endswith(".pdf")).groupBy("folder", "name").agg(F.count("*").alias("pages"), F.transform(F.array_sort(F.collect_list(F.struct("page", "tier"))), lambda s: s["tier"]).alias("tiers"))
+    return g.withColumn("kind", file_kind(F.col("folder"), F.col("name")))
+
+
+def reports(listing: DataFrame, parsed: DataFrame) -> DataFrame:
+    """name, page, status, reason of every page of an inventory (name, page, tier, kind): extracted with records in `parsed` (name, page), empty, or unread with the reason."""
+    n = parsed.groupBy("name", "page").agg(F.count("*").alias("records"))
+    x = listing.join(n, ["name", "page"], "left")
+    why = F.when(F.col("kind").isNull(), NO_KIND)
+    for t, text in UNREADABLE.items():
+        why = why.when(F.col("tier") == t, F.lit(text))
+    status = F.when(F.col("records") > 0, "extracted").when(why.isNotNull(), "unread").otherwise("no_callouts")
+    return x.select("name", "page", status.alias("status"), F.when(status == "unread", why).alias("reason"), F.coalesce("records", F.lit(0)).alias("records"))
+
+
+def plan_of(listing: DataFrame, project: str, name: str, prefix: str) -> DataFrame:
+    """project, plan: the first file, in order of names, that begins like a plan."""
+    return listing.filter(F.upper(name).startswith(prefix)).groupBy(project).agg(F.min(name).alias("plan"))
+
+
+def configured(listing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """kind, name of the inputs that a configuration (kind, pattern, every) names: of each pattern every file that matches, in order of lower-cased names, or the first; a file counts once per kind."""
+    x = listing.select("name").distinct().join(wanted, F.expr("name rlike pattern"))
+    n = F.row_number().over(Window.partitionBy("kind", "pattern").orderBy(F.lower("name"), "name"))
+    return x.withColumn("_n", n).filter("every or _n = 1").select("kind", "name").distinct()

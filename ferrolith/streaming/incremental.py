@@ -87,3 +87,23 @@ class Jobs:
         for r in rows:
             self.put(*r, "failed")
         return len(rows)
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name of the files (name, modified, length) that another listing, taken after they were read, has differently or no more: what was read of them doesn't count."""
+    a = after.select("name", F.col("modified").alias("_m"), F.col("length").alias("_l"))
+    same = F.col("modified").eqNullSafe(F.col("_m")) & F.col("length").eqNullSafe(F.col("_l"))
+    return before.join(a, "name", "left").filter(~same).select("name")
+
+
+def reusable(cells: DataFrame, bounds: DataFrame, key: list[str], slack: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Cells of an older checkpoint whose boundaries (top, bottom) haven't moved by more than slack, and the key of the cells that have to be read again."""
+    b = bounds.select(*key, F.col("top").alias("_t"), F.col("bottom").alias("_b"))
+    kept = cells.join(b, key).filter((F.abs(F.col("top") - F.col("_t")) <= slack) & (F.abs(F.col("bottom") - F.col("_b")) <= slack)).drop("_t", "_b")
+    return kept, bounds.join(kept.select(*key), key, "left_anti").select(*key)
+
+
+def progress(done: DataFrame, inputs: DataFrame, group: list[str]) -> DataFrame:
+    """group, files, read, share: how far the reading of a set of inputs is."""
+    x = inputs.join(done.select("fingerprint", F.lit(1).alias("_d")).distinct(), "fingerprint", "left")
+    return x.groupBy(*group).agg(F.count("*").alias("files"), F.count("_d").alias("read"), (F.count("_d") / F.count("*")).alias("share"))
