@@ -244,11 +244,11 @@ def histories(rows: DataFrame, source: str, order: list[str], field: str, key: s
     own = F.row_number().over(Window.partitionBy(source, "range").orderBy(*order, key))
     x = x.withColumn("own", own).join(starts, [source, "range"]).withColumn("n", F.col("start") + F.col("own") - 1).drop("own", "start", "range")
     x = x.withColumn("piece", F.floor(F.col("n") / PIECE).cast("long"))
-    level = _levels(x, source, field)
     kind, skind = dict(rows.dtypes)[key], dict(rows.dtypes)[source]
-    h = x.groupBy(source, "piece").agg(F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "value", "raw"))).alias("h")).join(level, source, "left")
-    several = x.groupBy(source).agg(F.max("piece").alias("last")).filter("last > 0")
-    h = h.join(several, source, "left")
+    about = checkpoint(_levels(x, source, field))  # a row for each source
+    h = x.groupBy(source, "piece").agg(F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "value", "raw"))).alias("h")).join(about, source, "left")
+    cut_up = not about.filter("last > 0").isEmpty()
+    h = checkpoint(h) if cut_up else h
 
     def costed(r) -> np.ndarray:
         value = np.array([np.nan if y["value"] is None else y["value"] for y in r["h"]], float)
@@ -259,9 +259,7 @@ def histories(rows: DataFrame, source: str, order: list[str], field: str, key: s
             m = [passage(costed({"h": y, "level": None if v != v else v})).ravel().tolist() for y, v in zip(p["h"], p["level"])]
             yield pd.DataFrame({"source": p[source], "at": p["piece"], "m": pd.Series(m, index=p.index, dtype=object)})
 
-    long = h.filter("last is not null").select(source, "piece", "h", "level").mapInPandas(matrices, f"source {skind}, at long, m array<double>")
-    bounds = _bounds(long).withColumnRenamed("source", source).withColumnRenamed("at", "piece")
-
+    long = h.filter("last > 0").select(source, "piece", "h", "level").mapInPandas(matrices, f"source {skind}, at long, m array<double>")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = lambda v: None if v != v else int(v)
         for p in frames:
@@ -278,18 +276,21 @@ def histories(rows: DataFrame, source: str, order: list[str], field: str, key: s
                         mms.append(q)
             yield pd.DataFrame({key: pd.Series(ids, dtype=object), "value": pd.Series(vals, dtype=float), "unit": pd.Series(units, dtype=object), "mm": pd.Series(mms, dtype=float)})
 
-    whole = h.filter("last is null").select("h", "level", F.lit(None).cast("double").alias("entry"), F.lit(None).cast("double").alias("end"))
-    cut = h.filter("last is not null").join(bounds, [source, "piece"]).select("h", "level", F.col("entry").cast("double").alias("entry"), F.col("end").cast("double").alias("end"))
-    return whole.unionByName(cut).mapInPandas(run, f"`{key}` {kind}, value double, unit string, mm double")
+    free = F.lit(None).cast("double")
+    out = h.filter("coalesce(last, 0) = 0").select("h", "level", free.alias("entry"), free.alias("end"))
+    if cut_up:
+        bounds = _bounds(long).withColumnRenamed("source", source).withColumnRenamed("at", "piece")
+        out = out.unionByName(h.filter("last > 0").join(bounds, [source, "piece"]).select("h", "level", F.col("entry").cast("double").alias("entry"), F.col("end").cast("double").alias("end")))
+    return out.mapInPandas(run, f"`{key}` {kind}, value double, unit string, mm double")
 
 
 def _levels(x: DataFrame, source: str, field: str) -> DataFrame:
-    """source, level: the log of what the source's values measure, each by the factor that brings it nearest to what is usual; shrunk towards that."""
+    """source, level, last: the log of what the source's values measure, each by the factor that brings it nearest to what is usual, shrunk towards that; its last piece."""
     mean = usual(field)
     off = F.transform(F.array(*[F.lit(math.log(f)) for f in FACTORS.values()]), lambda f: F.struct(F.abs(F.log("value") + f - mean).alias("d"), (F.log("value") + f - mean).alias("r")))
     near = F.when((F.col("value") > 0) & (F.col("value") < float("inf")), F.array_min(off)["r"])
-    g = x.groupBy(source).agg(F.percentile_approx(near, 0.5, 1000).alias("r"), F.count(near).alias("c"))
-    return g.select(source, (F.lit(mean) + F.coalesce("r", F.lit(0.0)) * F.col("c") / (F.col("c") + SHRINK)).alias("level"))
+    g = x.groupBy(source).agg(F.percentile_approx(near, 0.5, 1000).alias("r"), F.count(near).alias("c"), F.max("piece").alias("last"))
+    return g.select(source, "last", (F.lit(mean) + F.coalesce("r", F.lit(0.0)) * F.col("c") / (F.col("c") + SHRINK)).alias("level"))
 
 
 def _bounds(matrices: DataFrame) -> DataFrame:
