@@ -124,8 +124,8 @@ def common(plan: DataFrame, shop: DataFrame) -> DataFrame:
     said = lambda r, to: r.select("id", *[F.col(c).alias(c + to) for c in ("place", "part", "marks")])
     a = a.join(said(plan, ""), "id").withColumnRenamed("id", "plan_id").drop("salts")
     b = b.join(said(shop, "2"), "id").withColumnRenamed("id", "shop_id").drop("salts")
-    e = a.join(b, ["key", "salt"]).withColumn("n", F.lit(0))
-    return e.filter(F.round(_similarity(F.lit(None).cast("double")), 6) >= ACCEPT).select("plan_id", "shop_id").distinct()
+    e = a.join(b, ["key", "salt"])
+    return e.filter(F.round(_stated(), 6) >= ACCEPT).select("plan_id", "shop_id").distinct()
 
 
 def candidates(plan: DataFrame, shop: DataFrame) -> DataFrame:
@@ -160,8 +160,8 @@ def _back(df: DataFrame) -> DataFrame:
     return df.withColumn("px", F.col("mx") + (du * F.col("ar") + dv * F.col("ai")) / F.col("det")).withColumn("py", F.col("my") + (dv * F.col("ar") - du * F.col("ai")) / F.col("det"))
 
 
-def _similarity(off: Column) -> Column:
-    """Of a row with place, place2, part, part2, marks, marks2, n (pairs that fix the axes); off: distance of the positions in plan units, null if unknown."""
+def _stated() -> Column:
+    """Similarity by what both records of a row state: place, place2, part, part2, marks, marks2."""
     both = F.size(F.array_intersect("marks", "marks2"))
     small, great = F.least(F.size("marks"), F.size("marks2")), F.size(F.array_union("marks", "marks2"))
     bars = F.when((F.size("marks") > 0) & (F.size("marks2") > 0), 1.5 * both / small + 1.5 * both / great - 0.6).otherwise(0.0)
@@ -170,25 +170,35 @@ def _similarity(off: Column) -> Column:
     near = F.levenshtein(line("place"), line("place2")) <= 1  # a halved grid line, or one letter
     place = same.otherwise(F.when(near, -0.3).otherwise(-0.9))
     part = F.when(F.col("part").isNull() | F.col("part2").isNull(), 0.0).when(F.col("part") == F.col("part2"), 0.3).otherwise(-1.2)
-    # two points fix the axes by themselves and three nearly so: they say little of these points
-    axes = F.when(off.isNull() | (F.col("n") < 3), 0.0).when(off <= NEAR, 2.4).when(off <= FAR, 0.0).when(F.col("n") == 3, -1.0).otherwise(-3.5)
-    return place + bars + part + axes
+    return place + bars + part
+
+
+MOST = 2.4  # what positions add at most
+
+
+def _placed(off: Column, n: Column) -> Column:
+    """Similarity by positions; off: their distance in plan units, null if unknown; n: pairs that fix the axes. Two points fix the axes by themselves and three nearly so: they say little of these points."""
+    return F.when(off.isNull() | (n < 3), 0.0).when(off <= NEAR, MOST).when(off <= FAR, 0.0).when(n == 3, -1.0).otherwise(-3.5)
+
+
+def _edges(pairs: DataFrame, plan: DataFrame, shop: DataFrame) -> DataFrame:
+    """pairs with what the rounds need of both ends: base (what they state), same (one place), positions and sheet. Pairs that positions and echoes at their most couldn't bring up to ACCEPT are left out."""
+    e = pairs.select("plan_id", "shop_id").join(plan, "plan_id").join(shop, "shop_id").withColumn("base", F.round(_stated(), 6)).filter(F.col("base") + MOST + ECHO * ECHOES >= ACCEPT)
+    return e.select("plan_id", "shop_id", "base", F.coalesce(F.col("place") == F.col("place2"), F.lit(False)).alias("same"), "sheet", "x", "y", "u", "v")
 
 
 def one_to_one(edges: DataFrame) -> DataFrame:
-    """plan_id, shop_id, s of a maximal one-to-one choice: pairs best for both ends, again and again without their ends, until none is left.
+    """The edges (plan_id, shop_id, s, any others) of a maximal one-to-one choice: pairs best for both ends, again and again without their ends, until none is left.
 
     Equal to taking the edges greedily by (s, ids), as the order is total.
     """
-    out = None
-    left = checkpoint(edges.select("plan_id", "shop_id", "s"))
+    out, left = None, edges
     while True:
         w = lambda c: Window.partitionBy(c).orderBy(F.desc("s"), "plan_id", "shop_id")
-        best = left.withColumn("_p", F.row_number().over(w("plan_id"))).withColumn("_s", F.row_number().over(w("shop_id"))).filter("_p = 1 and _s = 1").select("plan_id", "shop_id", "s")
-        best = checkpoint(best)
-        if best.isEmpty():
-            return out if out is not None else best
+        best = checkpoint(left.withColumn("_p", F.row_number().over(w("plan_id"))).withColumn("_s", F.row_number().over(w("shop_id"))).filter("_p = 1 and _s = 1").drop("_p", "_s"))
         out = best if out is None else out.unionByName(best)
+        if best.isEmpty():
+            return out
         left = checkpoint(left.join(best.select("plan_id"), "plan_id", "left_anti").join(best.select("shop_id"), "shop_id", "left_anti"))
 
 
@@ -231,23 +241,23 @@ def link(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
     fixed = checkpoint(candidates(plan, shop))
     p = plan.select(F.col("id").alias("plan_id"), "scope", "place", "part", "marks", "x", "y")
     s = shop.select(F.col("id").alias("shop_id"), F.col("scope").alias("scope2"), "sheet", F.col("place").alias("place2"), F.col("part").alias("part2"), F.col("marks").alias("marks2"), F.col("x").alias("u"), F.col("y").alias("v"))
-    said = checkpoint(fixed.select("plan_id", "shop_id").join(p, "plan_id").join(s, "shop_id"))  # the edges with what both ends say, for every round
-    plan_next = shop_next = None
-    matched, seen = None, set()
+    edges = checkpoint(_edges(fixed, p, s))
+    plan_next = shop_next = matched = None
+    seen: set = set()
     while True:
         if matched is None:
-            e = said.withColumn("off", F.lit(None).cast("double")).withColumn("n", F.lit(0)).withColumn("echo", F.lit(0.0))
+            e = edges.withColumn("off", F.lit(None).cast("double")).withColumn("s", F.col("base"))
         else:
             if plan_next is None:
                 plan_next, shop_next = checkpoint(neighbours(plan, ["scope"])), checkpoint(neighbours(shop, ["scope", "sheet"]))
-            axes = checkpoint(_axes(matched.filter("s >= 3 and (place = place2 or off <= 9)")))
+            axes = checkpoint(_axes(matched.filter("s >= 3 and (same or off <= 9)")))
             more = _by_cell(p, s, axes, fixed).join(fixed.select("plan_id", "shop_id"), ["plan_id", "shop_id"], "left_anti")
-            e = _back(said.unionByName(more.join(p, "plan_id").join(s, "shop_id").select(said.columns)).join(axes, "sheet", "left"))
+            e = _back(edges.unionByName(_edges(more, p, s)).join(axes, "sheet", "left"))
             e = e.withColumn("off", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
-            e = e.join(echoes(matched.select("plan_id", "shop_id"), plan_next, shop_next), ["plan_id", "shop_id"], "left").withColumn("echo", F.coalesce("echo", F.lit(0.0)))
-        e = e.withColumn("s", F.round(_similarity(F.col("off")) + F.col("echo"), 6)).filter(F.col("s") >= ACCEPT)
-        e = checkpoint(e.select("plan_id", "shop_id", "s", "off", "sheet", "place", "place2", "x", "y", "u", "v"))
-        matched = checkpoint(one_to_one(e).join(e.drop("s"), ["plan_id", "shop_id"]))
+            e = e.join(echoes(matched.select("plan_id", "shop_id"), plan_next, shop_next), ["plan_id", "shop_id"], "left")
+            e = e.withColumn("s", F.round(F.col("base") + _placed(F.col("off"), F.col("n")) + F.coalesce("echo", F.lit(0.0)), 6))
+        e = checkpoint(e.filter(F.col("s") >= ACCEPT).select("plan_id", "shop_id", "s", "off", "same", "sheet", "x", "y", "u", "v"))
+        matched = one_to_one(e)
         now = matched.agg(F.count("*"), F.sum(F.xxhash64("plan_id", "shop_id").cast("decimal(38,0)"))).first()
         if now in seen:
             break
