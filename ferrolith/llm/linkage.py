@@ -13,7 +13,7 @@
    next to it along either axis of its drawing; what the pair of a neighbour on one side and a neighbour on the other has been
    accepted with is propagated to the edge (ECHO a pair). And the pairs of one shop file fix how its axes lie in those of the
    plan (scale, turn and shift, by least squares over sums), and a pair is the more similar the nearer its two positions come.
-   Pairs are accepted one to one, best mutual pairs first, until none is left; axes, echoes and similarities are computed anew
+   Pairs are accepted one to one, the most similar first; axes, echoes and similarities are computed anew
    until the accepted pairs no longer change, or come back to what they were in an earlier round.
 
 Each pair has a confidence in (0, 1), the logistic of its similarity beyond the threshold.
@@ -24,6 +24,9 @@ pair; records in repeated deliveries count once; equal similarities are settled
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +85,10 @@ def attributes(records: DataFrame, by_sheet: bool) -> DataFrame:
 
 
 def _keys(r: DataFrame) -> DataFrame:
-    """id, key, what: the attributes by which a record may be found."""
+    """id, key, what: the attributes by which a record may be found; diameters by themselves ('size') are counted like the other bar figures but weigh nothing."""
     key = lambda what, *c: F.struct(F.concat_ws("\n", "scope", F.lit(what), *c).alias("key"), F.lit(what).alias("what"))
     bars = F.col("bars") != ""
-    figures = F.filter("marks", lambda m: ~m.startswith("d"))
-    several = F.transform(figures, lambda m: F.struct(F.concat_ws("\n", F.col("scope"), F.lit("mark"), m).alias("key"), F.lit("mark").alias("what")))
+    several = F.transform("marks", lambda m: F.struct(F.concat_ws("\n", F.col("scope"), F.lit("mark"), m).alias("key"), F.when(m.startswith("d"), "size").otherwise("mark").alias("what")))
     all_ = F.concat(
         F.array_compact(F.array(F.when(F.col("place").isNotNull(), key("place", "place")), F.when(bars, key("bars", "bars")), F.when(F.col("place").isNotNull() & bars, key("both", "place", "bars")))),
         several,
@@ -95,8 +97,9 @@ def _keys(r: DataFrame) -> DataFrame:
 
 
 def _sizes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """key, c: comparisons of each block that both sides have."""
-    return a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key").select("key", (F.col("na") * F.col("nb")).alias("c"))
+    """key, what, c: comparisons of each block that both sides have."""
+    n = lambda k, name: k.groupBy("key", "what").agg(F.count("*").alias(name))
+    return checkpoint(n(a, "na").join(n(b, "nb"), ["key", "what"]).select("key", "what", (F.col("na") * F.col("nb")).alias("c")))
 
 
 def _prefixes(r: DataFrame, size: DataFrame) -> DataFrame:
@@ -106,18 +109,17 @@ def _prefixes(r: DataFrame, size: DataFrame) -> DataFrame:
     return k.filter(F.col("_r") <= F.col("_m") - F.ceil(F.col("_m") * F.lit(ALIKE) - 1e-9) + 1).select("id", "key")
 
 
-def common(plan: DataFrame, shop: DataFrame) -> DataFrame:
+def common(plan: DataFrame, shop: DataFrame, size: DataFrame | None = None) -> DataFrame:
     """plan_id, shop_id of the pairs in blocks of more than RARE comparisons whose similarity reaches ACCEPT without positions.
 
     Exact: such a pair has its place in common or a share of ALIKE of its bar figures, and then one of the prefix of both.
-    Blocks are spread over as many keys as they hold SALT comparisons.
+    Blocks are spread over as many keys as they hold SALT comparisons. size: _sizes of the blocks of both sides, where known.
     """
     place = lambda r: r.filter("place is not null").select("id", F.concat_ws("\n", "scope", F.lit("place"), "place").alias("key"))
-    every = lambda r: r.select("id", "scope", F.explode("marks").alias("mark")).select("id", F.concat_ws("\n", "scope", F.lit("mark"), "mark").alias("key"))
-    marks = _sizes(every(plan), every(shop))
-    places = _sizes(place(plan), place(shop))
-    # sizes (the 'd' figures) stand in no block of `candidates`
-    hot = places.filter(F.col("c") > RARE).unionByName(marks.filter((F.col("c") > RARE) | F.col("key").rlike(r"\nd[^\n]*$")))
+    size = _sizes(_keys(plan), _keys(shop)) if size is None else size
+    marks = size.filter("what in ('mark', 'size')")
+    # sizes stand in no block of `candidates`
+    hot = size.filter((F.col("what") == "size") | F.col("what").isin("place", "mark") & (F.col("c") > RARE))
     hot = hot.select("key", F.ceil(F.col("c") / SALT).cast("int").alias("salts"))
     a = place(plan).unionByName(_prefixes(plan, marks)).join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     b = place(shop).unionByName(_prefixes(shop, marks)).join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -131,12 +133,14 @@ def common(plan: DataFrame, shop: DataFrame) -> DataFrame:
 def candidates(plan: DataFrame, shop: DataFrame) -> DataFrame:
     """plan_id, shop_id, weight of the edges that meta-blocking leaves, and, of weight 0, the pairs of `common`."""
     a, b = _keys(plan), _keys(shop)
-    size = _sizes(a, b).filter(F.col("c") <= RARE).select("key", F.log2(1 + 64.0 / F.col("c")).alias("w"))
-    e = a.join(size, "key").join(b.withColumnRenamed("id", "shop_id").drop("what"), "key")
-    e = e.groupBy(F.col("id").alias("plan_id"), "shop_id").agg(F.sum("w").alias("weight"))
+    size = _sizes(a, b)
+    rare = size.filter((F.col("c") <= RARE) & (F.col("what") != "size")).select("key", F.log2(1 + 64.0 / F.col("c")).alias("w"))
+    weighs = lambda k, end: k.filter("what != 'size'").select("key", F.col("id").alias(end))
+    e = weighs(a, "plan_id").join(rare, "key").join(weighs(b, "shop_id"), "key")
+    e = e.groupBy("plan_id", "shop_id").agg(F.sum("w").alias("weight"))
     top = lambda c: F.max("weight").over(Window.partitionBy(c))
     e = e.withColumn("_p", top("plan_id")).withColumn("_s", top("shop_id")).filter("weight * 2 >= least(_p, _s)").drop("_p", "_s")
-    return e.unionByName(common(plan, shop).withColumn("weight", F.lit(0.0))).groupBy("plan_id", "shop_id").agg(F.max("weight").alias("weight"))
+    return e.unionByName(checkpoint(common(plan, shop, size)).withColumn("weight", F.lit(0.0))).groupBy("plan_id", "shop_id").agg(F.max("weight").alias("weight"))
 
 
 def _axes(matched: DataFrame) -> DataFrame:
@@ -184,22 +188,29 @@ def _placed(off: Column, n: Column) -> Column:
 def _edges(pairs: DataFrame, plan: DataFrame, shop: DataFrame) -> DataFrame:
     """pairs with what the rounds need of both ends: base (what they state), same (one place), positions and sheet. Pairs that positions and echoes at their most couldn't bring up to ACCEPT are left out."""
     e = pairs.select("plan_id", "shop_id").join(plan, "plan_id").join(shop, "shop_id").withColumn("base", F.round(_stated(), 6)).filter(F.col("base") + MOST + ECHO * ECHOES >= ACCEPT)
-    return e.select("plan_id", "shop_id", "base", F.coalesce(F.col("place") == F.col("place2"), F.lit(False)).alias("same"), "sheet", "x", "y", "u", "v")
+    return e.select("scope", "plan_id", "shop_id", "base", F.coalesce(F.col("place") == F.col("place2"), F.lit(False)).alias("same"), "sheet", "x", "y", "u", "v")
 
 
 def one_to_one(edges: DataFrame) -> DataFrame:
-    """The edges (plan_id, shop_id, s, any others) of a maximal one-to-one choice: pairs best for both ends, again and again without their ends, until none is left.
+    """The edges (scope, plan_id, shop_id, s, any others) of a maximal one-to-one choice, taken greedily by (s, ids) within each scope; an end is in one scope only.
 
-    Equal to taking the edges greedily by (s, ids), as the order is total.
+    One pass over the edges in that order: it keeps the ends that a scope has taken so far and no edges, and equal records take no pass of their own.
     """
-    out, left = None, edges
-    while True:
-        w = lambda c: Window.partitionBy(c).orderBy(F.desc("s"), "plan_id", "shop_id")
-        best = checkpoint(left.withColumn("_p", F.row_number().over(w("plan_id"))).withColumn("_s", F.row_number().over(w("shop_id"))).filter("_p = 1 and _s = 1").drop("_p", "_s"))
-        out = best if out is None else out.unionByName(best)
-        if best.isEmpty():
-            return out
-        left = checkpoint(left.join(best.select("plan_id"), "plan_id", "left_anti").join(best.select("shop_id"), "shop_id", "left_anti"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, plans, shops = None, set(), set()
+        for b in batches:
+            kept = []
+            for of, p, s in zip(b.column("scope").to_pylist(), b.column("plan_id").to_pylist(), b.column("shop_id").to_pylist()):
+                if of != scope:
+                    scope, plans, shops = of, set(), set()
+                if free := p not in plans and s not in shops:
+                    plans.add(p)
+                    shops.add(s)
+                kept.append(free)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return checkpoint(edges.repartition("scope").sortWithinPartitions("scope", F.desc("s"), "plan_id", "shop_id").mapInArrow(take, edges.schema))
 
 
 def neighbours(records: DataFrame, sheet: list[str]) -> DataFrame:
@@ -219,19 +230,26 @@ def echoes(matched: DataFrame, plan_next: DataFrame, shop_next: DataFrame) -> Da
     return m.groupBy(F.col("p").alias("plan_id"), F.col("s_").alias("shop_id")).agg((F.least(F.count("*"), F.lit(ECHOES)) * ECHO).alias("echo"))
 
 
-def _by_cell(plan: DataFrame, shop: DataFrame, axes: DataFrame, fixed: DataFrame) -> DataFrame:
-    """plan_id, shop_id of the edges by cells of the drawing that meta-blocking leaves: the block of a shop record holds the plan's records around the place that the axes give it."""
+def _heaviest(records: DataFrame, fixed: DataFrame, end: str, *named: str) -> DataFrame:
+    """The named columns of records with `top_` and the name of their end: the weight of the heaviest edge, 0 without one."""
+    top = fixed.groupBy(end).agg(F.max("weight").alias(f"top_{end}"))
+    return checkpoint(records.select(end, *named).join(top, end, "left").fillna(0.0, [f"top_{end}"]))
+
+
+def _by_cell(plan: DataFrame, shop: DataFrame, axes: DataFrame) -> DataFrame:
+    """plan_id, shop_id of the edges by cells of the drawing that meta-blocking leaves: the block of a shop record holds the plan's records around the place that the axes give it.
+
+    Both sides have the heaviest weights of their ends.
+    """
     cell = lambda c: F.floor(F.col(c) / CELL).cast("int")
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    here = _back(shop.join(axes, "sheet")).filter("px is not null").select("shop_id", F.col("scope2").alias("scope"), "px", "py")
-    here = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("shop_id", "scope", (cell("px") + F.col("dx")).alias("cx"), (cell("py") + F.col("dy")).alias("cy"), "px", "py")
-    there = plan.select("plan_id", "scope", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    here = _back(shop.join(axes, "sheet")).filter("px is not null").select("shop_id", F.col("scope2").alias("scope"), "top_shop_id", "px", "py")
+    here = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("shop_id", "scope", "top_shop_id", (cell("px") + F.col("dx")).alias("cx"), (cell("py") + F.col("dy")).alias("cy"), "px", "py")
+    there = plan.select("plan_id", "scope", "top_plan_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     e = there.join(here, ["scope", "cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("d") <= FAR)
     # a block has one shop record; near places weigh twice
-    e = e.withColumn("w", F.log2(1 + 64.0 / F.count("*").over(Window.partitionBy("shop_id"))) * F.when(F.col("d") <= NEAR, 2).otherwise(1)).select("plan_id", "shop_id", "w")
-    top = lambda c: fixed.groupBy(c).agg(F.max("weight").alias(f"top_{c}"))
-    e = e.join(top("plan_id"), "plan_id", "left").join(top("shop_id"), "shop_id", "left")
-    return e.filter(F.col("w") * 2 >= F.least(F.coalesce("top_plan_id", F.lit(0.0)), F.coalesce("top_shop_id", F.lit(0.0)))).select("plan_id", "shop_id")
+    e = e.withColumn("w", F.log2(1 + 64.0 / F.count("*").over(Window.partitionBy("shop_id"))) * F.when(F.col("d") <= NEAR, 2).otherwise(1))
+    return e.filter(F.col("w") * 2 >= F.least("top_plan_id", "top_shop_id")).select("plan_id", "shop_id")
 
 
 def link(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
@@ -242,7 +260,7 @@ def link(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
     p = plan.select(F.col("id").alias("plan_id"), "scope", "place", "part", "marks", "x", "y")
     s = shop.select(F.col("id").alias("shop_id"), F.col("scope").alias("scope2"), "sheet", F.col("place").alias("place2"), F.col("part").alias("part2"), F.col("marks").alias("marks2"), F.col("x").alias("u"), F.col("y").alias("v"))
     edges = checkpoint(_edges(fixed, p, s))
-    plan_next = shop_next = matched = None
+    plan_next = shop_next = plan_top = shop_top = matched = None
     seen: set = set()
     while True:
         if matched is None:
@@ -250,14 +268,14 @@ def link(plan_records: DataFrame, shop_records: DataFrame) -> DataFrame:
         else:
             if plan_next is None:
                 plan_next, shop_next = checkpoint(neighbours(plan, ["scope"])), checkpoint(neighbours(shop, ["scope", "sheet"]))
+                plan_top, shop_top = _heaviest(p, fixed, "plan_id", "scope", "x", "y"), _heaviest(s, fixed, "shop_id", "scope2", "sheet", "u", "v")
             axes = checkpoint(_axes(matched.filter("s >= 3 and (same or off <= 9)")))
-            more = _by_cell(p, s, axes, fixed).join(fixed.select("plan_id", "shop_id"), ["plan_id", "shop_id"], "left_anti")
+            more = _by_cell(plan_top, shop_top, axes).join(fixed.select("plan_id", "shop_id"), ["plan_id", "shop_id"], "left_anti")
             e = _back(edges.unionByName(_edges(more, p, s)).join(axes, "sheet", "left"))
             e = e.withColumn("off", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
             e = e.join(echoes(matched.select("plan_id", "shop_id"), plan_next, shop_next), ["plan_id", "shop_id"], "left")
             e = e.withColumn("s", F.round(F.col("base") + _placed(F.col("off"), F.col("n")) + F.coalesce("echo", F.lit(0.0)), 6))
-        e = checkpoint(e.filter(F.col("s") >= ACCEPT).select("plan_id", "shop_id", "s", "off", "same", "sheet", "x", "y", "u", "v"))
-        matched = one_to_one(e)
+        matched = one_to_one(e.filter(F.col("s") >= ACCEPT).select("scope", "plan_id", "shop_id", "s", "off", "same", "sheet", "x", "y", "u", "v"))
         now = matched.agg(F.count("*"), F.sum(F.xxhash64("plan_id", "shop_id").cast("decimal(38,0)"))).first()
         if now in seen:
             break

@@ -130,6 +130,24 @@ def test_common_pairs_are_all_pairs_that_reach_the_threshold(spark):
         linkage.RARE, linkage.SALT = old
 
 
+def test_pairs_are_taken_greedily_in_one_pass(spark):
+    r = random.Random(5)
+    rows = [("equal", f"p{i:02d}", f"s{j:02d}", 2.5) for i in range(25) for j in range(25)]
+    rows += [("mixed", f"P{i:02d}", f"S{j:02d}", r.choice([2.0, 2.5, 3.0])) for i in range(30) for j in range(30) if r.random() < 0.3]
+    plans, shops, want = set(), set(), set()
+    for _, p, s, _ in sorted(rows, key=lambda e: (-e[3], e[1], e[2])):
+        if p not in plans and s not in shops:
+            plans.add(p)
+            shops.add(s)
+            want.add((p, s))
+    edges = spark.createDataFrame(r.sample(rows, len(rows)), "scope string, plan_id string, shop_id string, s double").repartition(3)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    got = linkage.one_to_one(edges)
+    assert jobs() - before <= 6  # each job leaves something in the driver's memory; equal records took a round of jobs each
+    assert {(x["plan_id"], x["shop_id"]) for x in got.collect()} == want
+
+
 def test_linkage_of_nothing(spark):
     e = spark.createDataFrame([], RECORD)
     assert linkage.found(e, e).count() == 0
