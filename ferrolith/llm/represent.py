@@ -1,21 +1,24 @@
 """Best representative of each group of duplicates: consistent bundles chosen by branch and bound.
 
-A record is cut into bundles, groups of fields that only make sense together (the statement: storey, layer and bars; the
-origin: file, page, view). For each group of duplicates and each bundle one record supplies the whole bundle. Among all
-choices that keep the functional dependencies (equal determinants, equal dependents, across bundles) the one with the
-greatest trust, compared lexicographically, wins; branch and bound visits the bundles in order, the best candidate first,
-and leaves a branch as soon as the trust it can still reach isn't greater than the best found.
+A record is cut into bundles, groups of fields that only make sense together (the drawing: project and file; the statement:
+storey, layer and bars; the view: page and view), each with a trust of its own. For each group of duplicates and each bundle
+one record supplies the whole bundle. Among all choices that keep the functional dependencies (equal determinants, equal
+dependents, across bundles) the one with the greatest trust, compared lexicographically, wins; branch and bound visits the
+bundles in order, the best candidate first, and leaves a branch as soon as the trust it can still reach isn't greater than
+the best found. The dependencies bear on the result: a statement by itself knows no issue and would be taken from an older one,
+a view by itself from another file.
 
 Of candidates that agree in everything a dependency looks at only the most trusted can be in a best choice, so the rest
 is dropped by an aggregation before any group is gathered: what reaches the search is bounded by the different
-combinations of dependency values (issues of a drawing), never by the size of the group, and nothing is lost.
+combinations of dependency values (issues and files of a drawing), never by the size of the group, and nothing is lost.
 
-Defined results: trust compares larger first, null lowest; on equal trust the smaller id is chosen; a record without a
+Defined results: trust compares larger first, null and NaN lowest; on equal trust of all bundles the smaller ids are chosen, in the order of the bundles; a record without a
 group key (no lot, no place, no storey at all) is a group of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -39,21 +42,28 @@ class Bundle:
 
 
 def _search(names: list[str], candidates: dict[str, list]) -> dict[str, tuple] | None:
-    """candidates: by bundle, (trust, -id, id, ties) sorted with the best first. The best consistent choice, by the sum of ranks of trust."""
+    """candidates: by bundle, (rank, id, ties) sorted with the best first. The best consistent choice: ranks are tuples, compared part by part, each part over all bundles before the next."""
+    if not all(candidates[n] for n in names):
+        return None
+    first, agreed = {n: candidates[n][0] for n in names}, {}
+    if all(agreed.setdefault(t, v) == v for c in first.values() for t, v in c[2].items()):
+        return first  # nothing binds the best of each
     best: list = [None, None]
-    reach = [tuple(candidates[n][0][0] for n in names[k:]) for k in range(len(names) + 1)]
+    tops = [tuple(max(c[0][part] for c in candidates[n]) for part in range(len(candidates[n][0][0]))) for n in names]
+    sums = lambda ranks: tuple(zip(*ranks))
 
-    def go(k: int, chosen: list, ties: dict, trust: tuple) -> None:
-        if best[0] is not None and trust + reach[k] <= best[0]:
+    def go(k: int, chosen: list, ties: dict) -> None:
+        ranks = [c[0] for c in chosen]
+        if best[0] is not None and sums([*ranks, *tops[k:]]) <= best[0]:
             return
         if k == len(names):
-            best[:] = [trust, list(chosen)]
+            best[:] = [sums(ranks), list(chosen)]
             return
         for c in candidates[names[k]]:
             if all(ties.get(t, v) == v for t, v in c[2].items()):
-                go(k + 1, [*chosen, c], ties | c[2], (*trust, c[0]))
+                go(k + 1, [*chosen, c], ties | c[2])
 
-    go(0, [], {}, ())
+    go(0, [], {})
     return None if best[1] is None else dict(zip(names, best[1]))
 
 
@@ -62,12 +72,14 @@ def choose(records: DataFrame, group: str, key: str, bundles: Sequence[Bundle])
 
     Returns group, n (different keys), first (smallest key) and one column per bundle, `<name>_from`.
     """
+    named = Counter(t for b in bundles for t in b.ties)  # what one bundle alone names binds nothing
+    ties = {b.name: {t: v for t, v in sorted(b.ties.items()) if named[t] > 1} for b in bundles}
     sizes = records.groupBy(group).agg(F.count("*").alias("n"), F.min(key).alias("first"))
     rows = None
     for b in bundles:
         x = records.select(
-            group, F.lit(b.name).alias("bundle"), F.to_json(F.struct(*[v.cast("string").alias(t) for t, v in sorted(b.ties.items())]), {"ignoreNullFields": "false"}).alias("ties") if b.ties else F.lit("{}").alias("ties"),
-            F.struct(F.array(*[F.coalesce(c.cast("double"), F.lit(float("-inf"))) for c in b.trust]).alias("trust"), (-F.col(key)).alias("back")).alias("rank"),
+            group, F.lit(b.name).alias("bundle"), F.to_json(F.struct(*[v.cast("string").alias(t) for t, v in ties[b.name].items()]), {"ignoreNullFields": "false"}).alias("ties") if ties[b.name] else F.lit("{}").alias("ties"),
+            F.struct(F.array(*[F.coalesce(F.nanvl(c.cast("double"), F.lit(float("-inf"))), F.lit(float("-inf"))) for c in b.trust]).alias("trust"), (-F.col(key)).alias("back")).alias("rank"),
         )
         x = x.groupBy(group, "bundle", "ties").agg(F.max("rank").alias("rank"))
         rows = x if rows is None else rows.unionByName(x)
@@ -160,17 +172,23 @@ def groups(supports: DataFrame) -> DataFrame:
 
 
 def support_bundles() -> list[Bundle]:
-    """The statement decides; the origin must be of the same issue."""
+    """The drawing is of the last issue; the statement, the fullest and surest, must be of the same issue; the view must be of the drawing's issue and file.
+
+    The issue counts first, then the statement, then the view. Of files of one issue that whose view is stated best is the drawing's.
+    """
     one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
-    full = F.col("_said") + one("level") + one("layer")
-    trust = [F.col("_rank"), full, F.col("confidence")]
-    tie = {"issue": F.col("_rank")}
-    return [Bundle("statement", ["coordinate", "level", "layer", "bars", "status", "confidence"], trust, tie), Bundle("origin", ["project", "fichier", "page", "view", "read_at"], trust, tie)]
+    issue, file = {"issue": F.col("_rank")}, {"file": F.col("fichier")}
+    return [
+        Bundle("drawing", ["project", "fichier"], [F.col("_rank")], issue | file),
+        Bundle("statement", ["coordinate", "level", "layer", "bars", "status", "confidence"], [F.col("_said") + one("level") + one("layer"), F.col("confidence")], issue),
+        Bundle("view", ["page", "view", "read_at"], [one("page") + one("view"), F.col("confidence")], issue | file),
+    ]
 
 
 def found(supports: DataFrame) -> DataFrame:
     """group_id, survivor_id of each real support that has two or more readings."""
-    c = choose(groups(supports), "_group", "support_id", support_bundles())
+    drawing, statement, _ = support_bundles()  # the view follows both
+    c = choose(groups(supports), "_group", "support_id", [drawing, statement])
     return c.filter("n >= 2").select(F.col("first").alias("group_id"), F.col("statement_from").alias("survivor_id"))
 
 

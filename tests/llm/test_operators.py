@@ -51,6 +51,27 @@ def test_without_issue_days_tell(spark):
     assert survivors(spark, [reading(1, fichier=f, confidence=0.9), reading(2, fichier=f, day=60, bars=None, confidence=0.2), reading(3, fichier=f, day=58, confidence=0.1)]) == {(1, 3)}
 
 
+def test_bundles_have_trust_of_their_own_and_dependencies_bind_them(spark):
+    a, b = (f"DA_X_L00001_DALLE-NIV-3 rev {x}.pdf" for x in "AB")
+    b2 = b.replace("DA_X_L", "DA_X_copy_L")
+    place = lambda r, page, view: (*r[:3], page, view, *r[5:])
+    # the fullest statement and the best view are of an older issue; of the last one, 2 states more and 3 has the view
+    rows = [place(reading(1, fichier=a, confidence=0.99), 7, "old"), place(reading(2, fichier=b), None, None), place(reading(3, fichier=b, bars=None, confidence=0.3), 2, "main")]
+    s = spark.createDataFrame(rows, SUPPORT)
+    got = represent.survivors(s).collect()
+    assert [(r["survivor_id"], r["fichier"], r["page"], r["view"], r["bars"]) for r in got] == [(2, b, 2, "main", 1)]
+    # without dependencies each bundle would be the best by itself: the search decides
+    free = [represent.Bundle(x.name, x.fields, x.trust) for x in represent.support_bundles()]
+    groups = represent.groups(s)
+    froms = lambda bundles: [tuple(r[f"{x.name}_from"] for x in bundles) for r in represent.choose(groups, "_group", "support_id", bundles).collect()]
+    assert froms(represent.support_bundles()) == [(2, 2, 3)] and froms(free) == [(2, 1, 1)]
+    assert survivors(spark, rows) == {(1, 2)}
+    # two files of one issue: page and view are of the file they are given with
+    rows = [place(reading(4, fichier=b), None, None), place(reading(5, fichier=b2), 9, "other")]
+    got = represent.survivors(spark.createDataFrame(rows, SUPPORT)).collect()
+    assert [(r["survivor_id"], r["fichier"], r["page"], r["view"]) for r in got] == [(4, b2, 9, "other")]
+
+
 def test_search_is_exhaustive():
     r = random.Random(3)
     for _ in range(200):
